@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, join_salted
+from txloom.llm.common import document_rows, join_salted, materialize
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -166,6 +166,13 @@ def live_rows(rows: DataFrame, flush_at: int = 200_000) -> DataFrame:
     return twice.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
 
 
+def hashed_rows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Stored ``doc_id, row, digest`` of every row; ``row`` only tells repeated rows apart."""
+    rows = document_rows(docs, id_col, text_col).toDF("doc_id", "text")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    return materialize(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), digest.alias("digest")), "digests")
+
+
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: its group of identical texts and the row that stays.
 
@@ -174,12 +181,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     repeated rows with the same id exactly one is kept.  An empty table gives an
     empty result; other columns are ignored, whatever their names.
     """
-    hashed = document_rows(docs, id_col, text_col).toDF("doc_id", "text").select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row"),
-        F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("text_sha256"),
-    )
-    hashed = hashed.withColumn("digest", F.unhex("text_sha256"))
+    hashed = hashed_rows(docs, text_col, id_col)
     repeated = live_rows(hashed).filter("n > 1")
     joined = join_salted(hashed, repeated, ["digest"], F.col("row"))
     alone = F.col("n").isNull()
@@ -188,24 +190,27 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("n")).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose exact text another, later row carries.
 
-    All columns stay.  Same rules as :func:`exact_groups`; texts are moved at most
-    once, and only where the dropped row numbers are too many to broadcast.
+    All columns stay.  Same rules as :func:`exact_groups`; of repeated rows with the
+    id that stays one is kept.  Texts move only where the dropped ids are too many to
+    broadcast.
     """
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    hashed = marked.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col("_row").alias("row"),
-        F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)).alias("digest"),
-    )
-    repeated = live_rows(hashed).filter("n > 1")
-    dropped = join_salted(hashed, repeated, ["digest"], F.col("row"), how="inner").filter("row != keep_row").select(F.col("row").alias("_row"))
-    return marked.join(dropped, "_row", "left_anti").drop("_row")
+    groups = exact_groups(docs, text_col, id_col)
+    out = materialize(groups.filter(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("tied")), "dropped")
+    key = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+    marked = docs.withColumn("_digest", key).withColumn("_id", F.col(f"`{id_col}`"))
+    same = lambda other: F.col("_id").eqNullSafe(other["doc_id"]) & (F.col("_digest") == other["digest"])
+    older, tied = out.filter("NOT tied").select("doc_id", "digest").distinct(), out.filter("tied").select("doc_id", "digest").distinct()
+    rest = marked.join(older, same(older), "left_anti")
+    if tied.head(1):
+        rest = rest.join(tied, same(tied), "left_anti").unionByName(rest.join(tied, same(tied), "left_semi").dropDuplicates(["_id", "_digest"]))
+    return rest.drop("_id", "_digest")
 
 
 ORACLE = """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txloom.llm import exact, mixing, packing, simhash
+from txloom.llm import exact, licenses, mixing, ogg, packing, secret_scan, simhash, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,30 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.round_trip(_documents(spark, sf_dir))
+
+
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_secret_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
@@ -31,12 +51,18 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc_zstd": op2_warc_zstd,
+    "op3_ogg_media": op3_ogg_media,
+    "op4_license_templates": op4_license_templates,
     "op5_simhash_covering": op5_simhash_covering,
+    "op6_toxicity_counterfactual": op6_toxicity_counterfactual,
+    "op7_secret_token_efficiency": op7_secret_token_efficiency,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc_zstd": warc.ORACLE,
     "op9_exact_dedup": exact.ORACLE,
     "op10_temperature_mixing": mixing.ORACLE,
 }
