@@ -23,42 +23,62 @@ from txloom.llm.common import document_rows, materialize
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids one Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Pieces of one length that one task ranks.
 RANK_BLOCK = 50_000
 
 
-class WordIds:
+#: Characters that follow a word and never join its letters in pre-tokenization.
+_TAIL = b".,;:!?*%$&#|"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordIds(dict):
     """Token ids of texts, by white-space separated word.
 
     The vocabulary's pre-tokenizer never joins characters across ASCII white space
     and its normalizer works character by character there, so the ids of a text are
     those of its words in turn; words repeat, so their ids are kept (``limit`` words,
-    then the table starts anew).
+    then the table starts anew).  A word of Latin-1 letters with punctuation behind it
+    is looked up as its lower-case letters and its punctuation; the letters go to the
+    tokenizer's merges directly.  Any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.letters = Tokenizer.from_file(path), limit, _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        words = text.encode("utf-8", "surrogatepass").split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = found = self._ids(word)
+        return found
+
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(_TAIL)
+        if core.isalpha():  # ASCII letters
+            low = core.lower()
+        else:
+            letters = core.decode("utf-8", "replace")
+            if not letters.isalpha() or max(letters) > "ÿ":
+                ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+                return b"".join([i.to_bytes(4, "little") for i in ids])
+            low = letters.lower().encode()
+        if low != word:
+            return self[low] + self[word[len(core) :]] if len(core) < len(word) else self[low]
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(low.decode("latin-1").translate(self.letters))])
 
 
 _WORD_IDS: dict[str, WordIds] = {}
