@@ -1,35 +1,10 @@
-import itertools
 import random
-import re
-
-import xxhash
 
+from tests_llm_reference import components as brute_components
+from tests_llm_reference import fingerprint as brute_print
 from txloom.llm import simhash
 
 
-def brute_print(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_components(prints, radius=4):
-    root = list(range(len(prints)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(prints)), 2):
-        if (prints[i] ^ prints[j]).bit_count() <= radius:
-            root[find(i)] = find(j)
-    return [find(i) for i in range(len(prints))]
-
-
 def test_every_close_pair_meets_in_a_table():
     r = random.Random(1)
     masks = simhash.covering_masks(4)

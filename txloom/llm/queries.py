@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txloom.llm import exact, licenses, mixing, ogg, packing, secret_scan, simhash, toxicity, warc
+from txloom.llm import exact, licenses, mixing, ogg, packing, secret_scan, simhash, substring, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_secret_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_covering": op5_simhash_covering,
     "op6_toxicity_counterfactual": op6_toxicity_counterfactual,
     "op7_secret_token_efficiency": op7_secret_token_efficiency,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
 }
