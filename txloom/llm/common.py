@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/txloom-scratch"
 
 
+#: Bytes of input that a Python worker holds at once.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES of input; a record limit that is set stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

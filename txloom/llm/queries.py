@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from txloom.llm import exact, licenses, mixing, ogg, packing, secret_scan, simhash, substring, toxicity, warc
+from txloom.llm.common import bound_batches
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +24,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.classify(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op7_secret_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
