@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows
+from txloom.llm.common import document_rows, materialize
 
 #: Labelled rows that the classifier is fitted on at most (taken by hash of the id).
 MAX_TRAIN_ROWS = 20_000
@@ -219,7 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, co
         given = given.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     given = given.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = document_rows(docs, id_col, text_col).toDF("doc_id", "text")
-    labelled = texts.join(given, "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"), "label")
+    labelled = texts.join(F.broadcast(given), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"), "label")
+    labelled = materialize(labelled, "labelled")  # at most max_rows ids and their texts
     words = choose_words(labelled)
     return fit(count_words(labelled, words), words, counterfactual)
 
