@@ -1,0 +1,18 @@
+"""Incremental node counts over an event stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """``start, <key>, n, total`` per tumbling window; rows later than ``late`` are left out of streams."""
+    w = F.window(ts, window)
+    return events.withWatermark(ts, late).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
+
+
+def degree_updates(edges: DataFrame) -> DataFrame:
+    """Running degrees of a stream of edges ``src, dst`` (complete or update output)."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("d"))
