@@ -15,6 +15,8 @@ from txloom.operators.graph import components, degrees, nodes
 
 #: Rounds between two writes of an iterative state.
 CUT_EVERY = 4
+#: Edges up to which a graph is gathered and broadcast (two integers each).
+LOCAL_EDGES = 4_000_000
 
 
 def degree_centrality(u: DataFrame) -> DataFrame:
@@ -84,44 +86,85 @@ def eigenvector(u: DataFrame, max_iter: int = 1000, tol: float = 1e-6, fixed_ite
 
 
 def bfs_layers(u: DataFrame, roots: DataFrame, until_layer: int) -> DataFrame:
-    """``root, id, layer`` of every node within ``until_layer`` hops of each root."""
-    seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("layer"))
-    front = seen
+    """``root, id, layer`` of every node within ``until_layer`` hops of each root.
+
+    In a symmetric graph the neighbours of a layer lie in it, before it or behind it,
+    so a new layer is compared with the last two only.
+    """
+    before = None
+    front = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("layer"))
+    seen = front
     for k in range(1, until_layer + 1):
+        near = front if before is None else front.unionByName(before)
         step = front.join(u, front.id == u.src).select("root", F.col("dst").alias("id")).distinct()
-        front = step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("layer", F.lit(k))
-        if k % 3 == 0:
-            front = materialize(front, "front")
+        step = step.join(near.select("root", "id"), ["root", "id"], "left_anti").withColumn("layer", F.lit(k))
+        before, front = front, materialize(step, "front") if k % 3 == 0 else step
         seen = seen.unionByName(front)
     return seen
 
 
-def closeness(u: DataFrame, comp: DataFrame | None = None, largest: int | None = None) -> DataFrame:
-    """``(n_c - 1) / Σ d`` inside each component, 0 for single nodes.
+def _local_graph(u: DataFrame, most: int = LOCAL_EDGES):
+    """Sorted ids, and a broadcast of the adjacency as arrays; None where it has more than ``most`` edges."""
+    if u.limit(most + 1).count() > most:
+        return None
+    pairs = u.select("src", "dst").toPandas()
+    ids, at = np.unique(pairs["src"].to_numpy(str), return_inverse=True) if len(pairs) else (np.array([], str), np.array([], np.int64))
+    to = np.searchsorted(ids, pairs["dst"].to_numpy(str))
+    order = np.lexsort((to, at))
+    return ids.tolist(), u.sparkSession.sparkContext.broadcast((np.searchsorted(at[order], np.arange(len(ids) + 1)), to[order]))
+
+
+def _layers(start: np.ndarray, to: np.ndarray, root: int) -> Iterator[np.ndarray]:
+    """Nodes at distance 1, 2, … of a root."""
+    seen = np.zeros(len(start) - 1, bool)
+    seen[root] = True
+    front = np.array([root])
+    while True:
+        count = start[front + 1] - start[front]
+        near = to[np.repeat(start[front] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
+        front = np.unique(near[~seen[near]])
+        if not len(front):
+            return
+        seen[front] = True
+        yield front
+
 
-    Breadth-first from all nodes at once, one frontier a round.  ``largest`` keeps
-    components up to that size only: the pairs of a component are as many as its
-    size squared, whatever the engine.
+def closeness(u: DataFrame, comp: DataFrame | None = None, most: int = LOCAL_EDGES) -> DataFrame:
+    """``(n_c - 1) / Σ d`` inside each component, 0 for nodes without neighbours.
+
+    Graphs of up to ``most`` edges are broadcast and searched from every node in
+    parallel; larger ones by joins, all roots at once, one layer a round.
     """
+    local = _local_graph(u, most)
+    if local:
+        ids, held = local
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            start, to = held.value
+            for batch in batches:
+                out = []
+                for root in batch["node"]:
+                    sizes = [len(f) for f in _layers(start, to, int(root))]
+                    far = sum(k * n for k, n in enumerate(sizes, 1))
+                    out.append(sum(sizes) / far if far else 0.0)
+                yield pd.DataFrame({"id": batch["id"], "gi_closeness_centrality": out})
+
+        nodes_ = u.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "node": range(len(ids))}), "id string, node long")
+        return nodes_.repartition(u.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "id string, gi_closeness_centrality double")
     comp = comp or components(u)
-    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    if largest is not None:
-        sizes = sizes.filter(F.col("n") <= largest)
-    members = materialize(comp.join(sizes, "comp"), "cl-members")
-    links = materialize(u.join(members.select("id"), u.src == F.col("id"), "left_semi"), "cl-links")
-    seen = front = materialize(members.select(F.col("id").alias("root"), "id"), "cl-front")
-    total = None
-    k = 0
+    members = materialize(comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp"), "cl-members")
+    links = materialize(u, "cl-links")
+    before, front = None, materialize(members.select(F.col("id").alias("root"), "id"), "cl-front")
+    total, k = None, 0
     while front.head(1):
         k += 1
+        near = front if before is None else front.unionByName(before)
         step = front.join(links, front.id == links.src).select("root", F.col("dst").alias("id")).distinct()
-        front = materialize(step.join(seen, ["root", "id"], "left_anti"), "cl-front")
-        seen = seen.unionByName(front)
+        before, front = front, materialize(step.join(near, ["root", "id"], "left_anti"), "cl-front")
         part = front.groupBy("root").agg((F.count(F.lit(1)) * k).alias("s"))
         total = part if total is None else total.unionByName(part)
-    sums = total.groupBy("root").agg(F.sum("s").alias("s")) if total is not None else None
-    joined = members.join(sums, members.id == sums.root, "left")
-    return joined.select("id", F.coalesce((F.col("n") - 1) / F.col("s"), F.lit(0.0)).alias("gi_closeness_centrality"))
+    sums = total.groupBy("root").agg(F.sum("s").alias("s"))
+    return members.join(sums, members.id == sums.root, "left").select("id", F.coalesce((F.col("n") - 1) / F.nullif("s", F.lit(0)), F.lit(0.0)).alias("gi_closeness_centrality"))
 
 
 def triangle_list(u: DataFrame) -> DataFrame:
@@ -208,17 +251,14 @@ def betweenness(u: DataFrame, exact_up_to: int = 5000, pivots: int = 2000, seed:
 
     Sources are spread over tasks; each holds the adjacency as arrays (two integers an
     edge, broadcast once) and adds up the dependencies of its sources, so one row a
-    node and task is shuffled.  Use on graphs whose adjacency fits a worker.
+    node and task is shuffled.  Graphs of more than LOCAL_EDGES edges are refused.
     """
     spark = u.sparkSession
-    ids = [r["id"] for r in nodes(u).orderBy("id").collect()]
+    local = _local_graph(u)
+    if local is None:
+        raise ValueError(f"betweenness takes graphs of up to {LOCAL_EDGES} edges")
+    ids, held = local
     n = len(ids)
-    place = {v: i for i, v in enumerate(ids)}
-    pairs = u.collect()
-    src = np.array([place[r["src"]] for r in pairs], np.int64)
-    dst = np.array([place[r["dst"]] for r in pairs], np.int64)
-    order = np.lexsort((dst, src))
-    held = spark.sparkContext.broadcast((np.searchsorted(src[order], np.arange(n + 1)), dst[order]))
     roots = nodes(u)
     k = n
     if n > exact_up_to:

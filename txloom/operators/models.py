@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -81,12 +82,15 @@ def balance(rows: DataFrame, params: Params, model: str) -> tuple[DataFrame, str
 
 
 def _rbf(columns: list[str], gamma: float, features: int = 256, seed: int = 42):
-    """Random Fourier features of an RBF kernel, as column expressions."""
+    """Random Fourier features of an RBF kernel: one matrix product an Arrow batch."""
     r = np.random.default_rng(seed)
-    w, b = r.normal(scale=math.sqrt(2 * gamma), size=(features, len(columns))), r.uniform(0, 2 * math.pi, features)
-    scale = math.sqrt(2 / features)
-    cells = [F.lit(scale) * F.cos(sum((F.col(c) * F.lit(float(x)) for c, x in zip(columns, row, strict=True)), F.lit(float(t)))) for row, t in zip(w, b, strict=True)]
-    return array_to_vector(F.array(*cells)).alias("features")
+    w, b = r.normal(scale=math.sqrt(2 * gamma), size=(len(columns), features)), r.uniform(0, 2 * math.pi, features)
+
+    @F.pandas_udf("array<double>")
+    def lift(x: pd.Series) -> pd.Series:
+        return pd.Series(list(math.sqrt(2 / features) * np.cos(np.stack(x.to_list()) @ w + b))) if len(x) else pd.Series([], dtype=object)
+
+    return array_to_vector(lift(F.array(*[F.col(c).cast("double") for c in columns]))).alias("features")
 
 
 def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fitted:
