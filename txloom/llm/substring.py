@@ -37,6 +37,8 @@ LENGTH, GRAM = 100, 32
 CHUNK = 1 << 17
 #: Symbols that one suffix sort takes at most, unless a single string is longer.
 SORT_SYMBOLS = 1 << 18
+#: Bytes that make one symbol of a suffix sort.
+SYMBOL_BYTES = 6
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFF)
 
@@ -126,12 +128,12 @@ def _ranked(keys: list[int], strings: list[bytes]) -> tuple[np.ndarray, np.ndarr
             starts.clear()
 
     for k, d in many:
-        need = sum(map(len, d)) - (sizes[k] - 1) * len(d)
+        need = sum(2 + (len(s) - sizes[k]) // SYMBOL_BYTES for s in d)
         if text and len(text) + need > SORT_SYMBOLS:
             flush()
         for s in d:
             starts.append((len(text), k, s))
-            text.extend([b + 2 for b in s[sizes[k] :]])
+            text.extend(_symbols(s, sizes[k]))
             text.append(1)
     flush()
     common: list[int] = []
@@ -144,6 +146,15 @@ def _ranked(keys: list[int], strings: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return np.array([distinct[k][s] for k, s in zip(keys, strings, strict=True)], np.int64), np.array(common, np.int64)
 
 
+def _symbols(s: bytes, start: int) -> list[int]:
+    """What follows ``start`` as symbols of SYMBOL_BYTES bytes in byte order, a shorter last one before its extensions.
+
+    Only the order of whole strings is wanted, and theirs is that of their symbols.
+    """
+    cut = [s[i : i + SYMBOL_BYTES] for i in range(start, len(s), SYMBOL_BYTES)]
+    return [(int.from_bytes(c.ljust(SYMBOL_BYTES, b"\0"), "big") << 3 | len(c)) + 2 for c in cut]
+
+
 def _common(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, of which ``known`` bytes are known."""
     n = min(len(a), len(b))
