@@ -37,6 +37,8 @@ LENGTH, GRAM = 100, 32
 CHUNK = 1 << 17
 #: Symbols that one suffix sort takes at most, unless a single string is longer.
 SORT_SYMBOLS = 1 << 18
+#: Records that a task gathers before it sends them on.
+SEND_AT = 200_000
 #: Bytes that make one symbol of a suffix sort.
 SYMBOL_BYTES = 6
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -250,7 +252,7 @@ def _emit_spans(length: int, gram: int, buckets: int):
             for doc, data in zip(batch.column(0), batch.column(1), strict=True):
                 found.append(spans_of(data.as_py(), doc.as_py(), length, gram))
                 size += len(found[-1])
-                if size > 1_000_000:
+                if size > SEND_AT:
                     yield out(found)
                     found, size = [], 0
         if size:
@@ -337,7 +339,7 @@ def _cut_spans(length: int, buckets: int):
             if r is not None:
                 records.append(r)
                 contents += [text[p : p + n + length - 1] for p, n in zip(r["p"].tolist(), r["n"].tolist(), strict=True)]
-                if len(contents) > 100_000:
+                if len(contents) > SEND_AT // 8:
                     yield out()
         if contents:
             yield out()
