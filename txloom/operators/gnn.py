@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txloom.functions.storage import hash_key, hash_unit
+from txloom.operators.indicators import LOCAL_EDGES
 
 MESSAGES = {
     "copy_u": lambda u, v: u,
@@ -327,12 +328,14 @@ def linear_head(x: np.ndarray, g: Graph, epochs: int = 200, rate: float = 0.01,
     return _softmax(x @ best["w0"] + best["b0"])
 
 
-def load_graph(e: DataFrame, nodes: DataFrame, columns: list[str]) -> tuple[Graph, list[str]]:
+def load_graph(e: DataFrame, nodes: DataFrame, columns: list[str], most: int = LOCAL_EDGES) -> tuple[Graph, list[str]]:
     """Arrays of ``nodes(id, label, split, columns…)`` and its edges (both directions, loops added).
 
-    Features should be scaled on the training rows before.  The graph is gathered: use
-    it where a worker can hold it; the layers above run on any size.
+    Features should be scaled on the training rows before.  The graph is gathered, so
+    one of more than ``most`` edges or nodes is refused; the layers above run on any size.
     """
+    if max(e.limit(most + 1).count(), nodes.limit(most + 1).count()) > most:
+        raise ValueError(f"training in a worker takes up to {most} edges and nodes")
     rows = nodes.select("id", "label", "split", *columns).orderBy("id").toPandas()
     place = {v: i for i, v in enumerate(rows["id"])}
     pairs = e.toPandas()
