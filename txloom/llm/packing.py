@@ -10,6 +10,7 @@ pieces of that length.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids one Python worker keeps.
 CACHE_WORDS = 1_000_000
-#: Pieces of one length that one task ranks.
-RANK_BLOCK = 50_000
 
 
 #: Characters that follow a word and never join its letters in pre-tokenization.
@@ -185,7 +184,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = spark.createDataFrame(plan_best_fit(counts, capacity), "length long, lo long, n long, first long, at long, each long")
-    blocks = spark.createDataFrame([(k, max(1, -(-v // RANK_BLOCK))) for k, v in counts.items()], "length long, blocks long")
+    blocks = spark.createDataFrame([(k, max(1, math.isqrt(v))) for k, v in counts.items()], "length long, blocks long")
     keyed = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks"))).drop("blocks")
     sizes = keyed.groupBy("length", "block").count()
     before = sizes.select("length", "block", (F.sum("count").over(Window.partitionBy("length").orderBy("block")) - F.col("count")).alias("before"))
