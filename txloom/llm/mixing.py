@@ -24,8 +24,8 @@ BLOCK_TOKENS = 1 << 20
 SEED = 42
 #: Bisection levels done in one pass over the source table, and passes.
 LEVELS, PASSES = 4, 8
-#: Documents of a source whose running token count one task computes.
-RUN_ROWS = 4096
+#: Documents whose running token count one task computes; by default about the square root of a source's.
+RUN_ROWS: int | None = None
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,8 +109,9 @@ def deal(tokens: DataFrame, entropy: float | None, repeats: float | None, budget
         "mix_key", "docs", "total",
         F.round(F.col("power") / F.lit(norm), 9).alias("weight"),
     ).withColumn("quota", F.round(F.col("weight") * F.lit(float(budget))).cast("long")).filter("quota > 0")
+    runs = F.sqrt("docs") if RUN_ROWS is None else F.col("docs") / F.lit(float(RUN_ROWS))
     plan = plan.withColumn("epochs", F.ceil(F.col("quota") / F.col("total")).cast("int")).withColumn(
-        "digits", F.greatest(F.lit(1), F.ceil(F.log(F.col("docs") / F.lit(float(RUN_ROWS))) / F.lit(math.log(16)))).cast("int")
+        "digits", F.greatest(F.lit(1), F.ceil(F.log(runs) / F.lit(math.log(16)))).cast("int")
     )
     dealt = tokens.join(plan, "mix_key").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     dealt = dealt.withColumn("card", permutation(seed, F.col("epoch"), F.col("doc_id"))).withColumn("run", F.expr("substring(card, 1, digits)"))
