@@ -412,9 +412,9 @@ def _stats(spark, sf):
     return A.trimmed(_values(spark, sf), ["classifier", "variant"])
 
 
-@query("trimmed_mean_std", TRIM + " SELECT classifier, variant, n, round(mean, 6) AS mean, round(std, 6) AS std FROM st")
+@query("trimmed_mean_std", TRIM + " SELECT classifier, variant, n, round(mean, 9) AS mean, round(std, 9) AS std FROM st")
 def _(spark, sf):
-    return rounded(_stats(spark, sf), "mean", "std")
+    return rounded(_stats(spark, sf), "mean", "std", digits=9)
 
 
 @query("wins_vs_base", VAL + """, b AS (SELECT run, classifier, value AS base FROM vl WHERE variant = 'base') SELECT classifier, variant, sum(CASE WHEN variant = 'base' THEN 0 ELSE CAST(value > base AS INTEGER) END)::BIGINT AS wins FROM vl JOIN b USING (run, classifier) GROUP BY ALL""")
@@ -422,24 +422,24 @@ def _(spark, sf):
     return A.wins(_values(spark, sf), "base")
 
 
-@query("metric_pivot", TRIM + " SELECT classifier, " + ", ".join(f"round(max(mean) FILTER (variant = '{v}'), 6) AS {v}" for v in ("base", "degree", "pagerank", "core", "spectral")) + " FROM st GROUP BY classifier")
+@query("metric_pivot", TRIM + " SELECT classifier, " + ", ".join(f"round(max(mean) FILTER (variant = '{v}'), 9) AS {v}" for v in ("base", "degree", "pagerank", "core", "spectral")) + " FROM st GROUP BY classifier")
 def _(spark, sf):
     v = ["base", "degree", "pagerank", "core", "spectral"]
-    return rounded(A.matrix(_stats(spark, sf), v), *v)
+    return rounded(A.matrix(_stats(spark, sf), v), *v, digits=9)
 
 
 _TOP = ", t5 AS (SELECT classifier, mean AS base FROM st WHERE variant = 'base' ORDER BY mean DESC, classifier LIMIT 5)"
 
 
-@query("avg_topk_delta", TRIM + _TOP + " SELECT variant, round(avg(mean), 6) AS avg, round(avg(mean - base), 6) + 0.0 AS delta FROM st JOIN t5 USING (classifier) GROUP BY variant")
+@query("avg_topk_delta", TRIM + _TOP + " SELECT variant, round(avg(mean), 9) AS avg, round(avg(mean - base), 9) + 0.0 AS delta FROM st JOIN t5 USING (classifier) GROUP BY variant")
 def _(spark, sf):
-    return rounded(A.top_average(_stats(spark, sf), "base"), "avg", "delta")
+    return rounded(A.top_average(_stats(spark, sf), "base"), "avg", "delta", digits=9)
 
 
 @query("color_code", TRIM + """, d AS (SELECT s.classifier, s.variant, s.mean - b.mean AS delta FROM st s LEFT JOIN (SELECT * FROM st WHERE variant = 'base') b USING (classifier))
-SELECT classifier, variant, round(delta, 6) + 0.0 AS delta, CASE WHEN variant = 'base' THEN 0 WHEN delta >= 0 THEN 1 ELSE 2 END AS code, round(0.2 + 1.1 * pow(abs(delta) / (SELECT max(abs(delta)) FROM d), 0.7), 6) AS intensity FROM d""")
+SELECT classifier, variant, round(delta, 9) + 0.0 AS delta, CASE WHEN variant = 'base' THEN 0 WHEN delta >= 0 THEN 1 ELSE 2 END AS code, round(0.2 + 1.1 * pow(abs(delta) / (SELECT max(abs(delta)) FROM d), 0.7), 6) AS intensity FROM d""")
 def _(spark, sf):
-    return rounded(A.color_code(_stats(spark, sf), "base").select("classifier", "variant", "delta", "code", "intensity"), "delta", "intensity")
+    return rounded(rounded(A.color_code(_stats(spark, sf), "base").select("classifier", "variant", "delta", "code", "intensity"), "delta", digits=9), "intensity")
 
 
 MC = PR + """, bp AS (SELECT run, classifier, tx_id, y_pred AS bp FROM pred WHERE variant = 'base'),
@@ -500,25 +500,25 @@ def _rated(spark, sf):
 RATED = VAL + ", rt AS (SELECT run % 3 * 25 AS rate, classifier, variant, avg(value) AS mean FROM vl GROUP BY ALL)"
 
 
-@query("delta_by_removal_rate", RATED + " SELECT a.rate, a.classifier, a.variant, round(a.mean - b.mean, 6) + 0.0 AS delta FROM rt a JOIN rt b ON a.rate = b.rate AND a.classifier = b.classifier AND b.variant = 'base' WHERE a.variant <> 'base'")
+@query("delta_by_removal_rate", RATED + " SELECT a.rate, a.classifier, a.variant, round(a.mean - b.mean, 9) + 0.0 AS delta FROM rt a JOIN rt b ON a.rate = b.rate AND a.classifier = b.classifier AND b.variant = 'base' WHERE a.variant <> 'base'")
 def _(spark, sf):
-    return rounded(A.delta_by_rate(_rated(spark, sf), "base"), "delta")
+    return rounded(A.delta_by_rate(_rated(spark, sf), "base"), "delta", digits=9)
 
 
 @query("delta_topk_by_rate", RATED + """, t AS (SELECT rate, classifier, mean AS base FROM (SELECT *, row_number() OVER (PARTITION BY rate ORDER BY mean DESC, classifier) AS r FROM rt WHERE variant = 'base') WHERE r <= 5)
-SELECT rate, variant, round(avg(mean) - avg(base), 6) + 0.0 AS delta FROM rt JOIN t USING (rate, classifier) WHERE variant <> 'base' GROUP BY rate, variant""")
+SELECT rate, variant, round(avg(mean) - avg(base), 9) + 0.0 AS delta FROM rt JOIN t USING (rate, classifier) WHERE variant <> 'base' GROUP BY rate, variant""")
 def _(spark, sf):
-    return rounded(A.delta_topk(_rated(spark, sf), "base"), "delta")
+    return rounded(A.delta_topk(_rated(spark, sf), "base"), "delta", digits=9)
 
 
-@query("category_mean_delta", TRIM + ", m AS (SELECT variant, avg(mean) AS m FROM st WHERE classifier <> 'NB' GROUP BY variant) SELECT variant, round(m - (SELECT m FROM m WHERE variant = 'base'), 6) + 0.0 AS delta FROM m WHERE variant <> 'base'")
+@query("category_mean_delta", TRIM + ", m AS (SELECT variant, avg(mean) AS m FROM st WHERE classifier <> 'NB' GROUP BY variant) SELECT variant, round(m - (SELECT m FROM m WHERE variant = 'base'), 9) + 0.0 AS delta FROM m WHERE variant <> 'base'")
 def _(spark, sf):
-    return rounded(A.mean_delta(_stats(spark, sf), "base"), "delta")
+    return rounded(A.mean_delta(_stats(spark, sf), "base"), "delta", digits=9)
 
 
-@query("category_max_f1", TRIM + """, k AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY mean DESC, classifier DESC) AS r FROM st) SELECT variant, classifier, round(mean, 6) AS best, round(mean - (SELECT max(mean) FROM st WHERE variant = 'base'), 6) + 0.0 AS delta FROM k WHERE r = 1""")
+@query("category_max_f1", TRIM + """, k AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY mean DESC, classifier DESC) AS r FROM st) SELECT variant, classifier, round(mean, 9) AS best, round(mean - (SELECT max(mean) FROM st WHERE variant = 'base'), 9) + 0.0 AS delta FROM k WHERE r = 1""")
 def _(spark, sf):
-    return rounded(A.best_per_variant(_stats(spark, sf), "base"), "best", "delta")
+    return rounded(A.best_per_variant(_stats(spark, sf), "base"), "best", "delta", digits=9)
 
 
 @query("importance_rank", "SELECT event_type, user_id, round(sum(value), 6) AS importance, row_number() OVER (PARTITION BY event_type ORDER BY round(sum(value), 6) DESC, user_id) AS rank FROM events GROUP BY event_type, user_id")
