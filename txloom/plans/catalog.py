@@ -215,7 +215,7 @@ dc AS (SELECT id, d::DOUBLE / ((SELECT count(*) FROM deg) - 1) AS gi_degree_cent
 
 
 @query("feature_assemble", E + ", " + NODES_SQL + ", " + DEG_SQL + """ SELECT tx_id, time_step, round(coalesce(gi_degree_centrality, 0), 6) AS gi_degree_centrality,
-round(coalesce(gi_in_degree, 0), 6) AS gi_in_degree, round(coalesce(gi_out_degree, 0), 6) AS gi_out_degree FROM tx LEFT JOIN dc ON dc.id = tx_id LEFT JOIN io ON io.id = tx_id""")
+CAST(coalesce(gi_in_degree, 0) AS DOUBLE) AS gi_in_degree, CAST(coalesce(gi_out_degree, 0) AS DOUBLE) AS gi_out_degree FROM tx LEFT JOIN dc ON dc.id = tx_id LEFT JOIN io ON io.id = tx_id""")
 def _(spark, sf):
     e = tx_edges(spark, sf)
     wide = FE.assemble(tx_features(spark, sf).select("tx_id", "time_step"), {"deg_cent": I.degree_centrality(G.symmetric(e)), "inout": I.in_out_degree(e)})
