@@ -178,10 +178,10 @@ def _h(spark, sf):
 
 
 for _reduce, _f in (("sum", "sum"), ("mean", "avg"), ("max", "max")):
-    @query(f"message_passing_{_reduce}", _H + f" SELECT dst AS id, round({_f}(a), 9) AS x0, round({_f}(b), 9) AS x1 FROM u JOIN h ON h.id = src GROUP BY dst")
+    @query(f"message_passing_{_reduce}", _H + f" SELECT dst AS id, round({_f}(a), 11) AS x0, round({_f}(b), 11) AS x1 FROM u JOIN h ON h.id = src GROUP BY dst")
     def _(spark, sf, reduce=_reduce):
         out = gnn.message_passing(_u(spark, sf), _h(spark, sf), 2, "copy_u", reduce)
-        return rounded(out.select("id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")), "x0", "x1", digits=9)
+        return rounded(out.select("id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")), "x0", "x1", digits=11)
 
 
 @query("message_functions", _H + """ SELECT dst AS id, round(sum(s.a + t.a), 6) AS added, round(sum(t.a - s.a), 6) + 0.0 AS taken, round(sum(s.a * t.a), 6) AS product FROM u JOIN h s ON s.id = src JOIN h t ON t.id = dst GROUP BY dst""")
