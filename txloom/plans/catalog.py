@@ -562,12 +562,12 @@ def _(spark, sf):
     return rounded(I.square_clustering(_u(spark, sf)), "gi_square_clustering")
 
 
-def _core_sql(rounds: int = 14) -> str:
-    """h-index rounds unrolled; enough for the fixture graph to settle."""
-    out = E + ", h0 AS (SELECT id, d AS x FROM deg)"
-    for k in range(rounds):
-        out += f""", h{k + 1} AS (SELECT src AS id, max(least(x, r)) AS x FROM (SELECT u.src, h.x, row_number() OVER (PARTITION BY u.src ORDER BY h.x DESC) AS r FROM u JOIN h{k} h ON h.id = u.dst) GROUP BY src)"""
-    return out + f" SELECT id, x AS gi_core_number FROM h{rounds}"
+def _core_sql(rounds: int = 100) -> str:
+    """h-index rounds; a long chain of nodes settles one node a round."""
+    step = "SELECT h.i, u.src, h.x, row_number() OVER (PARTITION BY u.src ORDER BY h.x DESC) AS r FROM u JOIN h ON h.id = u.dst"
+    return E.replace("WITH", "WITH RECURSIVE", 1) + f""", h(i, id, x) AS (SELECT 0, id, d FROM deg UNION ALL
+        SELECT i + 1, src, max(least(x, r)) FROM ({step} WHERE h.i < {rounds}) GROUP BY i, src)
+    SELECT id, x AS gi_core_number FROM h WHERE i = {rounds}"""
 
 
 @query("core_number", _core_sql())
