@@ -64,3 +64,8 @@ def test_template_markup(text, accepted):
 def test_broken_markup(markup):
     with pytest.raises(ValueError):
         licenses.compile_template(markup)
+
+
+def test_many_places_of_several_phrases():
+    text = "cc by cc by MIT License. cc by\n\n" * 300 + "Apache License" * 2 + " apache license"
+    assert licenses.Scanner().scan(text.encode())[:5] == brute(text)

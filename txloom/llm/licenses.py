@@ -159,11 +159,12 @@ class Scanner:
         joined = b" ".join([b"", *words, b""])
         places, base = [], set()
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, before, word = joined.find(phrase), 0, 0
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
+                word += joined.count(b" ", before, at)
+                places.append(word)
                 base.add(label)
-                at = joined.find(phrase, at + 1)
+                before, at = at, joined.find(phrase, at + 1)
         found = set()
         for label, machine in self.machines.items():
             needed = self.needed[label]
