@@ -55,3 +55,11 @@ def test_flushed_index_gives_the_same_groups(spark):
     rows = spark.range(2000).selectExpr("id as doc_id", "id as row", "unhex(sha2(cast(id % 37 as string), 256)) as digest")
     got = {bytes(r.digest): (r.keep_id, r.n) for r in exact.live_rows(rows, flush_at=5).collect()}
     assert len(got) == 37 and sum(n for _, n in got.values()) == 2000 and max(k for k, _ in got.values()) == 1999
+
+
+def test_more_partitions_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact, "INDEX_ROWS", 100)
+    rows = spark.range(2000).selectExpr("id as doc_id", "id as row", "unhex(sha2(cast(id % 37 as string), 256)) as digest")
+    live = exact.live_rows(rows)
+    assert live.rdd.getNumPartitions() == 20
+    assert sorted((r.keep_id, r.n) for r in live.collect()) == sorted((max(range(k, 2000, 37)), len(range(k, 2000, 37))) for k in range(37))

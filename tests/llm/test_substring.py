@@ -76,3 +76,11 @@ def test_defined_cases(messy, nothing):
     kept = substring.remove_repeats(messy, keep_text=True).collect()
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in kept)
     assert substring.remove_repeats(nothing).count() == 0
+
+
+def test_more_partitions_remove_the_same(spark, monkeypatch):
+    frame = spark.createDataFrame(list(enumerate(corpus(random.Random(3), 3))), "doc_id long, text string")
+    show_all = lambda: sorted(substring.remove_repeats(frame, 12, 5).collect())
+    few = show_all()
+    monkeypatch.setattr(substring, "PART_BYTES", 200)
+    assert show_all() == few and any(r.n_removed for r in few)

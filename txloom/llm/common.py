@@ -49,6 +49,11 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Shuffle partitions that leave at most about ``each`` of ``amount`` to one, at least the session's number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
 def document_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that extra or clashing columns never reach an operator.
 

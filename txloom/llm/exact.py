@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, join_salted, materialize
+from txloom.llm.common import document_rows, join_salted, materialize, parts_for
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Digests that one task's index holds at most, about.
+INDEX_ROWS = 500_000
 
 
 class CuckooIndex:
@@ -149,7 +151,11 @@ def _emit(index: CuckooIndex, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def live_rows(rows: DataFrame, flush_at: int = 200_000) -> DataFrame:
-    """``(digest, keep_id, keep_row, n)`` for each digest of ``rows(digest, doc_id, row)``."""
+    """``(digest, keep_id, keep_row, n)`` for each digest of the stored table ``rows(digest, doc_id, row)``.
+
+    The second reduction uses more partitions than the session's where one index would
+    hold more than INDEX_ROWS digests.
+    """
     id_type = rows.schema["doc_id"].dataType
     out = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -162,7 +168,10 @@ def live_rows(rows: DataFrame, flush_at: int = 200_000) -> DataFrame:
         return run
 
     once = rows.select("digest", "doc_id", "row", F.lit(1).cast("long").alias("n")).mapInArrow(reduce(flush_at), out)
-    twice = once.repartition("digest").mapInArrow(reduce(0), out)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(rows.sparkSession, rows.count(), INDEX_ROWS)
+    dealt = once.repartition(parts, "digest") if parts > least else once.repartition("digest")
+    twice = dealt.mapInArrow(reduce(0), out)
     return twice.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, materialize
+from txloom.llm.common import document_rows, materialize, parts_for
 from txloom.llm.lyndon import suffix_order
 
 LENGTH, GRAM = 100, 32
@@ -39,6 +39,8 @@ CHUNK = 1 << 17
 SORT_SYMBOLS = 1 << 18
 #: Records that a task gathers before it sends them on.
 SEND_AT = 200_000
+#: Bytes of text whose spans one task sorts, about.
+PART_BYTES = 64 << 20
 #: Bytes that make one symbol of a suffix sort.
 SYMBOL_BYTES = 6
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -392,7 +394,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     shared = rows.groupBy("doc").count().filter("count > 1").head(1)
     if shared:  # order rows that share an id
         rows = materialize(rows.orderBy("doc", "data").withColumn("doc", F.monotonically_increasing_id()), "ordered")
-    done = _remove(rows, length, gram, int(spark.conf.get("spark.sql.shuffle.partitions")), keep_text)
+    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    done = _remove(rows, length, gram, parts_for(spark, size, PART_BYTES), keep_text)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
     if shared:
         return rows.select("doc_id", "doc").join(done, "doc").select("doc_id", *names)
