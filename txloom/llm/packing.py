@@ -24,7 +24,7 @@ from txloom.llm.common import document_rows, materialize
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids one Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 #: Characters that follow a word and never join its letters in pre-tokenization.
