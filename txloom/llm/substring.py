@@ -370,12 +370,14 @@ def remove(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[bytes, i
     """What is left of ``data`` without the runs, the bytes removed and the number of maximal runs."""
     if not len(starts):
         return data, 0, 0
-    steps = np.zeros(len(data) + 1, np.int64)
-    np.add.at(steps, starts.astype(np.int64), 1)
-    np.add.at(steps, starts.astype(np.int64) + sizes.astype(np.int64), -1)
-    gone = np.cumsum(steps[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+    starts, ends = starts.astype(np.int64), starts.astype(np.int64) + sizes.astype(np.int64)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate(([True], starts[1:] > ends[:-1]))  # touching runs are one
+    first, last = starts[new].tolist(), ends[np.concatenate((new[1:], [True]))].tolist()
+    whole = memoryview(data)
+    left = b"".join([whole[a:b] for a, b in zip([0, *last], [*first, len(data)], strict=True)])
+    return left, len(data) - len(left), len(first)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
