@@ -14,10 +14,13 @@ LOCAL_SCRATCH = "/tmp/txloom-scratch"
 
 #: Bytes of input that a Python worker holds at once.
 BATCH_BYTES = "8m"
+#: Rows that a Parquet reader decodes at once; packed records and long texts make rows of many kilobytes.
+READ_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_BYTES of input; a record limit that is set stays."""
+    """Lowers the session's Arrow batches to BATCH_BYTES of input and Parquet's to READ_ROWS rows; a record limit that is set stays."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
