@@ -41,3 +41,16 @@ def test_random_runs_are_exposed_and_identifiers_are_not():
         assert not secret_scan.find_secrets(text, encoding)[1]
     start, end = TEXTS[0].index("04db"), TEXTS[0].index("04db") + 40
     assert any(s <= start and end <= e for s, _, e in secret_scan.find_secrets(TEXTS[0], encoding)[0])
+
+
+def test_letter_only_keys_and_keys_with_a_short_number_are_exposed():
+    import random
+    import string
+
+    encoding, r = secret_scan.encoder(), random.Random(3)
+    keys = ["xKqzWvJtRpLmNbHgFdScQyTuBnVe", "xKqzWvJtRpLmNbHgFdScQyTuBnVe4821", "xKqzWvJt/RpLmNbHg+FdScQyTuBnVe", "xKqzWvJt_RpLmNbHgFdScQyTuBnVe-48"]
+    keys += ["".join(r.choices(string.ascii_letters, k=32)) + tail for tail in ("", "7", "4821") for _ in range(50)]
+    for key in keys:
+        assert secret_scan.find_secrets(f"see {key} there", encoding)[1] == [(4, 3, 4 + len(key))], key
+    for word in ("this_is_a_long_identifier_name", "getUserAccountByIdentifierName", "src/configuration/localisation/messages", "internationalisation_2024"):
+        assert not secret_scan.find_secrets(word, encoding)[1], word

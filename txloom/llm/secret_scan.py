@@ -33,8 +33,6 @@ DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 IDENTIFIER = re.compile(
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
     r"|[0-9+/_=-]+"  # numbers, dates, rules
-    r"|[A-Za-z+/_=-]+"  # words, paths and names without any digit
-    r"|[A-Za-z]+([_/=+-][A-Za-z]+)*[_-]?[0-9]{1,4}"  # name with a short number
 )
 
 _HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
