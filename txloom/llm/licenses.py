@@ -38,6 +38,41 @@ TEMPLATES = {
     "spdx-tag": "SPDX License Identifier <<var;name=id;match=[a-z0-9]+;words=1-6>>",
 }
 
+_BULLET = "<<var;name=bullet;match=[0-9a-z]|ii|iii;words=0-1>>"
+_BSD_CONDITIONS = f"""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+{_BULLET} Redistributions of source code must retain the <<beginOptional>>above<<endOptional>> copyright notice, this list of conditions and the following disclaimer.
+{_BULLET} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = f"""{_BULLET} <<beginOptional>>Neither<<endOptional>> the <<var;name=names;match=names?>> <<beginOptional>>of<<endOptional>> <<var;name=holder;words=1-30>> may <<beginOptional>>not<<endOptional>> be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """This software is provided <<var;name=giver;words=0-20>> "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.
+In no event shall <<var;name=holder;words=1-20>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."""
+
+
+def _gnu_header(kind: str) -> str:
+    """The standard header of a GNU license; ``kind`` stands before General."""
+    version = "<<beginOptional>>either<<endOptional>> version <<var;name=version;match=v?[0-9]+;words=1-2>> <<beginOptional>>of the License<<endOptional>> <<beginOptional>>only<<endOptional>> <<beginOptional>>or (at your option) any later version<<endOptional>>"
+    return f"""<<beginOptional>>This <<var;name=work;match=[a-z]+;words=1-3>><<endOptional>> is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License <<beginOptional>>{version}<<endOptional>> as published by the Free Software Foundation<<beginOptional>>; {version}<<endOptional>>.
+<<var;name=work;words=1-12>> is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU {kind} General Public License for more details."""
+
+
+#: Whole license texts and standard headers; copyright lines and titles stand before them.
+TEMPLATES |= {
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, <<var;name=sub;match=sub|license|sublicense;words=1-2>>, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and <<var;name=non;match=non|infringement|noninfringement;words=1-2>>.
+In no event shall <<var;name=holder;words=1-20>> be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.""",
+    "bsd-2-clause-text": f"{_BSD_CONDITIONS}\n{_BSD_DISCLAIMER}",
+    "bsd-3-clause-text": f"{_BSD_CONDITIONS}\n{_BSD_NAME}\n{_BSD_DISCLAIMER}",
+    "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+The software is provided "as is" and <<var;name=holder;words=1-20>> <<var;name=verb;match=disclaims?>> all warranties with regard to this software including all implied warranties of merchantability and fitness.
+In no event shall <<var;name=holder;words=1-20>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.""",
+    "apache-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this <<var;name=work;match=[a-z]+;words=1-3>> except in compliance with the License.
+You may obtain a copy of the License at <<var;name=scheme;match=https?>>://www.apache.org/licenses/LICENSE-2.0<<var;name=suffix;match=txt|html;words=0-1>>
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-header": _gnu_header(""),
+    "lgpl-header": _gnu_header("<<var;name=kind;match=lesser|library>>"),
+}
+
 #: Word characters: 0-9, a-z, and all that is not ASCII; A-Z are lower-cased.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _TAG = re.compile(r"<<(.*?)>>", re.S)
@@ -152,7 +187,7 @@ class Scanner:
                         todo.append(n)
             if final not in seen:
                 out.append(b" " + word + b" ")
-        return out
+        return sorted(out, key=len, reverse=True)  # long words are rarer
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = words_of(text)
