@@ -66,3 +66,10 @@ def test_keep_one(messy):
     ids = {r.doc_id for r in kept.collect()}
     want = {r.component_id for r in simhash.near_duplicates(messy).collect()}
     assert want <= ids | {None}
+
+
+def test_keep_one_leaves_one_row_of_each_component_for_null_and_shared_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "red orange yellow green blue violet black white")
+    rows = [(None, a), (1, a), (None, a), (None, b), (None, b), (1, c), (2, c), (2, "a clean text that shares its id with a dropped one"), (3, a), (3, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (None, b), (1, c), (2, rows[7][1])], key=str)

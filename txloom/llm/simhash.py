@@ -82,15 +82,16 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed 64-bit number."""
-    rows = document_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    out = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp`` with the fingerprint as a signed 64-bit number; ``row`` too where ``row_col`` names it."""
+    more = {"row": row_col} if row_col else {}
+    rows = document_rows(docs, id_col, text_col, *more.values()).toDF("doc_id", "text", *more).withColumn("text", F.col("text").cast("string"))
+    out = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType()), *[rows.schema[c] for c in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py() or "", shingle, seed) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], out.names)
 
     return rows.mapInArrow(run, out)
 
@@ -225,23 +226,32 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return join_components(prints, radius, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def root_prints(prints: DataFrame, first: Column, radius: int, seed: int) -> DataFrame:
+    """Stored ``fp, root, first`` of every distinct fingerprint, ``first`` aggregated over its rows."""
+    firsts = prints.groupBy("fp").agg(first.alias("first"))
+    roots = components(links(firsts.select("fp"), radius, seed))
+    rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialize(rooted.select("fp", "root", "first"), "roots")
+
+
 def join_components(prints: DataFrame, radius: int, seed: int) -> DataFrame:
     """``prints(doc_id, fp, …)`` with ``component_id``."""
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(first.select("fp"), radius, seed))
-    rooted = first.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted.select("fp", "root", "first"), "roots")
+    rooted = root_prints(prints, F.min("doc_id"), radius, seed)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = join_salted(rooted, smallest, ["root"], F.xxhash64("fp"), 8).select("fp", "component_id")
     return join_salted(prints, labels, ["fp"], F.xxhash64("doc_id"), 8)
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id.
+    """``docs`` with exactly one row of each component: that with the smallest id.
 
-    All columns stay.  Repeated rows of that id stay together; a component without
-    any id keeps its rows.
+    All columns stay.  Null ids come last; of rows that share the smallest id the one
+    with the smallest fingerprint stays, of rows that share both any one.  Rows are
+    told apart by a number stored with them, never by id.
     """
-    found = near_duplicates(docs, radius, shingle, seed, text_col, id_col)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
+    numbered = materialize(docs.withColumn("_simhash_row", F.monotonically_increasing_id()), "numbered")
+    prints = materialize(fingerprints(numbered, shingle, seed, text_col, id_col, "_simhash_row"), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row")
+    kept = root_prints(prints, F.min(place), radius, seed).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    dropped = materialize(prints.join(kept, "row", "left_anti").select(F.col("row").alias("_simhash_row")), "dropped")
+    return numbered.join(dropped, "_simhash_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
