@@ -80,18 +80,20 @@ def permutation(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """The mixture as rows ``doc_id, source, epoch, tokens, weight, exponent, block, slot``.
 
     A document appears once an epoch; ``block`` and ``slot`` give its place in the
     stream.  The last epoch of a source ends with the document that fills its part of
     the budget.  Null sources form a source of their own; null texts have no tokens;
     sources without a token get no weight; repeated rows count as often as they occur;
-    an empty table gives no rows.  ``budget`` defaults to the tokens there are.
+    an empty table gives no rows.  ``budget`` defaults to the tokens there are.  A unique
+    column ``row_col`` is passed on as ``row`` and settles ties.
     """
-    rows = document_rows(docs, id_col, source_col, text_col).toDF("doc_id", "source", "text")
+    more = {"row": row_col} if row_col else {}
+    rows = document_rows(docs, id_col, source_col, text_col, *more.values()).toDF("doc_id", "source", "text", *more)
     tokens = rows.select(
-        "doc_id", "source",
+        "doc_id", "source", *more,
         F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string"))).alias("mix_key"),
         F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"),
     )
@@ -99,7 +101,8 @@ def mix(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None
 
 
 def deal(tokens: DataFrame, entropy: float | None, repeats: float | None, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
-    """:func:`mix` on a stored table ``doc_id, source, mix_key, tokens``."""
+    """:func:`mix` on a stored table ``doc_id, source, mix_key, tokens`` and perhaps ``row``."""
+    more = [c for c in tokens.columns if c == "row"]
     sources = materialize(source_table(tokens), "mix-sources")
     exponent, budget = solve_exponent(sources, entropy, repeats, budget)
     blocks = max(1, -(-budget // block_tokens))
@@ -117,23 +120,23 @@ def deal(tokens: DataFrame, entropy: float | None, repeats: float | None, budget
     dealt = dealt.withColumn("card", permutation(seed, F.col("epoch"), F.col("doc_id"))).withColumn("run", F.expr("substring(card, 1, digits)"))
     sums = dealt.groupBy("mix_key", "epoch", "run").agg(F.sum("tokens").alias("run_tokens"))
     starts = sums.select("mix_key", "epoch", "run", (F.sum("run_tokens").over(Window.partitionBy("mix_key", "epoch").orderBy("run")) - F.col("run_tokens")).alias("run_start"))
-    within = Window.partitionBy("mix_key", "epoch", "run").orderBy("card", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("mix_key", "epoch", "run").orderBy("card", "tokens", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("ahead", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(starts, ["mix_key", "epoch", "run"])
     placed = placed.withColumn("at", F.col("epoch") * F.col("total") + F.col("run_start") + F.col("ahead")).filter(F.col("at") < F.col("quota"))
     placed = placed.withColumn("block", F.floor(F.col("at") / F.col("quota") * F.lit(float(blocks))).cast("long"))
-    slot = F.row_number().over(Window.partitionBy("block").orderBy("card", "mix_key", "tokens"))
-    return placed.select("doc_id", "source", F.col("epoch"), "tokens", "weight", F.lit(exponent).alias("exponent"), "block", slot.cast("long").alias("slot"))
+    slot = F.row_number().over(Window.partitionBy("block").orderBy("card", "mix_key", "tokens", *more))
+    return placed.select("doc_id", "source", F.col("epoch"), "tokens", "weight", F.lit(exponent).alias("exponent"), "block", slot.cast("long").alias("slot"), *more)
 
 
 def mix_rows(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` themselves, each as often as the mixture shows it.
 
-    Rows are matched by id and token count; a table that repeats both for different
-    rows shows each of them equally often as the others of that id.
+    Rows are told apart by a number stored with them, so null and shared ids are dealt
+    and shown row by row.
     """
-    id_col = parameters.get("id_col", "doc_id")
-    copies = mix(docs, **parameters).select(F.col("doc_id").alias("_mix_id"), F.col("epoch").alias("_mix_epoch")).distinct()
-    return docs.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("_mix_id"))).drop("_mix_id", "_mix_epoch")
+    numbered = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    shown = mix(numbered, **parameters, row_col="_mix_row").select(F.col("row").alias("_mix_row"))
+    return numbered.join(shown, "_mix_row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""
