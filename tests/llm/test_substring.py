@@ -84,3 +84,77 @@ def test_more_partitions_remove_the_same(spark, monkeypatch):
     few = show_all()
     monkeypatch.setattr(substring, "PART_BYTES", 200)
     assert show_all() == few and any(r.n_removed for r in few)
+
+
+def in_process(texts, length, gram, buckets=3):
+    """The tasks of the operator one after the other in this process, so that module values can be replaced."""
+    import pyarrow as pa
+
+    def task(run, rows, out=None):
+        batches = [substring._batch(rows[i : i + 5]) for i in range(0, len(rows), 5)]
+        return [tuple(c.as_py() for c in row) for b in run(iter(batches)) for row in zip(*b.columns)]
+
+    def deal(rows):
+        return [sorted((r for r in rows if r[0] == k), key=lambda r: r[1] == substring.TEXT) for k in range(buckets)]
+
+    docs = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([t], pa.binary())], ["doc", "data"]) for i, t in enumerate(texts)]
+    emit = substring._emit_spans(length, gram, buckets)
+    dealt = [tuple(c.as_py() for c in row) for part in (docs[::2], docs[1::2]) for b in emit(iter(part)) for row in zip(*b.columns)]
+    grouped = [r for part in deal(dealt) for r in task(substring._group_spans(length, buckets), part)]
+    import zstandard
+
+    pressed = [(int(substring._doc_bucket(np.array([i]), buckets)[0]), substring.TEXT, i, zstandard.ZstdCompressor().compress(t)) for i, t in enumerate(texts)]
+    cut = [r for part in deal([r for r in grouped if r[1] == substring.WANTED] + pressed) for r in task(substring._cut_spans(length, buckets), part)]
+    sizes = [sum(r[2] or 0 for r in part if r[1] == substring.CONTENT) for part in deal(cut)]
+    settled = [r for part in deal(cut) for r in task(substring._decide_spans(length, gram, buckets), part)]
+    assert {r[1] for r in settled} <= {substring.COVERED}
+    covered = substring._by_document([r[3] for r in [*grouped, *settled] if r[1] == substring.COVERED], substring._DOC_SPAN)
+    out = []
+    for i, t in enumerate(texts):
+        c = covered.get(i, np.empty(0, substring._DOC_SPAN))
+        left, gone, runs = substring.remove(t, c["p"], c["n"])
+        out.append((len(t), gone, runs, hashlib.sha256(left).hexdigest()))
+    return out, sizes
+
+
+@pytest.mark.parametrize("letters, length, gram", [(2, 12, 5), (8, 20, 8)])
+@pytest.mark.parametrize("change", ["nothing", "collide", "frequent", "hot", "small"])
+def test_only_bytes_remove(monkeypatch, letters, length, gram, change):
+    """Also where every hash is the same, where every anchor is cut into pieces, and in small steps."""
+    if change == "collide":
+        monkeypatch.setattr(substring, "_mix", lambda h: h * np.uint64(0))
+        monkeypatch.setattr(substring, "core_hash", lambda core: 7)
+        monkeypatch.setattr(substring, "HOT_SPANS", 2)
+    if change == "frequent":
+        monkeypatch.setattr(substring, "FREQUENT", 1)
+    if change == "hot":
+        monkeypatch.setattr(substring, "HOT_SPANS", 2)
+    if change == "small":
+        monkeypatch.setattr(substring, "SEND_AT", 8)
+        monkeypatch.setattr(substring, "DECIDE_AT", 1)
+        monkeypatch.setattr(substring, "FREQUENT", 1)
+    texts = [t.encode() for t in corpus(random.Random(letters + 9), letters, 40)]
+    texts += texts[:5] * 4
+    want = [show(t, g) for t, g in zip(texts, brute(texts, length))]
+    assert in_process(texts, length, gram)[0] == want and any(w[1] for w in want)
+
+
+def test_contexts_of_one_line_spread(monkeypatch):
+    """A line in many documents with other words around it: no task gets all its contexts."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    line = word(60)
+    texts = [(word(150) + line + word(150)).encode() for _ in range(300)]
+    monkeypatch.setattr(substring, "FREQUENT", 20)
+    done, sizes = in_process(texts, 100, 32, 8)
+    assert [d[1] for d in done] == [sum(g) for g in brute(texts, 100)]
+    assert sum(sizes) > 300 and max(sizes) < sum(sizes) / 3
+
+
+def test_pieces_hold_every_window_once():
+    r = random.Random(4)
+    text = bytes(r.choices(b"ab", k=400))
+    spans = substring.spans_of(text, 0)
+    cut = substring.pieces(text, spans)
+    starts = sorted(p + k for p, n in zip(cut["p"].tolist(), cut["n"].tolist()) for k in range(n))
+    assert starts == list(range(301)) and cut["n"].max() <= substring.PIECE

@@ -3,18 +3,24 @@
 A byte goes where a string of ``length`` bytes that covers it also starts earlier.
 Every window of that length is assigned to its anchor, the least hashed ``gram`` of
 its bytes, so equal windows have the same anchor at the same offset, and a run of
-windows with one anchor is a *span*.  Spans are grouped by the anchor's hash:
-
-1. spans of a group with the same content form a class; all but the earliest are
-   wholly repeated, which is all most of them need;
-2. the earliest spans of groups with several classes are sorted by what stands right
-   of the anchor and by what stands left of it (suffix order by Lyndon grouping, over
-   the distinct strings, the common beginning of a group taken off).  Common prefixes
-   of neighbours then tell, offset by offset, which windows are equal, and the
-   earliest of each stays.
-
-Nothing is compared pair by pair and no group is capped.  Records travel as packed
-binary columns, hash-partitioned by anchor or by document; texts travel compressed.
+windows with one anchor is a *span*.  Hashes only say which spans can meet; bytes
+decide:
+
+1. spans whose anchor's hash occurs once repeat nothing; all others are cut out of
+   their texts and sent to the task of that hash;
+2. there they are sorted by what stands right of the anchor and by what stands left of
+   it (suffix order by Lyndon grouping; equal strings share a place, the common
+   beginning of a group is taken off).  Common prefixes of neighbours then tell, offset
+   by offset, which windows are equal, and the earliest of each stays.
+
+Nothing is compared pair by pair and no group is capped.  An anchor with very many
+spans would fill one task: a task combines equal spans of such an anchor (compared by
+their bytes) before it sends them, and where many different ones are left, all spans of
+the anchor are cut into *pieces* of PIECE windows whose key is the hash of the bytes that
+those windows share, so that contexts of one anchor spread over all tasks.
+
+Records travel as packed binary columns, hash-partitioned by anchor or by document;
+texts and contents travel compressed.
 """
 
 from __future__ import annotations
@@ -39,14 +45,25 @@ CHUNK = 1 << 17
 SORT_SYMBOLS = 1 << 18
 #: Records that a task gathers before it sends them on.
 SEND_AT = 200_000
+#: Spans of one anchor in such a batch from which equal ones are combined, and different ones cut into pieces.
+FREQUENT = 512
+#: Spans of one anchor from which all of them are cut into pieces.
+HOT_SPANS = 20_000
+#: Windows of a piece.
+PIECE = 4
+#: Spans whose contents a task has in memory at once, unless one anchor has more.
+DECIDE_AT = 50_000
 #: Bytes of text whose spans one task sorts, about.
 PART_BYTES = 64 << 20
 #: Bytes that make one symbol of a suffix sort.
 SYMBOL_BYTES = 6
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFF)
 
-RECORD = np.dtype([("h", "<u8"), ("sig", "<u8"), ("doc", "<i8"), ("p", "<u4"), ("off", "u1"), ("n", "u1")])
+#: A span or piece: hash, document, first window, place of the anchor after it, windows (0: a mark that the anchor is frequent).
+RECORD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("p", "<u4"), ("off", "u1"), ("n", "u1")])
+#: Added to ``n`` of a wanted span that is to be cut into pieces.
+FINER = 128
 SPAN = np.dtype([("p", "<u4"), ("n", "<u4")])
 _PACKED = "bucket int, kind int, doc long, data binary"
 
@@ -80,7 +97,7 @@ def spans_of(data: bytes, doc: int, length: int = LENGTH, gram: int = GRAM) -> n
     whole, width, out = np.frombuffer(data, np.uint8), length - gram + 1, []
     for at in range(0, len(whole) - length + 1, CHUNK):
         s = whole[at : at + CHUNK + length - 1]
-        slices = Hasher(s, _BASES[0], CHUNK + 256)
+        slices = Hasher(s, _BASE, CHUNK + 256)
         starts = np.arange(len(s) - gram + 1)
         hashes = slices(starts, starts + gram)
         least, w = (hashes & ~_LOW) | starts.astype(np.uint64), 1
@@ -93,18 +110,44 @@ def spans_of(data: bytes, doc: int, length: int = LENGTH, gram: int = GRAM) -> n
         last = np.concatenate((first[1:], [len(anchor)])) - 1
         r = np.empty(len(first), RECORD)
         r["h"], r["doc"], r["p"], r["off"], r["n"] = hashes[anchor[first]], doc, at + first, anchor[first] - first, last - first + 1
-        other = Hasher(s, _BASES[1], CHUNK + 256)(first, last + length)
-        r["sig"] = _mix(other ^ (r["off"].astype(np.uint64) << np.uint64(8)) ^ r["n"].astype(np.uint64))
         out.append(r)
     return np.concatenate(out) if out else np.empty(0, RECORD)
 
 
-def classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of records: those that repeat an earlier one of their class, and the earliest of each class."""
-    r = r[np.lexsort((r["p"], r["doc"], r["sig"], r["h"]))]
+def pieces(text: bytes, r: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Spans of a text cut into pieces of up to PIECE windows.
+
+    Windows are cut by their distance to the anchor, so equal windows are in pieces with
+    the same key: the hash of the ``length - PIECE + 1`` bytes that all windows with these
+    distances contain.
+    """
+    out = []
+    for doc, p, off, n in zip(r["doc"].tolist(), r["p"].tolist(), r["off"].tolist(), r["n"].tolist(), strict=True):
+        for k in range((off - n + 1) // PIECE, off // PIECE + 1):
+            first, last = max(0, off - PIECE * k - PIECE + 1), min(n - 1, off - PIECE * k)
+            core = p + off - PIECE * k
+            out.append((core_hash(text[core : core - PIECE + 1 + length]), doc, p + first, core - p - first, last - first + 1))
+    return np.array(out, RECORD)
+
+
+def core_hash(core: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(core)
+
+
+def combine(r: np.ndarray, contents: list[bytes]) -> np.ndarray:
+    """Whether each record has the key and the bytes of an earlier one; ``contents[i]`` belongs to ``r[i]``."""
+    order = np.lexsort((r["p"], r["doc"]))
+    seen: set[tuple[int, bytes]] = set()
     again = np.zeros(len(r), bool)
-    again[1:] = (r["h"][1:] == r["h"][:-1]) & (r["sig"][1:] == r["sig"][:-1])
-    return r[again], r[~again]
+    for i, h in zip(order.tolist(), r["h"][order].tolist(), strict=True):
+        cell = (h, contents[i])
+        if cell in seen:
+            again[i] = True
+        else:
+            seen.add(cell)
+    return again
 
 
 def _ranked(keys: list[int], strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +218,15 @@ def _common(a: bytes, b: bytes, known: int) -> int:
 
 
 def decide(r: np.ndarray, spans: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Repeated windows of the earliest spans: documents, first bytes and lengths of covered runs.
+    """Repeated windows of spans: documents, first bytes and lengths of covered runs.
 
-    ``spans[i]`` is the content of record ``r[i]``; records with the same ``h`` are compared.
+    ``spans[i]`` is the content of record ``r[i]``; records with the same ``h`` are
+    compared.  A span that equals an earlier one is covered as a whole.
     """
     order = np.lexsort((r["p"], r["doc"], r["h"]))  # earliest first
     r, spans = r[order], [spans[i] for i in order]
+    again = combine(r, spans)
+    whole, r, spans = r[again], r[~again], [s for s, a in zip(spans, again.tolist(), strict=True) if not a]
     keys, offs = r["h"].tolist(), r["off"].tolist()
     right, right_common = _ranked(keys, [s[o:] for s, o in zip(spans, offs, strict=True)])
     left, left_common = _ranked(keys, [s[:o][::-1] for s, o in zip(spans, offs, strict=True)])
@@ -205,7 +251,8 @@ def decide(r: np.ndarray, spans: list[bytes], length: int = LENGTH, gram: int =
     new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate((first, [len(row)])))
-    return r["doc"][row[first]], r["p"][row[first]].astype(np.int64) + start[first], count + length - 1
+    found = r["doc"][row[first]], r["p"][row[first]].astype(np.int64) + start[first], count + length - 1
+    return tuple(np.concatenate(x) for x in zip((whole["doc"], whole["p"].astype(np.int64), whole["n"].astype(np.int64) + length - 1), found, strict=True))
 
 
 def _bucketed(kind: int, bucket: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int | None, bytes]]:
@@ -236,35 +283,73 @@ def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
 
 
 #: Kinds of rows on their way to a bucket of anchors or of documents.
-SPANS, COVERED, WANTED, TEXT = 0, 1, 2, 3
+SPANS, COVERED, WANTED, TEXT, CONTENT = 0, 1, 2, 3, 4
+
+
+def _covered(r: np.ndarray, length: int, buckets: int) -> Iterator[tuple[int, int, int | None, bytes]]:
+    """Rows that say that spans are covered as a whole."""
+    return _bucketed(COVERED, _doc_bucket(r["doc"], buckets), _doc_spans(r["doc"], r["p"], r["n"].astype(np.int64) + length - 1))
 
 
 def _emit_spans(length: int, gram: int, buckets: int):
-    """Texts to packed spans by anchor; repeats inside a batch are settled at once."""
+    """Texts to packed spans by anchor.
+
+    Of an anchor with more than FREQUENT spans in a batch, equal ones are combined; if
+    different ones are as many, only a mark of the anchor is sent and its spans are
+    wanted in pieces.
+    """
+
+    def frequent(r: np.ndarray, texts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What to send, what is covered, and spans of anchors with many contents."""
+        r = r[np.argsort(r["h"], kind="stable")]
+        _, at, size = np.unique(r["h"], return_inverse=True, return_counts=True)
+        often = size[at] > FREQUENT
+        some = r[often]
+        if not len(some):
+            return r, some, some
+        ends = some["p"].astype(np.int64) + some["n"] + length - 1
+        again = combine(some, [texts[d][p:e] for d, p, e in zip(some["doc"].tolist(), some["p"].tolist(), ends.tolist(), strict=True)])
+        left = some[~again]
+        keys, first, at, size = np.unique(left["h"], return_index=True, return_inverse=True, return_counts=True)
+        many = size > FREQUENT
+        marks = left[first[many]].copy()
+        marks["n"] = 0
+        return np.concatenate((r[~often], left[~many[at]], marks)), some[again], left[many[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            again, first = classes(np.concatenate(found))
-            covered = _doc_spans(again["doc"], again["p"], again["n"].astype(np.int64) + length - 1)
-            rows = [*_bucketed(SPANS, (first["h"] % np.uint64(buckets)).astype(np.int64), first)]
-            return _batch(rows + [*_bucketed(COVERED, (_doc_bucket(again["doc"], buckets)), covered)])
+        def out() -> pa.RecordBatch:
+            send, covered, finer = frequent(np.concatenate(found), texts)
+            rows = [*_bucketed(SPANS, (send["h"] % np.uint64(buckets)).astype(np.int64), send), *_covered(covered, length, buckets), *_wanted(finer, True, buckets)]
+            found.clear()
+            texts.clear()
+            return _batch(rows)
 
-        found, size = [], 0
+        found: list[np.ndarray] = []
+        texts: dict[int, bytes] = {}
+        size = 0
         for batch in batches:
-            for doc, data in zip(batch.column(0), batch.column(1), strict=True):
-                found.append(spans_of(data.as_py(), doc.as_py(), length, gram))
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts[doc] = data.as_py()
+                found.append(spans_of(texts[doc], doc, length, gram))
                 size += len(found[-1])
                 if size > SEND_AT:
-                    yield out(found)
-                    found, size = [], 0
+                    yield out()
+                    size = 0
         if size:
-            yield out(found)
+            yield out()
 
     return run
 
 
+def _wanted(r: np.ndarray, finer: bool | np.ndarray, buckets: int) -> Iterator[tuple[int, int, int | None, bytes]]:
+    """Rows that ask the documents for the contents of spans, or of their pieces."""
+    r = r.copy()
+    r["n"] |= np.where(finer, np.uint8(FINER), np.uint8(0))
+    return _bucketed(WANTED, _doc_bucket(r["doc"], buckets), r)
+
+
 def _group_spans(length: int, buckets: int):
-    """A partition of spans to what is covered and whose content is wanted."""
+    """A partition of spans to those whose content is wanted; what is settled passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -277,15 +362,14 @@ def _group_spans(length: int, buckets: int):
                     passed.append((bucket, kind, None, data.as_py()))
             yield _batch(passed)
         if found:
-            again, first = classes(np.concatenate(found))
-            covered = _doc_spans(again["doc"], again["p"], again["n"].astype(np.int64) + length - 1)
-            yield _batch([*_bucketed(COVERED, _doc_bucket(covered["doc"], buckets), covered)])
-            shared = np.zeros(len(first), bool)
-            same = first["h"][1:] == first["h"][:-1]
-            shared[1:] |= same
-            shared[:-1] |= same
-            first = first[shared]
-            yield _batch([*_bucketed(WANTED, _doc_bucket(first["doc"], buckets), first)])
+            r = np.concatenate(found)
+            found.clear()
+            r = r[np.argsort(r["h"], kind="stable")]
+            _, at, size = np.unique(r["h"], return_inverse=True, return_counts=True)
+            finer = np.bincount(at, r["n"] == 0, len(size)) > 0  # marked by a task
+            finer |= size > HOT_SPANS
+            keep = (size[at] > 1) & (r["n"] > 0)
+            yield _batch([*_wanted(r[keep], finer[at[keep]], buckets)])
 
     return run
 
@@ -317,32 +401,42 @@ def _then_texts(batches: Iterator[pa.RecordBatch], kind: np.dtype, each) -> Iter
 
 
 def _cut_spans(length: int, buckets: int):
-    """Texts with the spans wanted of them to records with content, by anchor."""
+    """Texts with the spans wanted of them to records with content, by anchor; equal ones of a batch are combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
         records: list[np.ndarray] = []
         contents: list[bytes] = []
 
         def out() -> pa.RecordBatch:
             r = np.concatenate(records)
+            again = combine(r, contents)
+            rows = [*_covered(r[again], length, buckets)]
             bucket = (r["h"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
-            rows = []
+            order = order[~again[order]]
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(order) else [0]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = order[a:b]
-                rows.append((int(bucket[part[0]]), len(part), None, r[part].tobytes() + b"".join([contents[i] for i in part])))
+                rows.append((int(bucket[part[0]]), CONTENT, len(part), press.compress(r[part].tobytes() + b"".join([contents[i] for i in part]))))
             records.clear()
             contents.clear()
             return _batch(rows)
 
-        for found in _then_texts(batches, RECORD, lambda doc, text, r: (text, r)):
-            text, r = found
-            if r is not None:
-                records.append(r)
-                contents += [text[p : p + n + length - 1] for p, n in zip(r["p"].tolist(), r["n"].tolist(), strict=True)]
-                if len(contents) > SEND_AT // 8:
-                    yield out()
+        for text, r in _then_texts(batches, RECORD, lambda doc, text, r: (text, r)):
+            if r is None:
+                continue
+            finer = r["n"] >= FINER
+            if finer.any():
+                some = r[finer].copy()
+                some["n"] -= FINER
+                r = np.concatenate((r[~finer], pieces(text, some, length)))
+            records.append(r)
+            contents += [text[p : p + n + length - 1] for p, n in zip(r["p"].tolist(), r["n"].tolist(), strict=True)]
+            if len(contents) > SEND_AT // 4:
+                yield out()
         if contents:
             yield out()
 
@@ -350,18 +444,42 @@ def _cut_spans(length: int, buckets: int):
 
 
 def _decide_spans(length: int, gram: int, buckets: int):
+    """A partition of contents to what is covered, some anchors at a time; what is settled passes through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, contents = [], []
+        import zstandard
+
+        plain, records, blobs, starts, at = zstandard.ZstdDecompressor(), [], [], [], 0
         for batch in batches:
-            for count, data in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
-                blob = data.as_py()
-                r = np.frombuffer(blob, RECORD, count)
-                ends = count * RECORD.itemsize + np.cumsum(r["n"].astype(np.int64) + length - 1)
+            passed = []
+            for bucket, kind, count, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if kind != CONTENT:
+                    passed.append((bucket, kind, None, data.as_py()))
+                    continue
+                blob = plain.decompress(data.as_py())
+                r = np.frombuffer(blob, RECORD, count).copy()
+                sizes = r["n"].astype(np.int64) + length - 1
+                starts.append(at + np.cumsum(sizes) - sizes)
+                at += int(sizes.sum())
                 records.append(r)
-                contents += [blob[e - n - length + 1 : e] for e, n in zip(ends.tolist(), r["n"].tolist(), strict=True)]
-        if records:
-            covered = _doc_spans(*decide(np.concatenate(records), contents, length, gram))
+                blobs.append(blob[count * RECORD.itemsize :])
+            yield _batch(passed)
+        if not records:
+            return
+        r, whole, start = np.concatenate(records), b"".join(blobs), np.concatenate(starts)
+        records.clear()
+        blobs.clear()
+        order = np.argsort(r["h"], kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], np.diff(r["h"][order]) != 0, [True])))
+        low = 0
+        while low < len(order):
+            high = int(new[max(np.searchsorted(new, low + DECIDE_AT, "right") - 1, np.searchsorted(new, low, "right"))])
+            part = order[low:high]
+            some = r[part]
+            ends = start[part] + some["n"] + length - 1
+            covered = _doc_spans(*decide(some, [whole[a:b] for a, b in zip(start[part].tolist(), ends.tolist(), strict=True)], length, gram))
             yield _batch([*_bucketed(COVERED, _doc_bucket(covered["doc"], buckets), covered)])
+            low = high
 
     return run
 
