@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from txloom.llm import exact
 
 
@@ -17,7 +19,7 @@ def test_cuckoo_index_inserts_deletes_and_resizes():
     assert sorted(v for _, v in index.items()) == list(range(1, 5000, 2))
 
 
-def test_same_print_and_bucket_is_verified_by_content():
+def test_same_print_and_bucket_is_verified_by_key():
     a, b = bytes(32), bytes(12) + b"x" * 20
     index = exact.CuckooIndex(8)
     index.insert(a, 1)
@@ -51,15 +53,35 @@ def test_deduplicate_keeps_columns_and_one_row_a_text(messy, nothing):
     assert exact.exact_groups(nothing).count() == 0 and exact.deduplicate(nothing).count() == 0
 
 
+def indexed(spark, flush=1 << 25, n=2000):
+    rows = spark.range(n).selectExpr("id as doc_id", "concat('text ', id % 37) as text")
+    return exact.indexed_rows(rows, "text", "doc_id", flush_bytes=flush)
+
+
 def test_flushed_index_gives_the_same_groups(spark):
-    rows = spark.range(2000).selectExpr("id as doc_id", "id as row", "unhex(sha2(cast(id % 37 as string), 256)) as digest")
-    got = {bytes(r.digest): (r.keep_id, r.n) for r in exact.live_rows(rows, flush_at=5).collect()}
+    stored = indexed(spark, flush=5)
+    assert stored.filter("kind = 1").count() > 100
+    got = {bytes(r.digest): (r.keep_id, r.n) for r in exact.live_rows(stored).collect()}
     assert len(got) == 37 and sum(n for _, n in got.values()) == 2000 and max(k for k, _ in got.values()) == 1999
 
 
-def test_more_partitions_give_the_same_groups(spark, monkeypatch):
-    monkeypatch.setattr(exact, "INDEX_ROWS", 100)
-    rows = spark.range(2000).selectExpr("id as doc_id", "id as row", "unhex(sha2(cast(id % 37 as string), 256)) as digest")
-    live = exact.live_rows(rows)
-    assert live.rdd.getNumPartitions() == 20
+@pytest.mark.parametrize("name, value", [("INDEX_ROWS", 5), ("INDEX_BYTES", 100)])
+def test_more_partitions_give_the_same_groups(spark, monkeypatch, name, value):
+    monkeypatch.setattr(exact, name, value)
+    live = exact.live_rows(indexed(spark))
     assert sorted((r.keep_id, r.n) for r in live.collect()) == sorted((max(range(k, 2000, 37)), len(range(k, 2000, 37))) for k in range(37))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("digest", [lambda data: bytes(32), lambda data: bytes([len(data) % 3]) * 32])
+def test_equal_digests_of_different_texts_are_told_apart(spark, messy, parts, digest):
+    want = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(messy).collect()), key=str)
+    got = exact.exact_groups(messy.repartition(parts), digest=digest).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == want
+
+
+def test_clashing_and_doubled_columns(spark):
+    names = ["doc_id", "text", "_digest", "_id", "row", "text"]
+    frame = spark.createDataFrame([(1, "a", "x", 1, 1, "p"), (2, "a", "y", 2, 2, "q"), (3, None, "z", 3, 3, "r")], "a int, b string, c string, d int, e int, f string").toDF(*names)
+    out = exact.deduplicate(frame)
+    assert out.columns == names and sorted(map(tuple, out.collect())) == [(2, "a", "y", 2, 2, "q"), (3, None, "z", 3, 3, "r")]

@@ -2,7 +2,7 @@ import random
 
 from tests_llm_reference import components as brute_components
 from tests_llm_reference import fingerprint as brute_print
-from txloom.llm import simhash
+from txloom.llm import mixing, simhash, toxicity
 
 
 def test_every_close_pair_meets_in_a_table():
@@ -73,3 +73,20 @@ def test_keep_one_leaves_one_row_of_each_component_for_null_and_shared_ids(spark
     rows = [(None, a), (1, a), (None, a), (None, b), (None, b), (1, c), (2, c), (2, "a clean text that shares its id with a dropped one"), (3, a), (3, a)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (None, b), (1, c), (2, rows[7][1])], key=str)
+
+
+def test_clashing_columns_stay(spark, nothing):
+    names = ["doc_id", "text", "_dropped", "_simhash_row", "row", "_mix_id", "_mix_epoch", "source", "text"]
+    rows = [(5, "one two three four five six", "a", 1, 1, 1, 1, "s", "p"), (4, "one two three four five six", "b", 2, 2, 2, 2, "s", "q"), (None, None, "c", 3, 3, 3, 3, None, "r")]
+    frame = spark.createDataFrame(rows, "a int, b string, c string, d int, e int, f int, g int, h string, i string").toDF(*names)
+    out = simhash.keep_one(frame)
+    assert out.columns == names and sorted((r[0] is None, r[2]) for r in out.collect()) == [(False, "b"), (True, "c")]
+    assert simhash.keep_one(nothing).columns == nothing.columns and simhash.keep_one(nothing).count() == 0
+    mixed = mixing.mix_rows(frame)
+    assert mixed.columns == names and {tuple(r) for r in mixed.collect()} <= set(rows)
+    assert toxicity.reject(frame, toxicity.Model({}, -2.0)).columns == names
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(1, 3000).selectExpr("id as a", "id - 1 as b")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +68,33 @@ def document_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def shadowed(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with neutral column names, what a name became, and the way back.
+
+    An operator that keeps all columns can add its own to such a frame whatever the
+    table's columns are called; of columns with the same name the first is meant.
+    """
+    names = docs.columns
+    frame = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return frame, lambda name: f"c{names.index(name)}", lambda df: df.select(*frame.columns).toDF(*names)
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, salt: Column, how: str = "left", share: int = 1000) -> DataFrame:
+    """Join many ``rows`` to at most one ``groups`` row a key; keys with a good part of the rows spread over tasks.
+
+    ``weight`` of ``groups`` is the number of rows of the key, of ``total`` in all; it
+    is dropped no more than other columns.  Keys with more than a ``share``-th of the
+    rows, at most ``share`` of them, are broadcast with the number of their salts, one
+    for every ``share``-th; only their groups are repeated.  ``salt`` is any
+    deterministic integer column of ``rows``.
+    """
+    salts = F.ceil(F.col(weight) * share / F.lit(max(total, 1))).cast("int")
+    hot = groups.filter(F.col(weight) * share > total).select(*keys, salts.alias("_salts"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(salt, F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")).drop("_salts")
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def join_salted(rows: DataFrame, groups: DataFrame, keys: Iterable[str], salt: Column, salts: int = 16, how: str = "left") -> DataFrame:
     """Join many ``rows`` to at most one ``groups`` row a key; a hot key spreads over ``salts`` tasks.
 

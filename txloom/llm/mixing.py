@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import document_rows, materialize
+from txloom.llm.common import document_rows, materialize, shadowed
 
 #: Normalised entropy of the mixture, most epochs of one source, tokens a block, seed.
 ENTROPY = 0.95
@@ -134,9 +134,11 @@ def mix_rows(docs: DataFrame, **parameters) -> DataFrame:
     Rows are told apart by a number stored with them, so null and shared ids are dealt
     and shown row by row.
     """
-    numbered = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    shown = mix(numbered, **parameters, row_col="_mix_row").select(F.col("row").alias("_mix_row"))
-    return numbered.join(shown, "_mix_row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    frame, at, back = shadowed(docs)
+    columns = {f"{c}_col": at(parameters.pop(f"{c}_col", name)) for c, name in (("text", "text"), ("id", "doc_id"), ("source", "source"))}
+    numbered = materialize(frame.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    shown = mix(numbered, **parameters, **columns, row_col="row").select("row")
+    return back(numbered.join(shown, "row"))
 
 
 ORACLE = f"""

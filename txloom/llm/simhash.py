@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, drop_scratch, join_salted, materialize
+from txloom.llm.common import document_rows, drop_scratch, join_hot, join_salted, materialize, shadowed
 
 RADIUS = 4
 SHINGLE = 4
@@ -189,14 +189,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, seed: int = SEED, split_at:
     return found
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each node's component (large-star, small-star).
 
-    Rounds are written to the shared folder; only the number of changed edges reaches
-    the driver.
+    Rounds are written to the shared folder until one changes nothing; only a count and
+    a sum of hashes of the edges reach the driver.
     """
+    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(max_rounds):
+    seen = mark(edges)
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = join_salted(both, least, ["a"], F.xxhash64("b"), 8, "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -205,12 +207,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         small = join_salted(large, least, ["a"], F.xxhash64("b"), 8, "inner")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = materialize(small.filter("a <> b").distinct(), "edges")
-        changed = new.exceptAll(edges).head(1) or edges.exceptAll(new).head(1)
         drop_scratch(edges)
-        edges = new
-        if not changed:
+        edges, before = new, seen
+        seen = mark(edges)
+        if seen == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -228,18 +229,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def root_prints(prints: DataFrame, first: Column, radius: int, seed: int) -> DataFrame:
     """Stored ``fp, root, first`` of every distinct fingerprint, ``first`` aggregated over its rows."""
-    firsts = prints.groupBy("fp").agg(first.alias("first"))
+    firsts = prints.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     roots = components(links(firsts.select("fp"), radius, seed))
     rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    return materialize(rooted.select("fp", "root", "first"), "roots")
+    return materialize(rooted.select("fp", "root", "first", "n"), "roots")
 
 
 def join_components(prints: DataFrame, radius: int, seed: int) -> DataFrame:
-    """``prints(doc_id, fp, …)`` with ``component_id``."""
+    """Stored ``prints(doc_id, fp, …)`` with ``component_id``."""
     rooted = root_prints(prints, F.min("doc_id"), radius, seed)
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = join_salted(rooted, smallest, ["root"], F.xxhash64("fp"), 8).select("fp", "component_id")
-    return join_salted(prints, labels, ["fp"], F.xxhash64("doc_id"), 8)
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    labels = join_hot(rooted, smallest, ["root"], "m", rooted.count(), F.xxhash64("fp")).select("fp", "component_id", "n")
+    return join_hot(prints, labels, ["fp"], "n", prints.count(), F.xxhash64("doc_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -249,9 +250,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed
     with the smallest fingerprint stays, of rows that share both any one.  Rows are
     told apart by a number stored with them, never by id.
     """
-    numbered = materialize(docs.withColumn("_simhash_row", F.monotonically_increasing_id()), "numbered")
-    prints = materialize(fingerprints(numbered, shingle, seed, text_col, id_col, "_simhash_row"), "fingerprints")
+    frame, at, back = shadowed(docs)
+    numbered = materialize(frame.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    prints = materialize(fingerprints(numbered, shingle, seed, at(text_col), at(id_col), "row"), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row")
     kept = root_prints(prints, F.min(place), radius, seed).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    dropped = materialize(prints.join(kept, "row", "left_anti").select(F.col("row").alias("_simhash_row")), "dropped")
-    return numbered.join(dropped, "_simhash_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = materialize(prints.join(kept, "row", "left_anti").select("row"), "dropped")
+    return back(numbered.join(dropped, "row", "left_anti"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, materialize
+from txloom.llm.common import document_rows, materialize, shadowed
 
 #: Labelled rows that the classifier is fitted on at most (taken by hash of the id).
 MAX_TRAIN_ROWS = 20_000
@@ -212,15 +212,19 @@ def fit(rows: list, words: list[bytes], counterfactual: float = COUNTERFACTUAL,
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, counterfactual: float = COUNTERFACTUAL, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", keep_out: bool = True) -> Model:
     """Fits on labelled rows that are not held out (``keep_out``), at most ``max_rows`` of them.
 
-    Rows without id, without label or with a label other than 0 and 1 are not used.
+    Rows without id, without label or with a label other than 0 and 1 are not used; of
+    documents that share an id that with the least text is used.
     """
     given = document_rows(labels, id_col, label_col).toDF("doc_id", "label").filter("doc_id IS NOT NULL AND label IN (0, 1)")
     if keep_out:
         given = given.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     given = given.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = document_rows(docs, id_col, text_col).toDF("doc_id", "text")
-    labelled = texts.join(F.broadcast(given), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"), "label")
-    labelled = materialize(labelled, "labelled")  # at most max_rows ids and their texts
+    labelled = texts.join(F.broadcast(given), "doc_id").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"), "label")
+    labelled = materialize(labelled, "labelled")
+    if labelled.count() > given.count():  # of rows that share an id one teaches
+        labelled = labelled.groupBy("doc_id", "label").agg(F.min("data").alias("data"))
+    # at most max_rows rows
     words = choose_words(labelled)
     return fit(count_words(labelled, words), words, counterfactual)
 
@@ -249,11 +253,12 @@ def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
-    schema, column = docs.schema, docs.columns.index(text_col)
+    frame, at, back = shadowed(docs)
+    column = frame.columns.index(at(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [model.score((c.as_py() or "").encode("utf-8", "surrogatepass")) < threshold for c in batch.column(column)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return back(frame.mapInArrow(run, frame.schema))
