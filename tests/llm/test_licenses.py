@@ -180,6 +180,72 @@ Lesser General Public License for more details.""",
 }
 
 
+FULL |= {
+    "agpl-header": FULL["gpl-header"].replace("GNU General", "GNU Affero General"),
+    "mpl-header": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+}
+
+
+def pattern(markup):
+    """A template as one regular expression over words that are each followed by a space."""
+    out = []
+    for tag, plain in re.findall(r"<<(.*?)>>|((?:(?!<<).)+)", markup, re.S):
+        if plain:
+            out += [re.escape(w) + " " for w in re.findall(r"[a-z0-9]+", plain.lower())]
+        elif tag == "beginOptional":
+            out.append("(?:")
+        elif tag == "endOptional":
+            out.append(")?")
+        else:
+            given = dict(x.split("=", 1) for x in tag.split(";")[1:])
+            low, high = given.get("words", "1-1").split("-")
+            out.append(f"(?:(?:{given.get('match', '[^ ]+')}) ){{{low},{high}}}")
+    return re.compile("(?:^| )" + "".join(out))
+
+
+def test_labels_match_regular_expressions():
+    """Whole texts, notices and changed ones: a label stands exactly where its markup's expression matches."""
+    import random
+
+    r, scanner = random.Random(4), licenses.Scanner()
+    patterns = {k: pattern(v) for k, v in licenses.TEMPLATES.items()}
+    seen = set()
+    for _ in range(300):
+        words = " lorem ".join(r.sample([*FULL.values(), *filter(None, TEXTS)], r.randint(1, 3))).split()
+        for _ in range(r.choice((0, 0, 1, 2))):
+            at = r.randrange(len(words))
+            words[at : at + r.randint(0, 2)] = r.choice([[], ["copyright"], ["2"], ["GNU", "Lesser"]])
+        text = " ".join(words)
+        flat = "".join(w + " " for w in re.findall(r"[a-z0-9]+|[^\x00-\x7f]+", text.lower().replace("é", "")))
+        want = {k for k, p in patterns.items() if p.search(" " + flat)}
+        assert set(filter(None, scanner.scan(text.replace("é", "").encode())[5].split(","))) - set(licenses.PHRASES.values()) == want, text
+        seen |= want
+    assert seen >= set(FULL) | {"gpl-notice", "mit-notice", "apache-notice", "spdx-tag"}
+
+
 @pytest.mark.parametrize("label", FULL)
 def test_whole_texts_and_headers_are_labelled(label):
     scan = lambda t: set(licenses.Scanner().scan(t.encode())[5].split(",")) & set(FULL)

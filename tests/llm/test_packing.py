@@ -77,3 +77,13 @@ def test_documents_are_packed_whole(messy, nothing):
         parts.sort()
         assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 64
     assert packing.pack_documents(nothing).count() == 0
+
+
+def test_long_words_are_not_kept():
+    import public_tokenizers
+
+    table = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), limit=3)
+    text = "ab " + "x" * 500 + " 漢字" * 3 + " " + "漢" * 400 + " cd ef gh ab"
+    want = table.tokenizer.encode(text, add_special_tokens=False).ids
+    assert table.encode(text) == b"".join(i.to_bytes(4, "little") for i in want)
+    assert len(table) <= 4 and max(map(len, table)) < packing.CACHE_BYTES

@@ -54,3 +54,83 @@ def test_letter_only_keys_and_keys_with_a_short_number_are_exposed():
         assert secret_scan.find_secrets(f"see {key} there", encoding)[1] == [(4, 3, 4 + len(key))], key
     for word in ("this_is_a_long_identifier_name", "getUserAccountByIdentifierName", "src/configuration/localisation/messages", "internationalisation_2024"):
         assert not secret_scan.find_secrets(word, encoding)[1], word
+
+
+def brute_added(text, encoding):
+    """Added spans by trying every start and end of a run's parts, and every base span."""
+    base = [(m.start(), m.end()) for p, keep in BASE for m in p.finditer(text) if keep(m)]
+    bad = lambda t: len(t) / len(encoding.encode_ordinary(t)) <= 2.2
+    known = lambda t: re.fullmatch(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9+/_=-]+", t) or (len(t) in (32, 40, 48, 56, 64, 96, 128) and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", t))
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[end]):
+            end += 1
+        if end - at >= 20:
+            cuts = [i for i in range(at, end + 1) if i == at or i == end or (text[i - 1] in "/_=-") != (text[i] in "/_=-")]
+            parts = [(a, b) for a, b in zip(cuts, cuts[1:]) if text[a] not in "/_=-"]
+            if parts:
+                a, b = parts[0][0], parts[-1][1]
+                if len(parts) > 1 and any(y - x >= 8 and bad(text[x:y]) for x, y in parts):
+                    a = min(x for x, y in parts if y - x >= 8 and bad(text[x:y]))
+                    b = max(y for x, y in parts if bad(text[x:y]) or not text[x:y].isalpha())
+                while a < b and text[a] == "+":
+                    a += 1
+                while b > a and text[b - 1] == "+":
+                    b -= 1
+                if b - a >= 20 and not known(text[a:b]) and bad(text[a:b]) and not any(s < b and a < e for s, e in base):
+                    out.append((a, 3, b))
+        at = max(end, at + 1)
+    return out
+
+
+def test_added_spans_match_brute_force():
+    import random
+    import string
+
+    encoding, r = secret_scan.encoder(), random.Random(8)
+    letters = string.ascii_letters + string.digits
+    bits = [lambda: "".join(r.choices(letters + "+/", k=r.randint(10, 50))), lambda: r.choice(["https://api.example.com/v1/keys/", "/usr/local/share/", "session_id=", "token = "]), lambda: r.choice(["", " ", ".", "=", "/", "_", "++"]),
+            lambda: r.choice(["configuration", "é", "localisation", "123456789012345678901234"]), lambda: hashlib.sha256(bytes([r.randint(0, 9)])).hexdigest(), lambda: "123e4567-e89b-12d3-a456-426614174000"]
+    hits = 0
+    for _ in range(800):
+        text = "".join(r.choice(bits)() for _ in range(r.randint(1, 12)))
+        got = secret_scan.find_secrets(text, encoding)[1]
+        assert got == brute_added(text, encoding), text
+        hits += len(got)
+    assert hits > 100
+
+
+def test_a_span_is_the_secret_alone():
+    encoding = secret_scan.encoder()
+    for lead, tail in (("https://api.example.com/v1/keys/", ""), ("https://files.example.org/", "/index"), ("session_id=", ""), ("backup/", "_latest")):
+        text = f"see {lead}{KEY}{tail} there"
+        assert secret_scan.find_secrets(text, encoding)[1] == [(4 + len(lead), 3, 4 + len(lead) + len(KEY))], text
+
+
+def test_planted_keys_are_found_and_prose_is_left_alone():
+    import random
+    import string
+
+    encoding, r = secret_scan.encoder(), random.Random(5)
+    keys = ["".join(r.choices(string.ascii_letters + string.digits, k=r.choice((24, 32, 40)))) for _ in range(500)]
+    found = sum(secret_scan.find_secrets(f"the key {k} is here", encoding)[1] == [(8, 3, 8 + len(k))] for k in keys)
+    names = ["_".join(r.choices("user account token batch index value session window order customer region report".split(), k=4)) for _ in range(500)]
+    wrong = sum(bool(secret_scan.find_secrets(f"call {n} now", encoding)[1]) for n in names)
+    assert found >= 495 and wrong == 0
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    encoding = secret_scan.encoder()
+    text = "".join(f"token = {KEY}{i:06d} and {KEY[::-1]}{i:06d} " for i in range(2000))
+
+    def took(t):
+        began = time.process_time()
+        base, more = secret_scan.find_secrets(t, encoding)
+        assert len(base) >= t.count("token") and more
+        return time.process_time() - began
+
+    took(text)
+    assert min(took(text * 4) for _ in range(3)) < 8 * max(0.02, min(took(text) for _ in range(3)))

@@ -71,6 +71,15 @@ Unless required by applicable law or agreed to in writing, software distributed
 See the License for the specific language governing permissions and limitations under the License.""",
     "gpl-header": _gnu_header(""),
     "lgpl-header": _gnu_header("<<var;name=kind;match=lesser|library>>"),
+    "agpl-header": _gnu_header("Affero"),
+    "mpl-header": """This source code form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at <<var;name=scheme;match=https?>>://<<beginOptional>>www.<<endOptional>>mozilla.org/MPL/2.0/<<beginOptional>>.<<endOptional>>""",
+    "zlib-text": f"""This software is provided 'as-is', without any express or implied warranty. In no event will the <<var;name=holder;match=authors?|copyright|holders?;words=1-2>> be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+{_BULLET} The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+{_BULLET} Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+{_BULLET} This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
 #: Word characters: 0-9, a-z, and all that is not ASCII; A-Z are lower-cased.

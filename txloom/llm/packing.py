@@ -23,8 +23,8 @@ from txloom.llm.common import document_rows, materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids one Python worker keeps.
-CACHE_WORDS = 150_000
+#: Distinct words whose ids one Python worker keeps, and bytes of a word from which it is not kept.
+CACHE_WORDS, CACHE_BYTES = 150_000, 64
 
 
 #: Characters that follow a word and never join its letters in pre-tokenization.
@@ -43,8 +43,8 @@ class WordIds(dict):
 
     The vocabulary's pre-tokenizer never joins characters across ASCII white space
     and its normalizer works character by character there, so the ids of a text are
-    those of its words in turn; words repeat, so their ids are kept (``limit`` words,
-    then the table starts anew).  A word of Latin-1 letters with punctuation behind it
+    those of its words in turn; words repeat, so their ids are kept (``limit`` words of
+    less than CACHE_BYTES, then the table starts anew).  A word of Latin-1 letters with punctuation behind it
     is looked up as its lower-case letters and its punctuation; the letters go to the
     tokenizer's merges directly.  Any other word goes through the whole tokenizer.
     """
@@ -60,9 +60,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = found = self._ids(word)
+        found = self._ids(word)
+        if len(word) < CACHE_BYTES:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = found
         return found
 
     def _ids(self, word: bytes) -> bytes:

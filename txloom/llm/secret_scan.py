@@ -58,14 +58,35 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
     return (m.span() for m in RUN.finditer(text))
 
 
-def is_random(run: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
-    """Whether a run of key characters is neither digest nor identifier and tokenizes badly."""
-    core = run.strip("=-_/+")
+#: Between these a run may hold words beside a secret: paths, names, assignments.
+PART = re.compile(r"[A-Za-z0-9+]+")
+#: Characters of a part from which it can be random by itself.
+MIN_PART = 8
+
+
+def random_span(run: str, encoding, max_ratio: float = MAX_RATIO) -> tuple[int, int] | None:
+    """Where the random string in a run of key characters stands, or None.
+
+    The run begins with its first part of MIN_PART characters that tokenizes badly by
+    itself and ends before the words behind it, letters that tokenize well (the run is
+    taken as a whole where there is no such part), so folders, hosts and names around
+    a secret are left out.  What is left has to be long enough, neither a digest nor an
+    identifier, and has to tokenize badly as a whole.
+    """
+    bad = lambda text: len(text) <= max_ratio * len(encoding.encode_ordinary(text))
+    parts = [m.span() for m in PART.finditer(run)]
+    if not parts:
+        return None
+    start, end = parts[0][0], parts[-1][1]
+    if len(parts) > 1 and (own := [a for a, b in parts if b - a >= MIN_PART and bad(run[a:b])]):
+        start, end = own[0], next(b for a, b in reversed(parts) if bad(run[a:b]) or not run[a:b].isalpha())
+    core = run[start:end].strip("+")
+    start += run[start:end].index(core)
     if len(core) < MIN_RUN or IDENTIFIER.fullmatch(core):
-        return False
+        return None
     if len(core) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
-        return False
-    return len(core) <= max_ratio * len(encoding.encode_ordinary(core))
+        return None
+    return (start, start + len(core)) if bad(core) else None
 
 
 def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
@@ -84,12 +105,19 @@ def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
 
 
 def find_secrets(text: str, encoding, max_ratio: float = MAX_RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and the random runs that none of them overlaps."""
+    """Base spans, and the random strings that none of them overlaps."""
     data = text.encode("utf-8", "surrogatepass")
     base, more = base_spans(text, data), []
     if b"c" * MIN_RUN in data.translate(_RUN_CLASS):
-        for start, end in _runs(text):
-            if not any(s < end and start < e for s, _, e in base) and is_random(text[start:end], encoding, max_ratio):
+        at, reach = 0, 0  # base spans that start before the run's end, and how far they reach
+        for first, last in _runs(text):
+            found = random_span(text[first:last], encoding, max_ratio)
+            if not found:
+                continue
+            start, end = first + found[0], first + found[1]
+            while at < len(base) and base[at][0] < end:
+                reach, at = max(reach, base[at][2]), at + 1
+            if reach <= start:
                 more.append((start, 3, end))
     return base, more
 
