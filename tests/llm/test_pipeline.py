@@ -77,3 +77,43 @@ def test_stages(spark, tables, tmp_path):
     assert max(room.values()) <= 4096
 
     assert Counter(corpus_pipeline.run(spark, tables).drop("sequence_id", "offset").collect()) == Counter(spark.read.parquet(f"{tmp_path}/4").drop("sequence_id", "offset").collect())
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Null and shared ids, repeated rows, and columns named like those that operators add."""
+    r = random.Random(6)
+    texts = [" ".join(r.choices(FILL, k=40)) for _ in range(30)]
+    docs = [(i % 20 if i % 7 else None, texts[i % 25], "en", f"src{i % 3}", i, "a", 1, 2, 3) for i in range(60)]
+    docs += docs[:10] + [(None, None, None, None, None, None, None, None, None)]
+    top = tmp_path_factory.mktemp("odd")
+    names = "doc_id long, text string, lang string, source string, n_chars long, _digest string, _id long, _dropped long, row long"
+    spark.createDataFrame(docs, names).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    return str(top)
+
+
+def test_odd_rows_and_columns_pass_every_stage(spark, odd, tmp_path):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, odd)
+        out.write.parquet(f"{tmp_path}/{k}")
+        new = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert new.columns == docs.columns
+            assert set(map(tuple, new.collect())) <= set(map(tuple, docs.collect()))
+        if name == "exact_dedup":
+            before, after = Counter(x.text or "" for x in docs.collect()), Counter(x.text or "" for x in new.collect())
+            assert set(after) == set(before) and max(after.values()) == 1
+        if name == "simhash_near_dedup":
+            rows = docs.collect()
+            groups = len(set(components([fingerprint(x.text or "") for x in rows])))
+            assert new.count() == groups
+        docs = new
+
+
+def test_empty_tables_pass_every_stage(spark, odd, tmp_path):
+    top = tmp_path / "sf"
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{top}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(top)).count() == 0

@@ -79,6 +79,19 @@ def shadowed(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable
     return frame, lambda name: f"c{names.index(name)}", lambda df: df.select(*frame.columns).toDF(*names)
 
 
+def identified(frame: DataFrame, id_col: str) -> DataFrame:
+    """``frame`` with a column ``row`` that tells its rows apart: the id where it does so, else a stored number."""
+    ids = frame.select(F.col(id_col).alias("id"))
+    if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").head(1):
+        return materialize(frame.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return frame.withColumn("row", F.col(id_col))
+
+
+def without(frame: DataFrame, dropped: DataFrame, on: Column | list[str], most: int = 200_000) -> DataFrame:
+    """``frame`` without the rows that the stored table ``dropped`` matches; up to ``most`` of its rows are broadcast."""
+    return frame.join(F.broadcast(dropped) if dropped.count() <= most else dropped, on, "left_anti")
+
+
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, salt: Column, how: str = "left", share: int = 1000) -> DataFrame:
     """Join many ``rows`` to at most one ``groups`` row a key; keys with a good part of the rows spread over tasks.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, join_hot, materialize, parts_for, shadowed
+from txloom.llm.common import document_rows, drop_scratch, join_hot, materialize, parts_for, shadowed, without
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -198,7 +198,7 @@ def indexed_rows(docs: DataFrame, text_col: str, id_col: str, digest: Callable[[
             yield pa.RecordBatch.from_arrays([pa.array([ROW] * n, pa.int32()), pa.array(keys, pa.binary()), batch.column(0).cast(schema[2].type), batch.column(1), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int64())], schema=schema)
         yield from _emit(live, schema)
 
-    return materialize(rows.mapInArrow(run, out), "digests")
+    return materialize(rows.mapInArrow(run, out), "texts")
 
 
 def _emit(live: LiveTexts, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -249,9 +249,11 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     indexed = indexed_rows(docs, text_col, id_col, digest)
     live = live_rows(indexed)
     if live.filter("n < 0").head(1):  # different texts share a digest
+        drop_scratch(indexed)
         indexed = indexed_rows(docs, text_col, id_col, digest, whole=True)
         live = live_rows(indexed)
-    rows = indexed.filter(F.col("kind") == ROW).select("doc_id", "row", "digest")
+    rows = materialize(indexed.filter(F.col("kind") == ROW).select("doc_id", "row", "digest"), "digests")
+    drop_scratch(indexed)  # the texts in it
     joined = join_hot(rows, live.filter("n > 1"), ["digest"], "n", rows.count(), F.col("row"))
     alone = F.col("n").isNull()
     return joined.select(
@@ -276,8 +278,8 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     key = F.unhex(F.sha2(F.coalesce(F.col(at(text_col)).cast("string"), F.lit("")), 256))
     marked = frame.withColumn("_digest", key).withColumn("_id", F.col(at(id_col)))
     same = lambda other: F.col("_id").eqNullSafe(other["doc_id"]) & (F.col("_digest") == other["digest"])
-    older, tied = out.filter("NOT tied").select("doc_id", "digest").distinct(), out.filter("tied").select("doc_id", "digest").distinct()
-    rest = marked.join(older, same(older), "left_anti")
+    older, tied = (materialize(out.filter(c).select("doc_id", "digest").distinct(), "dropped") for c in ("NOT tied", "tied"))
+    rest = without(marked, older, same(older))
     if tied.head(1):
         rest = rest.join(tied, same(tied), "left_anti").unionByName(rest.join(tied, same(tied), "left_semi").dropDuplicates(["_id", "_digest"]))
     return back(rest)

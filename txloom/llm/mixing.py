@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import document_rows, materialize, shadowed
+from txloom.llm.common import document_rows, identified, materialize, shadowed
 
 #: Normalised entropy of the mixture, most epochs of one source, tokens a block, seed.
 ENTROPY = 0.95
@@ -131,12 +131,12 @@ def deal(tokens: DataFrame, entropy: float | None, repeats: float | None, budget
 def mix_rows(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` themselves, each as often as the mixture shows it.
 
-    Rows are told apart by a number stored with them, so null and shared ids are dealt
-    and shown row by row.
+    Where ids are null or shared, rows are told apart by a number stored with them, so
+    they are dealt and shown row by row.
     """
     frame, at, back = shadowed(docs)
     columns = {f"{c}_col": at(parameters.pop(f"{c}_col", name)) for c, name in (("text", "text"), ("id", "doc_id"), ("source", "source"))}
-    numbered = materialize(frame.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    numbered = identified(frame, columns["id_col"])
     shown = mix(numbered, **parameters, **columns, row_col="row").select("row")
     return back(numbered.join(shown, "row"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, drop_scratch, join_hot, join_salted, materialize, shadowed
+from txloom.llm.common import document_rows, drop_scratch, identified, join_hot, join_salted, materialize, shadowed, without
 
 RADIUS = 4
 SHINGLE = 4
@@ -247,13 +247,13 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed
     """``docs`` with exactly one row of each component: that with the smallest id.
 
     All columns stay.  Null ids come last; of rows that share the smallest id the one
-    with the smallest fingerprint stays, of rows that share both any one.  Rows are
-    told apart by a number stored with them, never by id.
+    with the smallest fingerprint stays, of rows that share both any one.  Where ids
+    are null or shared, rows are told apart by a number stored with them.
     """
     frame, at, back = shadowed(docs)
-    numbered = materialize(frame.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    numbered = identified(frame, at(id_col))
     prints = materialize(fingerprints(numbered, shingle, seed, at(text_col), at(id_col), "row"), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row")
     kept = root_prints(prints, F.min(place), radius, seed).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     dropped = materialize(prints.join(kept, "row", "left_anti").select("row"), "dropped")
-    return back(numbered.join(dropped, "row", "left_anti"))
+    return back(without(numbered, dropped, ["row"]))
