@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder.
+#: Used only where a local session names no folder.
 LOCAL_SCRATCH = "/tmp/txloom-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = LOCAL_SCRATCH
     return f"{root.rstrip('/')}/txloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -68,3 +72,22 @@ def dense_index(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame:
         total += r["n"]
     offsets = spark.createDataFrame(starts, "_part long, _first long")
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_first") + within).drop("_at", "_part", "_first")
+
+
+def content_mark(df: DataFrame, *columns: str) -> tuple:
+    """Number of rows and the sum of their hashes: equal for equal sets of rows."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))).first())
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, salt: Column, share: int = 1000) -> DataFrame:
+    """Inner join of many ``rows`` to one ``groups`` row a key; keys of a good part of the rows spread over tasks.
+
+    ``weight`` is the number of rows of a key, of ``total`` in all.  Keys of more than a
+    ``share``-th of the rows, at most ``share`` of them, are broadcast with their number
+    of salts; only their groups are repeated.
+    """
+    salts = F.ceil(F.col(weight) * share / F.lit(max(total, 1))).cast("int")
+    hot = groups.filter(F.col(weight) * share > total).select(key, salts.alias("_salts"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(salt, F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")).drop("_salts")
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return left.join(right, [key, "_salt"]).drop("_salt", weight)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txloom.functions.columns import canonical
-from txloom.functions.storage import dense_index, drop, hash_key, hash_rank, materialize
+from txloom.functions.storage import content_mark, dense_index, drop, hash_key, hash_rank, join_hot, materialize
 
 
 def edges(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -92,32 +92,45 @@ def clique(spark: SparkSession, n: int) -> DataFrame:
 
 
 def stats(e: DataFrame, labels: DataFrame | None = None, isolated_degree: int = 2) -> DataFrame:
-    """One row: nodes, edges, density, nodes of degree up to ``isolated_degree``, largest degree."""
+    """One row: nodes, edges, density, nodes of degree up to ``isolated_degree``, largest degree.
+
+    With ``labels(id, label)`` also the shares of the classes 0 and 1 among the graph's
+    nodes of these classes.
+    """
     u = symmetric(without_loops(e))
-    d = degrees(u).agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("d") / 2).cast("long").alias("n_edges"), F.count_if(F.col("d") <= isolated_degree).alias("n_near_isolated"), F.max("d").alias("max_degree"))
-    return d.withColumn("density", F.round(F.col("n_edges") * 2.0 / (F.col("n_nodes").cast("double") * (F.col("n_nodes") - 1)), 9))
+    d = degrees(u)
+    row = d.agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("d") / 2).cast("long").alias("n_edges"), F.count_if(F.col("d") <= isolated_degree).alias("n_near_isolated"), F.max("d").alias("max_degree"))
+    row = row.withColumn("density", F.round(F.col("n_edges") * 2.0 / (F.col("n_nodes").cast("double") * (F.col("n_nodes") - 1)), 9))
+    if labels is None:
+        return row
+    share = lambda k: F.round(F.count_if(F.col("label") == k) / F.nullif(F.count_if(F.col("label").isin(0, 1)), F.lit(0)), 9).alias(f"share_{k}")
+    return row.crossJoin(F.broadcast(labels.join(d, "id", "left_semi").agg(share(0), share(1))))  # one row
 
 
-def components(u: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``id, comp`` with the smallest id of each component, over symmetric edges.
+def star_components(es: DataFrame) -> DataFrame:
+    """``a, b``: every node of ``es(a, b)`` but the smallest of its component, and that smallest one.
 
-    Alternating large-star and small-star rounds; each round's edges are written to
-    the shared folder and the previous ones deleted.
+    Alternating large-star and small-star rounds until one changes nothing; each round's
+    edges are written to the shared folder and the previous ones deleted.  Joins to a
+    star's centre are salted by its size, so a giant component meets many tasks.
     """
-    es = materialize(u.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "stars")
-    for _ in range(max_rounds):
-        both = es.unionByName(es.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    es = materialize(es.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    mark = content_mark(es, "a", "b")
+    while True:
+        both, n = es.unionByName(es.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * mark[0]
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both, low, "a", "n", n, F.xxhash64("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, low, "a", "n", n, F.xxhash64("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = materialize(small, "stars")
-        settled = not new.exceptAll(es).head(1) and not es.exceptAll(new).head(1)
         drop(es)
-        es = new
-        if settled:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    ids = nodes(u)
-    return ids.join(es.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("comp"))
+        es, before = new, mark
+        mark = content_mark(es, "a", "b")
+        if mark == before:
+            return es
+
+
+def components(u: DataFrame) -> DataFrame:
+    """``id, comp`` with the smallest id of each component, over symmetric edges."""
+    es = star_components(u.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes(u).join(es.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("comp"))

@@ -36,28 +36,25 @@ def pagerank(e: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float
     """Directed PageRank; dangling mass is spread evenly.
 
     Stops when the L1 change is below ``n · tol`` or runs ``fixed_iters`` rounds.
-    Ranks are written every few rounds; two scalars a round reach the driver.
+    Every round is written and read once; its dangling mass joins the next round as a
+    single broadcast row.
     """
-    out = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("outs"))
-    ids = materialize(nodes(e).join(out, "id", "left"), "pr-nodes")
+    links = materialize(e.select("src", "dst"), "pr-links")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("x")
+    ids = links.select(ends).groupBy(F.col("x.id").alias("id")).agg(F.nullif(F.sum("x.o"), F.lit(0)).alias("outs"))
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(None).cast("double").alias("gi_pagerank"))
-    links = materialize(e, "pr-links")
-    x, held = ids.withColumn("x", F.lit(1.0 / n)), None
-    for k in range(fixed_iters or max_iter):
-        dangling = x.filter("outs IS NULL").agg(F.sum("x")).first()[0] or 0.0
+    x = materialize(ids.select("id", "outs", F.lit(1.0 / n).alias("x"), F.lit(None).cast("double").alias("old")), "pr")
+    for _ in range(fixed_iters or max_iter):
+        lost = x.filter("outs IS NULL").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("lost"))
         flow = links.join(x.select("id", (F.col("x") / F.col("outs")).alias("w")), links.src == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("flow"))
-        new = ids.join(flow, "id", "left").join(x.select("id", F.col("x").alias("old")), "id")
-        new = new.select("id", "outs", (F.lit(alpha) * (F.coalesce("flow", F.lit(0.0)) + F.lit(dangling / n)) + F.lit((1 - alpha) / n)).alias("x"), "old")
-        if fixed_iters is None or k % CUT_EVERY == CUT_EVERY - 1:
-            new, old = materialize(new, "pr"), held
-            if fixed_iters is None and new.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < n * tol:
-                return new.select("id", F.col("x").alias("gi_pagerank"))
-            if old is not None:
-                drop(old)
-            held = new
-        x = new.drop("old")
+        rank = F.lit(alpha) * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - alpha) / n)
+        new = materialize(x.join(flow, "id", "left").crossJoin(F.broadcast(lost)).select("id", "outs", rank.alias("x"), F.col("x").alias("old")), "pr")
+        drop(x)
+        x = new
+        if fixed_iters is None and x.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < n * tol:
+            break
     return x.select("id", F.col("x").alias("gi_pagerank"))
 
 
@@ -192,30 +189,95 @@ def clustering(u: DataFrame) -> DataFrame:
     return t.select("id", F.when(F.col("d") > 1, 2.0 * F.col("gi_triangles") / pairs).otherwise(F.lit(0.0)).alias("gi_clustering_coefficient"))
 
 
+def squares(u: DataFrame) -> DataFrame:
+    """``id, q``: cycles of four nodes through every node that is on one.
+
+    A cycle has one node of highest (degree, id) and one opposite to it; paths of two
+    edges start at the former and pass lower nodes only, so hubs start few of them and
+    are passed by few: an edge has as many as the smaller degree of its ends.
+    """
+    d = degrees(u)
+    o = u.join(d.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("d").alias("dd")), "dst")
+    to = lambda name: o.select(F.col("src").alias("b"), F.struct(F.col("dd").alias("d"), F.col("dst").alias("id")).alias(name), F.struct(F.col("ds").alias("d"), F.col("src").alias("id")).alias("_b"))
+    paths = to("a").filter(F.col("_b") < F.col("a")).drop("_b").join(to("c").drop("_b"), "b").filter(F.col("c") < F.col("a")).select("b", F.col("a.id").alias("a"), F.col("c.id").alias("c"))
+    ends = paths.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    outer = ends.select(F.explode(F.array("a", "c")).alias("id"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("q"))
+    middle = paths.join(ends, ["a", "c"]).select(F.col("b").alias("id"), (F.col("n") - 1).alias("q"))
+    return outer.unionByName(middle).groupBy("id").agg(F.sum("q").alias("q"))
+
+
 def square_clustering(u: DataFrame) -> DataFrame:
     """Share of possible squares at a node, over pairs of its neighbours.
 
     For neighbours x, y with s common neighbours besides the node: found squares s,
     possible ones s + (d_x - m) + (d_y - m), m = s + 1 and one more if x and y touch.
+    Summed over all pairs that is ``(d - 1) · Σ d_x - q - d (d - 1) - 2 T`` with the
+    node's squares q and triangles T, so no pair of neighbours is a row.
     """
     d = degrees(u)
-    a = u.select(F.col("src").alias("v"), F.col("dst").alias("x"))
-    b = u.select(F.col("src").alias("v"), F.col("dst").alias("y"))
-    pairs = a.join(b, "v").filter("x < y")
-    common = pairs.groupBy("x", "y").agg((F.count(F.lit(1)) - 1).alias("s"))
-    touch = u.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(1).alias("t"))
-    facts = common.join(touch, ["x", "y"], "left").join(d.select(F.col("id").alias("x"), F.col("d").alias("dx")), "x").join(d.select(F.col("id").alias("y"), F.col("d").alias("dy")), "y")
-    facts = facts.withColumn("m", F.col("s") + 1 + F.coalesce("t", F.lit(0)))
-    facts = facts.select("x", "y", "s", (F.col("s") + F.col("dx") - F.col("m") + F.col("dy") - F.col("m")).alias("p"))
-    per = pairs.join(facts, ["x", "y"]).groupBy("v").agg(F.sum("s").alias("s"), F.sum("p").alias("p"))
-    return d.join(per, d.id == per.v, "left").select("id", F.coalesce(F.col("s") / F.nullif("p", F.lit(0)), F.lit(0.0)).alias("gi_square_clustering"))
-
-
-def core_number(u: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """k-core index: every node takes the h-index of its neighbours' values until none changes."""
-    links = materialize(u, "core-links")
+    around = u.join(d.select(F.col("id").alias("dst"), F.col("d").alias("dd")), "dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"), F.sum("dd").alias("s"))
+    row = around.join(triangles(u), "id").join(squares(u), "id", "left").withColumn("q", F.coalesce("q", F.lit(0)))
+    possible = (F.col("d") - 1) * F.col("s") - F.col("q") - F.col("d") * (F.col("d") - 1) - 2 * F.col("gi_triangles")
+    return row.select("id", F.coalesce(F.col("q") / F.nullif(possible, F.lit(0)), F.lit(0.0)).alias("gi_square_clustering"))
+
+
+#: Edges up to which whole components are peeled in one task.
+PEEL_EDGES = 500_000
+
+
+def peel(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and their core numbers of symmetric edges: the node of least degree goes first."""
+    import heapq
+
+    ids, at = np.unique(src, return_inverse=True)
+    to = np.searchsorted(ids, dst)
+    order = np.argsort(at, kind="stable")
+    start, to = np.searchsorted(at[order], np.arange(len(ids) + 1)).tolist(), to[order].tolist()
+    left = np.bincount(at, minlength=len(ids)).tolist()
+    heap, core, k = [(d, i) for i, d in enumerate(left)], [-1] * len(ids), 0
+    heapq.heapify(heap)
+    while heap:
+        d, i = heapq.heappop(heap)
+        if core[i] >= 0 or d != left[i]:
+            continue
+        core[i] = k = max(k, d)
+        for j in to[start[i] : start[i + 1]]:
+            if core[j] < 0:
+                left[j] -= 1
+                heapq.heappush(heap, (left[j], j))
+    return ids, np.array(core, np.int64)
+
+
+def core_number(u: DataFrame, most: int = PEEL_EDGES) -> DataFrame:
+    """k-core index of every node.
+
+    Components of up to ``most`` edges are peeled, many in a task; in larger ones every
+    node takes the h-index of its neighbours' values, round by round until none changes.
+    """
+    links = materialize(u.select("src", "dst"), "core-links")
+    comp = materialize(components(links), "core-comp")
+    tagged = links.join(comp.select(F.col("id").alias("src"), "comp"), "src")
+    sizes = materialize(tagged.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "core-sizes")
+    total = sizes.filter(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0
+    parts = max(int(u.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    whole = tagged.join(sizes.filter(F.col("n") <= most), "comp", "left_semi").select("src", "dst", F.pmod(F.xxhash64("comp"), F.lit(parts)).alias("_part"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, core = peel(pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str))
+        return pd.DataFrame({"id": ids, "gi_core_number": core})
+
+    done = whole.groupBy("_part").applyInPandas(run, "id string, gi_core_number long")
+    large = sizes.filter(F.col("n") > most)
+    if not large.head(1):
+        return done
+    rest = materialize(tagged.join(large, "comp", "left_semi").select("src", "dst"), "core-rest")
+    return done.unionByName(core_rounds(rest))
+
+
+def core_rounds(links: DataFrame) -> DataFrame:
+    """k-core index by h-index rounds over a stored symmetric edge table."""
     state = materialize(degrees(links).select("id", F.col("d").cast("long").alias("x")), "core")
-    for _ in range(max_rounds):
+    while True:
         counts = links.join(state, links.dst == state.id).join(state.select(F.col("id").alias("src"), F.col("x").alias("own")), "src")
         counts = counts.groupBy("src", "own", F.least("x", "own").alias("value")).agg(F.count(F.lit(1)).alias("c"))
         at_least = counts.withColumn("c", F.sum("c").over(Window.partitionBy("src").orderBy(F.desc("value"))))
@@ -226,7 +288,6 @@ def core_number(u: DataFrame, max_rounds: int = 200) -> DataFrame:
         state = new.drop("old")
         if not changed:
             return state.select("id", F.col("x").alias("gi_core_number"))
-    raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
 
 
 def wl_labels(u: DataFrame, rounds: int = 3, modulus_digits: int = 8) -> DataFrame:

@@ -52,48 +52,72 @@ def log_loss(df: DataFrame, keys: list[str] = (), eps: float = EPS) -> DataFrame
     return df.groupBy(*keys).agg(F.avg(-F.log(p)).alias("log_loss"))
 
 
-def _running(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a distinct score: positives and negatives there, and above it."""
-    by = df.groupBy(*keys, "p0").agg(F.count_if(F.col("y_true") == 0).alias("pos"), F.count_if(F.col("y_true") == 1).alias("neg"))
-    by = by.withColumn("_band", F.floor(F.col("p0") * BANDS))
-    bands = by.groupBy(*keys, "_band").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select(*keys, "_band", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_pa"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_na"))
-    inside = Window.partitionBy(*keys, "_band").orderBy(F.desc("p0")).rowsBetween(Window.unboundedPreceding, -1)
-    out = by.join(bands, [*keys, "_band"])
-    return out.select(*keys, "p0", "pos", "neg", (F.col("_pa") + F.coalesce(F.sum("pos").over(inside), F.lit(0))).alias("pos_above"), (F.col("_na") + F.coalesce(F.sum("neg").over(inside), F.lit(0))).alias("neg_above"))
+def _by_score(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a distinct score with the positives and negatives there, dealt by band, so all below needs no other shuffle of rows."""
+    rows = df.select(*keys, "p0", (F.col("y_true") == 0).cast("long").alias("pos"), (F.col("y_true") == 1).cast("long").alias("neg"), F.floor(F.col("p0") * BANDS).alias("_band"))
+    return rows.repartition(*keys, "_band").groupBy(*keys, "_band", "p0").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _inside(keys: list[str]):
+    return Window.partitionBy(*keys, "_band").orderBy(F.desc("p0")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _above(c: str, keys: list[str]) -> Column:
+    """Sum over the bands above; a key has at most BANDS of them."""
+    return F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def roc_auc(df: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Chance that a positive outranks a negative, ties half; null with one class only."""
-    c = _running(df, list(keys))
-    wins = F.sum(F.col("neg").cast("double") * (F.col("pos_above") + F.col("pos") / 2))
-    return c.groupBy(*keys).agg((wins / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
+    """Chance that a positive outranks a negative, ties half; null with one class only.
+
+    Wins inside a band are summed first; bands meet as one row each.
+    """
+    keys = list(keys)
+    by = _by_score(df, keys).withColumn("_over", F.coalesce(F.sum("pos").over(_inside(keys)), F.lit(0)))
+    bands = by.groupBy(*keys, "_band").agg(F.sum(F.col("neg").cast("double") * (F.col("_over") + F.col("pos") / 2)).alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    bands = bands.withColumn("_pa", _above("_p", keys))
+    wins = F.sum(F.col("_w") + F.col("_n").cast("double") * F.col("_pa"))
+    return bands.groupBy(*keys).agg((wins / F.nullif(F.sum("_p").cast("double") * F.sum("_n"), F.lit(0.0))).alias("roc_auc"))
+
+
+def ranking(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """``roc_auc, average_precision`` of every key in one pass; band totals are joined to the scores of their band."""
+    keys = list(keys)
+    by = _by_score(df, keys)
+    bands = by.groupBy(*keys, "_band").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    bands = bands.select(*keys, "_band", _above("_p", keys).alias("_pa"), _above("_n", keys).alias("_na"))
+    over = lambda c: F.coalesce(F.sum(c).over(_inside(keys)), F.lit(0))
+    c = by.withColumns({"_po": over("pos"), "_no": over("neg")}).join(bands, [*keys, "_band"])
+    p, n = F.col("_pa") + F.col("_po"), F.col("_na") + F.col("_no")
+    wins = F.sum(F.col("neg").cast("double") * (p + F.col("pos") / 2))
+    gained = F.sum(F.col("pos") * (p + F.col("pos")) / (p + F.col("pos") + n + F.col("neg")))
+    total = F.nullif(F.sum("pos").cast("double"), F.lit(0.0))
+    return c.groupBy(*keys).agg((wins / F.nullif(total * F.sum("neg"), F.lit(0.0))).alias("roc_auc"), (gained / total).alias("average_precision"))
 
 
 def average_precision(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Sum over score groups of recall gained times precision there; null without positives."""
-    c = _running(df, list(keys))
-    p, n = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
-    return c.groupBy(*keys).agg((F.sum(F.col("pos") * p / (p + n)) / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))).alias("average_precision"))
+    return ranking(df, keys).drop("roc_auc")
 
 
 def sweep(df: DataFrame, steps: int, keys: list[str] = (), ends: bool = False) -> DataFrame:
     """Confusion at every threshold k / steps: class 0 where ``p0`` is at least the threshold.
 
-    Scores fall into ``steps`` bins in one aggregation; thresholds are suffix sums of
-    bins, so no row meets the grid.  ``ends`` includes 0 and 1.
+    Scores fall into ``steps`` bins in one aggregation; thresholds are running sums of
+    the bins from above, so no row meets the grid.  ``ends`` includes 0 and 1.
     """
+    keys = list(keys)
     k = F.floor(F.col("p0") * steps)
     k = F.when((k + 1) / F.lit(float(steps)) <= F.col("p0"), k + 1).when(k / F.lit(float(steps)) > F.col("p0"), k - 1).otherwise(k)
-    by = df.withColumn("_k", k).groupBy(*keys, "_k").agg(F.count_if(F.col("y_true") == 0).alias("_p"), F.count_if(F.col("y_true") == 1).alias("_n"))
-    grid = df.sparkSession.range(0 if ends else 1, steps + 1 if ends else steps).select(F.col("id").alias("_t"))
-    # at most steps bins a key, so the grid meets bins only
-    hits = by.crossJoin(F.broadcast(grid)).groupBy(*keys, "_t").agg(
-        F.sum(F.when(F.col("_k") >= F.col("_t"), F.col("_p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("_k") < F.col("_t"), F.col("_p")).otherwise(0)).alias("fn"),
-        F.sum(F.when(F.col("_k") >= F.col("_t"), F.col("_n")).otherwise(0)).alias("fp"), F.sum(F.when(F.col("_k") < F.col("_t"), F.col("_n")).otherwise(0)).alias("tn"),
-    )
-    return hits.withColumn("threshold", F.col("_t") / F.lit(float(steps))).drop("_t")
+    k = F.least(F.greatest(k, F.lit(-1)), F.lit(steps)).cast("int")  # below all thresholds, or at least the last
+    bins = df.withColumn("_k", k).groupBy(*keys, "_k").agg(F.count_if(F.col("y_true") == 0).alias("_p"), F.count_if(F.col("y_true") == 1).alias("_n"))
+    grid = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_k")  # steps + 1 rows a key
+    every = bins.select(*keys).distinct().select(*keys, grid, F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_n"))
+    bins = bins.unionByName(every).groupBy(*keys, "_k").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    down, whole = Window.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    hits = bins.select(*keys, "_k", F.sum("_p").over(down).alias("tp"), F.sum("_n").over(down).alias("fp"), F.sum("_p").over(whole).alias("_pt"), F.sum("_n").over(whole).alias("_nt"))
+    hits = hits.filter(F.col("_k").between(0 if ends else 1, steps if ends else steps - 1))
+    return hits.select(*keys, "tp", (F.col("_pt") - F.col("tp")).alias("fn"), "fp", (F.col("_nt") - F.col("fp")).alias("tn"), (F.col("_k") / F.lit(float(steps))).alias("threshold"))
 
 
 def best_threshold(df: DataFrame, keys: list[str] = (), metric: str = "f1", steps: int = 100, ends: bool = False) -> DataFrame:
@@ -106,7 +130,4 @@ def best_threshold(df: DataFrame, keys: list[str] = (), metric: str = "f1", step
 
 def all_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """All metrics of every key in one row."""
-    out = precision_recall_f1(df, keys)
-    for part in (log_loss(df, keys), roc_auc(df, keys), average_precision(df, keys)):
-        out = out.join(part, keys)
-    return out
+    return precision_recall_f1(df, keys).join(log_loss(df, keys), keys).join(ranking(df, keys), keys)

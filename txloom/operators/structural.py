@@ -17,6 +17,8 @@ from txloom.operators.indicators import bfs_layers
 
 #: Added to both sides of a ratio.
 EPS = 0.5
+#: Rounding error of an average weight.
+ABOVE = 1e-12
 
 
 def degree_lists(u: DataFrame, until_layer: int = 2, feature: DataFrame | None = None) -> DataFrame:
@@ -179,9 +181,12 @@ def flatten(w: DataFrame, factors: tuple[float, ...] = (1.0, 1.0, 1.0)) -> DataF
 
 
 def walk_parameters(w: DataFrame) -> DataFrame:
-    """``layer, average, v, above``: the average weight of a layer and how many neighbours of a vertex exceed it."""
+    """``layer, average, v, above``: the average weight of a layer and how many neighbours of a vertex exceed it.
+
+    Weights within ABOVE of the average are equal to it.
+    """
     avg = w.groupBy("layer").agg(F.avg("w").alias("average"))
-    return w.join(F.broadcast(avg), "layer").groupBy("layer", "average", "v").agg(F.count_if(F.col("w") > F.col("average")).alias("above"))
+    return w.join(F.broadcast(avg), "layer").groupBy("layer", "average", "v").agg(F.count_if(F.col("w") > F.col("average") + ABOVE).alias("above"))
 
 
 def embedding_graph(u: DataFrame, until_layer: int = 2, method: str = "dtw", factors: tuple[float, ...] = (1.0, 1.0, 1.0)) -> DataFrame:

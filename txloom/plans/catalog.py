@@ -341,9 +341,9 @@ def _(spark, sf):
     return rounded(M.best_threshold(predictions(spark, sf), KEYS), "f1")
 
 
-@query("threshold_balanced_accuracy", PR.replace("FROM pn, pg)", "FROM pn, pg WHERE run <= 2)") + ", " + _SWEEP.format(n=1000, lo=0, hi=1001, metric="(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) + coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0)) / 2", name="balanced_accuracy"))
+@query("threshold_balanced_accuracy", PR + ", " + _SWEEP.format(n=1000, lo=0, hi=1001, metric="(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) + coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0)) / 2", name="balanced_accuracy"))
 def _(spark, sf):
-    return rounded(M.best_threshold(predictions(spark, sf).filter("run <= 2"), KEYS, "balanced_accuracy", 1000, True), "balanced_accuracy")
+    return rounded(M.best_threshold(predictions(spark, sf), KEYS, "balanced_accuracy", 1000, True), "balanced_accuracy")
 
 
 # -- names and result documents ----------------------------------------------
@@ -692,7 +692,4 @@ def _(spark, sf):
 
 @query("walk_parameters", DIST + ", av AS (SELECT layer, avg(w) AS a FROM lw GROUP BY layer) SELECT layer, round(a, 6) AS average, v, count(*) FILTER (w > a + 1e-12) AS above FROM lw JOIN av USING (layer) GROUP BY layer, a, v")
 def _(spark, sf):
-    w = ST.layer_weights(ST.regroup(ST.cumulate(_dist(spark, sf))))
-    avg = w.groupBy("layer").agg(F.avg("w").alias("average"))
-    out = w.join(F.broadcast(avg), "layer").groupBy("layer", "average", "v").agg(F.count_if(F.col("w") > F.col("average") + 1e-12).alias("above"))
-    return rounded(out, "average")
+    return rounded(ST.walk_parameters(ST.layer_weights(ST.regroup(ST.cumulate(_dist(spark, sf))))), "average")

@@ -277,7 +277,9 @@ def _(spark, sf):
     return degree_updates(tx_edges(spark, sf))
 
 
-@query("column_groups", "SELECT 1 AS n_base, 2 AS n_gi, 1 AS n_emb")
+@query("column_groups", """SELECT column_name AS name, CASE WHEN column_name LIKE 'f\\_%' ESCAPE '\\' THEN 'gi' WHEN column_name LIKE 'emb\\_%' ESCAPE '\\' THEN 'emb' ELSE 'base' END AS kind
+FROM (DESCRIBE SELECT * FROM (WITH """ + NODES_SQL + """ SELECT tx.*, e.embedding[1] AS emb_0 FROM tx, embeddings e)) WHERE column_name NOT IN ('tx_id', 'time_step', 'class')""")
 def _(spark, sf):
-    g = C.column_groups(["tx_id", "time_step", "f_totalprice", "gi_a", "gi_b", "emb_0"])
-    return spark.createDataFrame([(len(g["base"]), len(g["gi"]), len(g["emb"]))], "n_base int, n_gi int, n_emb int")
+    both = tx_features(spark, sf).crossJoin(table(spark, sf, "embeddings").select(F.col("embedding")[0].alias("emb_0")))  # columns only, never run
+    g = C.column_groups(both.columns, gi="f_")
+    return spark.createDataFrame([(n, kind) for kind, names in g.items() for n in names], "name string, kind string")
