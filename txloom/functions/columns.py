@@ -113,3 +113,14 @@ def nan_counts(df: DataFrame) -> DataFrame:
     counts = df.agg(*tests)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in df.columns])
     return counts.select(F.explode(pairs).alias("p")).select("p.column", "p.n")
+
+
+def slice_columns(df: DataFrame, start: int, stop: int, keys: tuple[str, ...] = ("tx_id", "time_step", "class")) -> DataFrame:
+    """The key columns and those at positions ``start`` to ``stop - 1`` of the table."""
+    some = df.columns[start:stop]
+    return df.select(*[k for k in keys if k in df.columns and k not in some], *some)
+
+
+def valid_mask(split: Column, label: Column, part: str) -> Column:
+    """Whether a row is in the part and has class 0 or 1."""
+    return F.coalesce((split == part) & label.isin(0, 1), F.lit(False))

@@ -195,3 +195,28 @@ def best_per_variant(stats: DataFrame, base: str) -> DataFrame:
 def importance_rank(df: DataFrame, keys: list[str] = (), value: str = "importance", feature: str = "feature") -> DataFrame:
     """Adds ``rank`` 1 … n by falling importance."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), feature)))
+
+
+def allowed(df: DataFrame, categories: DataFrame, column: str = "variant") -> DataFrame:
+    """Rows whose ``column`` has a category in ``categories(column, category)``, with it."""
+    return df.join(categories, column)
+
+
+def without_classifiers(df: DataFrame, *names: str) -> DataFrame:
+    return df.filter(~F.col("classifier").isin(*names))
+
+
+def groups_view(stats: DataFrame, groups: list[str], main: bool) -> DataFrame:
+    """Rows of the main variants, or of those that stand for a group of signals."""
+    is_group = F.col("variant").isin(*groups)
+    return stats.filter(~is_group if main else is_group)
+
+
+def matrix_runs(df: DataFrame, variants: list[str]) -> DataFrame:
+    """A row a run and classifier, a column a variant; repeated values are averaged."""
+    return df.groupBy("run", "classifier").pivot("variant", variants).agg(F.avg("value"))
+
+
+def node_labels(nodes: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+    """Nodes with their labels, null where there is none."""
+    return nodes.join(labels, key, "left")

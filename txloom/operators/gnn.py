@@ -328,17 +328,10 @@ def linear_head(x: np.ndarray, g: Graph, epochs: int = 200, rate: float = 0.01,
     return _softmax(x @ best["w0"] + best["b0"])
 
 
-def load_graph(e: DataFrame, nodes: DataFrame, columns: list[str], most: int = LOCAL_EDGES) -> tuple[Graph, list[str]]:
-    """Arrays of ``nodes(id, label, split, columns…)`` and its edges (both directions, loops added).
-
-    Features should be scaled on the training rows before.  The graph is gathered, so
-    one of more than ``most`` edges or nodes is refused; the layers above run on any size.
-    """
-    if max(e.limit(most + 1).count(), nodes.limit(most + 1).count()) > most:
-        raise ValueError(f"training in a worker takes up to {most} edges and nodes")
-    rows = nodes.select("id", "label", "split", *columns).orderBy("id").toPandas()
+def arrays(rows: pd.DataFrame, pairs: pd.DataFrame, columns: list[str]) -> tuple[Graph, list[str]]:
+    """Arrays of ``rows(id, label, split, columns…)`` and the edges among them (both directions, loops added)."""
+    rows = rows.sort_values("id", ignore_index=True)
     place = {v: i for i, v in enumerate(rows["id"])}
-    pairs = e.toPandas()
     a, b = pairs["src"].map(place).dropna().astype(int), pairs["dst"].map(place).dropna().astype(int)
     both = a.index.intersection(b.index)
     s, t = a.loc[both].to_numpy(), b.loc[both].to_numpy()
@@ -347,6 +340,66 @@ def load_graph(e: DataFrame, nodes: DataFrame, columns: list[str], most: int = L
     return Graph(ends[:, 1], ends[:, 0], rows[columns].to_numpy(float), rows["label"].fillna(-1).to_numpy(int), split), rows["id"].tolist()
 
 
+def checked(e: DataFrame, nodes: DataFrame, most: int = LOCAL_EDGES) -> None:
+    """Refuses graphs that one worker should not hold; the layers above run on any size."""
+    if max(e.limit(most + 1).count(), nodes.limit(most + 1).count()) > most:
+        raise ValueError(f"training in a worker takes up to {most} edges and nodes")
+
+
+def load_graph(e: DataFrame, nodes: DataFrame, columns: list[str], most: int = LOCAL_EDGES) -> tuple[Graph, list[str]]:
+    """:func:`arrays` of frames, gathered after their size was :func:`checked`; features should be scaled on the training rows before."""
+    checked(e, nodes, most)
+    return arrays(nodes.select("id", "label", "split", *columns).toPandas(), e.select("src", "dst").toPandas(), columns)
+
+
+def in_worker(e: DataFrame, nodes: DataFrame, columns: list[str], use, schema: str, most: int = LOCAL_EDGES) -> DataFrame:
+    """Rows that ``use(graph, ids)`` gives, computed by one worker that gathers a :func:`checked` graph; nothing reaches the driver."""
+    checked(e, nodes, most)
+
+    def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        return use(*arrays(rows, pairs, columns))
+
+    one = lambda df: df.withColumn("_g", F.lit(0)).groupBy("_g")
+    return one(nodes.select("id", "label", "split", *columns)).cogroup(one(e.select("src", "dst"))).applyInPandas(run, schema)
+
+
+def embed(g: Graph, kind: str, width: int = 64, epochs: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding and class probabilities of every node: the last hidden layer of a trained network, or a contrastive encoder with a linear head."""
+    if kind == "gcn":
+        w, _ = train_gcn(g, {"hidden": [width]}, epochs or 200, seed=seed)
+        p, seen = gcn_forward(g, w)
+        return seen[-2][1], p
+    if kind == "gat":
+        heads = 4
+        w, _ = train_gat(g, {"heads": heads, "width": width // heads}, epochs or 200, seed=seed)
+        p, seen = gat_forward(g, w, heads)
+        return np.maximum(seen[0][2], 0), p
+    if kind == "gcl":
+        x, _ = pretrain_bgrl(g, width, epochs or 150, seed=seed)
+        return x, linear_head(x, g, seed=seed)
+    raise ValueError(f"unknown network {kind}")
+
+
+def signal(e: DataFrame, nodes: DataFrame, columns: list[str], kind: str, width: int = 64, epochs: int | None = None, seed: int = 42) -> DataFrame:
+    """``id, <kind>_emb_0 …``: the embedding of every node of ``nodes`` for export."""
+    names = [f"{kind}_emb_{k}" for k in range(width)]
+
+    def use(g: Graph, ids: list[str]) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"id": ids}), pd.DataFrame(embed(g, kind, width, epochs, seed)[0].astype(np.float32), columns=names)], axis=1)
+
+    return in_worker(e, nodes, columns, use, "id string, " + ", ".join(f"{n} float" for n in names))
+
+
+def classify(e: DataFrame, nodes: DataFrame, columns: list[str], kind: str, width: int = 64, epochs: int | None = None, seed: int = 42) -> DataFrame:
+    """``tx_id, split, y_true, p0`` of every node, end to end."""
+
+    def use(g: Graph, ids: list[str]) -> pd.DataFrame:
+        p = embed(g, kind, width, epochs, seed)[1]
+        return pd.DataFrame({"tx_id": ids, "split": np.array(["none", "train", "validation", "test"])[g.split + 1], "y_true": g.y, "p0": p[:, 0]})
+
+    return in_worker(e, nodes, columns, use, "tx_id string, split string, y_true int, p0 double")
+
+
 def search(spark, g: Graph, trials: list[dict], epochs: int = 200, seed: int = 42) -> DataFrame:
     """``trial, val_loss, best_epoch`` of GCN trials, trained in parallel tasks on one broadcast graph."""
     held = spark.sparkContext.broadcast(g)  # a graph that one worker holds, see load_graph

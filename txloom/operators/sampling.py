@@ -26,7 +26,7 @@ def split_temporal(df: DataFrame, train: tuple[int, int], validation: tuple[int,
     return df.withColumn("split", split).filter("split IS NOT NULL")
 
 
-def oversample(df: DataFrame, label: str, key: str = "tx_id", ratio: float = 1.0, seed: int = 42) -> DataFrame:
+def oversample(df: DataFrame, label: str, key: str = "tx_id", ratio: float = 1.0, seed: int | str = 42) -> DataFrame:
     """Minority rows drawn with replacement until they are ``ratio`` times the majority; majority rows stay.
 
     Draw i takes the minority row number ``md5(seed|i) mod n``.  Adds ``draw`` (0 for
@@ -65,3 +65,8 @@ def label_counts(df: DataFrame, label: str = "class") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_all"), F.min("n").alias("_least"))
     return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_least") * 10 < F.col("_all")).alias("imbalanced"))
+
+
+def oversample_epoch(df: DataFrame, label: str, epoch: int, key: str = "tx_id", ratio: float = 1.0, seed: int = 42) -> DataFrame:
+    """:func:`oversample` with draws of their own in every epoch; a ratio above 1 counts as 1."""
+    return oversample(df, label, key, min(ratio, 1.0), f"{seed}|{epoch}")

@@ -12,7 +12,7 @@ from txloom.operators.indicators import gw_scales
 
 SMALL = 50
 #: Nodes up to which a component is solved densely; larger ones by block iteration.
-DENSE = 2500
+DENSE = 5000
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

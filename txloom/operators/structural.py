@@ -166,9 +166,15 @@ def regroup(d: DataFrame) -> DataFrame:
     return d.select("layer", "v", "n", "d").unionByName(d.select("layer", F.col("n").alias("v"), F.col("v").alias("n"), "d"))
 
 
-def layer_weights(both: DataFrame, base: float = math.e) -> DataFrame:
-    """``layer, v, n, w``: ``base ** -d`` normalised over the neighbours of a vertex at a layer."""
+def layer_weights(both: DataFrame, base: float = math.e, scale: DataFrame | None = None) -> DataFrame:
+    """``layer, v, n, w``: ``base ** -d`` normalised over the neighbours of a vertex at a layer.
+
+    With ``scale(id, value)``, PageRank for instance, a neighbour's weight is multiplied by
+    its value first.
+    """
     raw = both.withColumn("w", F.pow(F.lit(base), -F.col("d")))
+    if scale is not None:
+        raw = raw.join(scale.toDF("n", "_scale"), "n").withColumn("w", F.col("w") * F.col("_scale"))
     return raw.select("layer", "v", "n", (F.col("w") / F.sum("w").over(Window.partitionBy("layer", "v"))).alias("w"))
 
 
@@ -197,3 +203,48 @@ def embedding_graph(u: DataFrame, until_layer: int = 2, method: str = "dtw", fac
     else:
         d = moment_distances(pairs, layer_moments(u, until_layer), center=method)
     return flatten(layer_weights(regroup(cumulate(d))), factors)
+
+
+#: Largest exponent of a double.
+LARGEST = 709.0
+
+
+def softmax_weights(w: DataFrame, factor: float = 1.0) -> DataFrame:
+    """``v, n, w``: the softmax of ``factor · w`` over the neighbours of a vertex; the factor is halved until no exponent overflows."""
+    by = Window.partitionBy("v")
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(factor) * F.max("w").over(by), F.lit(1e-300)) / LARGEST)))
+    raw = w.select("v", "n", (F.col("w") * F.lit(factor) / F.pow(F.lit(2.0), halvings)).alias("_x"))
+    e = F.exp(F.col("_x") - F.max("_x").over(by))
+    return raw.select("v", "n", e.alias("_e")).select("v", "n", (F.col("_e") / F.sum("_e").over(by)).alias("w"))
+
+
+def alias_table(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Other choice and own share of every slot, for draws in constant time."""
+    n = len(weights)
+    share, other = np.asarray(weights, float) * n / np.sum(weights), np.arange(n)
+    low, high = [i for i in range(n) if share[i] < 1], [i for i in range(n) if share[i] >= 1]
+    while low and high:
+        i, j = low.pop(), high[-1]
+        other[i] = j
+        share[j] -= 1 - share[i]
+        if share[j] < 1:
+            low.append(high.pop())
+    return other, np.minimum(share, 1.0)
+
+
+def alias_draw(other: np.ndarray, share: np.ndarray, slot: float, coin: float) -> int:
+    """The choice for two uniform numbers."""
+    i = min(int(slot * len(share)), len(share) - 1)
+    return i if coin < share[i] else int(other[i])
+
+
+def alias_tables(w: DataFrame) -> DataFrame:
+    """``v, n, other, share``: the alias table of every vertex, a row a slot, slots in the order of ``n``."""
+
+    @F.pandas_udf("array<struct<other:int,share:double>>")
+    def tables(weights: pd.Series) -> pd.Series:
+        return weights.map(lambda x: [{"other": int(o), "share": float(s)} for o, s in zip(*alias_table(np.asarray(x, float)), strict=True)])
+
+    near = w.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("out"))
+    slots = near.select("v", "out", tables(F.col("out.w")).alias("t")).select("v", "out", F.explode(F.arrays_zip(F.col("out.n").alias("n"), "t")).alias("s"))
+    return slots.select("v", F.col("s.n").alias("n"), F.col("out")[F.col("s.t.other")]["n"].alias("other"), F.col("s.t.share").alias("share"))

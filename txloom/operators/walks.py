@@ -6,12 +6,14 @@ not depend on partitioning.  No adjacency is broadcast.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txloom.functions.storage import drop, hash_unit, materialize
+from txloom.functions.storage import hash_unit, materialize
 from txloom.operators.graph import adjacency, degrees, induced
 
 #: Steps between two writes of the walkers' positions.
@@ -54,42 +56,49 @@ def walk(u: DataFrame, walks: int = 10, length: int = 80, seed: int = 42, p: flo
     near = materialize(near, "adjacency")
     second = p != 1.0 or q != 1.0
     none = F.array().cast("array<string>")
-    state = walk_seeds(u, walks, seed).select(F.concat_ws("#", "id", "iter").alias("walk_id"), "seed", F.col("id").alias("at"), F.array("id").alias("walk"), none.alias("around"))
-    held = None
+    state = walk_seeds(u, walks, seed).select(F.concat_ws("#", "id", "iter").alias("walk_id"), "seed", F.col("id").alias("at"), F.lit(None).cast("string").alias("back"), F.array("id").alias("walk"), none.alias("around"))
+    parts, at = [], 0
     for k in range(1, length):
         joined = state.join(near.withColumnRenamed("id", "at"), "at", "left")
         unit = hash_unit(F.md5(F.concat_ws("|", "seed", "walk_id", F.lit(str(k)))))
         if second:
-            back = F.element_at("walk", F.greatest(F.size("walk") - 1, F.lit(1)))
-            weight = F.transform("neighbours", lambda x: F.when(F.lit(k > 1) & (x == back), 1 / p).when(F.lit(k == 1) | F.array_contains("around", x), 1.0).otherwise(1 / q))  # noqa: B023
+            weight = F.transform("neighbours", lambda x: F.when(x == F.col("back"), 1 / p).when(F.lit(k == 1) | F.array_contains("around", x), 1.0).otherwise(1 / q))  # noqa: B023
             step = _pick(F.col("neighbours"), weight, unit)
         else:
             step = F.element_at("neighbours", F.floor(unit * F.size("neighbours")).cast("int") + 1)
         moved = F.size("neighbours") > 0
-        state = joined.select("walk_id", "seed", F.when(moved, step).otherwise(F.col("at")).alias("at"), F.when(moved, F.concat("walk", F.array(step))).otherwise(F.col("walk")).alias("walk"), (F.coalesce("neighbours", none) if second else none).alias("around"))
-        if k % CUT_EVERY == 0:
-            state, old = materialize(state, "walks"), held
-            if old is not None:
-                drop(old)
-            held = state
-    return state.select("walk_id", "walk")
+        state = joined.select("walk_id", "seed", F.when(moved, step).otherwise(F.col("at")).alias("at"), F.col("at").alias("back"), F.when(moved, F.concat("walk", F.array(step))).otherwise(F.col("walk")).alias("walk"), (F.coalesce("neighbours", none) if second else none).alias("around"))
+        if k % CUT_EVERY == 0 and k < length - 1:
+            state = materialize(state, "walks")
+            parts.append(state.select("walk_id", F.lit(at).alias("part"), "walk"))
+            state, at = state.withColumn("walk", none), at + 1
+    if not parts:
+        return state.select("walk_id", "walk")
+    parts.append(state.select("walk_id", F.lit(at).alias("part"), "walk"))
+    return _whole(parts)
+
+
+def _whole(parts: list[DataFrame]) -> DataFrame:
+    """Walks from their stored parts; only the last few nodes travel with a walker."""
+    every = reduce(DataFrame.unionByName, parts)
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("part", "walk"))), lambda x: x["walk"])
+    return every.groupBy("walk_id").agg(F.flatten(pieces).alias("walk"))
 
 
 def weighted_walk(w: DataFrame, walks: int = 10, length: int = 20, seed: int = 42) -> DataFrame:
     """Walks over a weighted neighbour table ``v, n, w``, steps in proportion to the weights."""
     near = materialize(w.groupBy(F.col("v").alias("at")).agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("out")), "weighted")
     starts = near.select(F.col("at").alias("id")).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    state, held = starts.select(F.concat_ws("#", "id", "iter").alias("walk_id"), F.col("id").alias("at"), F.array("id").alias("walk")), None
+    state, parts, part = starts.select(F.concat_ws("#", "id", "iter").alias("walk_id"), F.col("id").alias("at"), F.array("id").alias("walk")), [], 0
     for k in range(1, length):
         unit = hash_unit(F.md5(F.concat_ws("|", F.lit(str(seed)), "walk_id", F.lit(str(k)))))
         step = _pick(F.col("out.n"), F.col("out.w"), unit)
         state = state.join(near, "at").select("walk_id", step.alias("at"), F.concat("walk", F.array(step)).alias("walk"))
-        if k % CUT_EVERY == 0:
-            state, old = materialize(state, "walks"), held
-            if old is not None:
-                drop(old)
-            held = state
-    return state.select("walk_id", "walk")
+        if k % CUT_EVERY == 0 and k < length - 1:
+            state = materialize(state, "walks")
+            parts.append(state.select("walk_id", F.lit(part).alias("part"), "walk"))
+            state, part = state.withColumn("walk", F.array().cast("array<string>")), part + 1
+    return _whole([*parts, state.select("walk_id", F.lit(part).alias("part"), "walk")]) if parts else state.select("walk_id", "walk")
 
 
 def deepwalk(u: DataFrame, walks: int = 10, length: int = 80, seed: int = 42) -> DataFrame:

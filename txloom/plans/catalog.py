@@ -599,9 +599,17 @@ def _(spark, sf):
     return rounded(I.pagerank(tx_edges(spark, sf), fixed_iters=20), "gi_pagerank", digits=9)
 
 
-@query("pagerank_converged")
+_PR_ALL = E.replace("WITH ", "WITH RECURSIVE ", 1) + """, os AS (SELECT src AS id, count(*) AS o FROM e GROUP BY src), nn AS (SELECT count(*)::DOUBLE AS n FROM v),
+r(i, id, o, x, y) AS (SELECT 0, id, o, 1 / n, NULL::DOUBLE FROM v LEFT JOIN os USING (id), nn
+UNION ALL SELECT r.i + 1, r.id, r.o, 0.85::DOUBLE * (coalesce(f.f, 0) + (SELECT coalesce(sum(x), 0) FROM r WHERE o IS NULL) / n) + 0.15::DOUBLE / n, r.x
+FROM r LEFT JOIN (SELECT e.dst AS id, sum(x / o) AS f FROM e JOIN r q ON q.id = e.src GROUP BY e.dst) f USING (id), nn WHERE r.i < 100),
+t AS (SELECT i FROM r, nn WHERE y IS NOT NULL GROUP BY i, n HAVING sum(abs(x - y)) < n * 1e-8)
+SELECT id, round(x, 9) AS gi_pagerank FROM r WHERE i = (SELECT coalesce(min(i), 100) FROM t)"""
+
+
+@query("pagerank_converged", _PR_ALL)
 def _(spark, sf):
-    return I.pagerank(tx_edges(spark, sf))
+    return rounded(I.pagerank(tx_edges(spark, sf)), "gi_pagerank", digits=9)
 
 
 @query("laplacian_weights", E + " SELECT src AS i, dst AS j, round(-1 / sqrt(a.d * b.d), 6) AS value FROM u JOIN deg a ON a.id = src JOIN deg b ON b.id = dst UNION ALL SELECT id, id, 1.0 FROM deg")

@@ -6,6 +6,7 @@ have no twin; tests hold them against closed forms or brute force.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from txloom.functions import columns as C
@@ -19,6 +20,7 @@ from txloom.operators import preprocess as P
 from txloom.operators import spectral as SP
 from txloom.operators import structural as ST
 from txloom.operators import walks as WK
+from txloom.plans import experiments as X
 from txloom.plans.catalog import DIST, E, NODES_SQL, _dist, _labelled, _u, query, rounded
 from txloom.sources.fixtures import table, tx_edges, tx_features
 from txloom.streaming import degree_updates, windowed_counts
@@ -63,7 +65,7 @@ def _(spark, sf):
 
 @query("infomap")
 def _(spark, sf):
-    return CO.infomap(_u(spark, sf), trials=3)
+    return CO.infomap(_u(spark, sf))
 
 
 @query("community_extras", E + """, cm AS (SELECT id, length(id) || substr(id, 1, 1) AS comm FROM v), n AS (SELECT comm, count(*) AS n FROM cm GROUP BY comm),
@@ -86,7 +88,7 @@ def _(spark, sf):
 
 @query("spectral_embedding")
 def _(spark, sf):
-    return SP.spectral(_u(spark, sf), 16)
+    return SP.spectral(_u(spark, sf))
 
 
 @query("graphwave_embedding")
@@ -104,25 +106,39 @@ def _(spark, sf):
     return WK.walk_seeds(_u(spark, sf), 3)
 
 
-@query("walk_deepwalk")
+def _walk_sql(walks: int = 10, length: int = 80) -> str:
+    """Uniform walks: a step is the neighbour, in order of ids, that the hash of seed, walk and step picks."""
+    unit = "CAST(CAST('0x' || substr(md5(w.seed || '|' || w.walk_id || '|' || (w.k + 1)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+    return E.replace("WITH ", "WITH RECURSIVE ", 1) + f""", al AS (SELECT src AS id, list_sort(list(dst)) AS ns FROM u GROUP BY src),
+w(k, walk_id, seed, node) AS (SELECT 0, id || '#' || i, 42 + i * 100000 + CAST('0x' || substr(sha256(id), 1, 15) AS BIGINT) % 100000, id FROM v, range({walks}) r(i)
+UNION ALL SELECT w.k + 1, w.walk_id, w.seed, al.ns[CAST(floor({unit} * len(al.ns)) AS BIGINT) + 1] FROM w JOIN al ON al.id = w.node WHERE w.k < {length - 1})
+SELECT walk_id, string_agg(node, ' ' ORDER BY k) AS walk FROM w GROUP BY walk_id"""
+
+
+@query("walk_deepwalk", _walk_sql())
 def _(spark, sf):
-    return WK.deepwalk(_u(spark, sf), 2, 20)
+    return WK.deepwalk(_u(spark, sf)).select("walk_id", F.array_join("walk", " ").alias("walk"))
 
 
 @query("walk_node2vec_dfs")
 def _(spark, sf):
-    return WK.node2vec(_u(spark, sf), "dfs", 2, 10)
+    return WK.node2vec(_u(spark, sf), "dfs")
 
 
 @query("walk_node2vec_bfs")
 def _(spark, sf):
-    return WK.node2vec(_u(spark, sf), "bfs", 2, 10)
+    return WK.node2vec(_u(spark, sf), "bfs")
+
+
+@query("walk_node2vec_bal", _walk_sql())
+def _(spark, sf):
+    return WK.node2vec(_u(spark, sf), "bal").select("walk_id", F.array_join("walk", " ").alias("walk"))
 
 
 @query("walk_role2vec")
 def _(spark, sf):
     u = _u(spark, sf)
-    return WK.role2vec(u, I.wl_labels(u), walks=2, length=10)
+    return WK.role2vec(u, I.wl_labels(u))
 
 
 @query("topk_degree", E + " SELECT id, d FROM deg ORDER BY d DESC, id LIMIT 500")
@@ -138,13 +154,13 @@ def _(spark, sf):
 @query("structural_walks")
 def _(spark, sf):
     u = _u(spark, sf)
-    return WK.weighted_walk(ST.flatten(ST.layer_weights(ST.regroup(ST.cumulate(ST.moment_distances(u.filter("src < dst").toDF("v", "n"), ST.layer_moments(u)))))), 2, 10)
+    return WK.weighted_walk(ST.flatten(ST.layer_weights(ST.regroup(ST.cumulate(ST.moment_distances(u.filter("src < dst").toDF("v", "n"), ST.layer_moments(u)))))))
 
 
 @query("structural_dtw")
 def _(spark, sf):
     u = _u(spark, sf)
-    return ST.dtw_distances(u.filter("src < dst").toDF("v", "n"), ST.degree_lists(u, 1))
+    return ST.dtw_distances(u.filter("src < dst").toDF("v", "n"), ST.degree_lists(u))
 
 
 @query("layer_med_var_distance", DIST.replace("a.mean", "a.median").replace("b.mean", "b.median") + " SELECT v, n, layer, round(d, 6) + 0.0 AS d FROM ds")
@@ -220,22 +236,20 @@ def _graph(spark, sf):
 
 @query("gcn_search")
 def _(spark, sf):
-    return gnn.search(spark, _graph(spark, sf)[0], [{"hidden": [8]}, {"hidden": [16], "lr": 0.02}, {"hidden": [16, 8]}], epochs=15)
+    return gnn.search(spark, _graph(spark, sf)[0], [{"hidden": [8]}, {"hidden": [16], "lr": 0.02}, {"hidden": [16, 8]}])
 
 
 @query("gat_predictions")
 def _(spark, sf):
-    g, ids = _graph(spark, sf)
-    w, _info = gnn.train_gat(g, {"heads": 2, "width": 4}, 10)
-    p = gnn.gat_forward(g, w, 2)[0]
-    return spark.createDataFrame([(i, float(x)) for i, x in zip(ids, p[:, 0], strict=True)], "tx_id string, p0 double")
+    scaled, columns = X.network_input(_labelled(spark, sf))
+    return gnn.classify(tx_edges(spark, sf), scaled, columns, "gat").select("tx_id", "p0")
 
 
 @query("bgrl_embedding")
 def _(spark, sf):
-    g, ids = _graph(spark, sf)
-    emb, _losses = gnn.pretrain_bgrl(g, 8, 10)
-    return spark.createDataFrame([(i, [float(v) for v in x]) for i, x in zip(ids, emb, strict=True)], "tx_id string, emb array<double>")
+    scaled, columns = X.network_input(_labelled(spark, sf))
+    use = lambda g, ids: pd.DataFrame({"tx_id": ids, "emb": list(gnn.pretrain_bgrl(g)[0])})
+    return gnn.in_worker(tx_edges(spark, sf), scaled, columns, use, "tx_id string, emb array<double>")
 
 
 # -- models -------------------------------------------------------------------

@@ -8,10 +8,12 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.functions.columns import encode_label
-from txloom.operators import communities, indicators, models, sampling, spectral, structural, walks
+from txloom.functions.columns import encode_label, finite
+from txloom.functions.storage import materialize
+from txloom.operators import communities, gnn, indicators, metrics, models, sampling, spectral, structural, walks
 from txloom.operators.features import FeatureSet, assemble
 from txloom.operators.graph import components, content_hash, edges, subsample, symmetric, without_loops
+from txloom.operators.preprocess import zscore
 from txloom.sources import readers, sinks
 
 #: How each signal is computed from directed edges ``e`` and symmetric ones ``u``.
@@ -46,19 +48,63 @@ def variant_edges(e: DataFrame, variant: str | int | None, seed: int = 42) -> Da
     return subsample(e, share / 100, seed) if share else e
 
 
-def signals(e: DataFrame, names: list[str]) -> dict[str, DataFrame]:
-    """Signal tables of a directed edge list, computed on all nodes, labelled or not."""
+#: Signals that learn from the nodes' features, labels and splits as well.
+NETWORKS = ("gcn", "gat", "gcl")
+
+
+def signals(e: DataFrame, names: list[str], nodes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Signal tables of a directed edge list, computed on all nodes, labelled or not.
+
+    The networks need ``nodes(tx_id, label, split, features…)``, whose features they scale
+    on the training rows.
+    """
     d = edges(e)
     u = symmetric(without_loops(d))
-    return {n: BUILDERS[n](d, u) for n in names}
+    if wrong := [n for n in names if n in NETWORKS and nodes is None]:
+        raise ValueError(f"signals {wrong} need the nodes' features")
+    return {n: network_signal(d, nodes, n) if n in NETWORKS else BUILDERS[n](d, u) for n in names}
+
+
+def network_input(nodes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Scaled features with id, label and split, and the feature columns."""
+    columns = [c for c, t in nodes.dtypes if c not in ("tx_id", "time_step", "class", "label", "split") and t in ("double", "float", "int", "bigint")]
+    filled = nodes.select(F.col("tx_id").alias("id"), "label", "split", *[finite(F.col(c)).alias(c) for c in columns])
+    return zscore(filled, columns), columns
+
+
+def network_signal(e: DataFrame, nodes: DataFrame, kind: str, width: int = 64, epochs: int | None = None) -> DataFrame:
+    scaled, columns = network_input(nodes)
+    return gnn.signal(e, scaled, columns, kind, width, epochs)
+
+
+def classify_network(spark: SparkSession, bundle: str, e: DataFrame, kind: str, out: str, width: int = 64, epochs: int | None = None) -> dict:
+    """Trains a network on a bundle and its graph; stores the test predictions and the result document."""
+    scaled, columns = network_input(readers.bundle(spark, bundle))
+    found = gnn.classify(edges(e), scaled, columns, kind, width, epochs).filter("y_true IN (0, 1)")
+    found = materialize(found, "network")
+    threshold = metrics.best_threshold(found.filter("split = 'validation'"), metric="balanced_accuracy", steps=1000, ends=True).first()["threshold"]
+    test = found.filter("split = 'test'").withColumn("y_pred", F.when(F.col("p0") >= threshold, 0).otherwise(1))
+    name = bundle.rstrip("/").rpartition("/")[2]
+    sinks.predictions(test.select("tx_id", "y_true", "y_pred", F.col("p0").alias("proba_fraud"), (1 - F.col("p0")).alias("proba_nofraud")), f"{out}/{kind.upper()}_{name}__testpreds.parquet")
+    row = metrics.all_metrics(test.withColumn("_k", F.lit(1)), ["_k"]).first()
+    document = {"model": kind.upper(), "bundle": name, "threshold": threshold, "test_metrics": {"f1_fraud": row["f1"], "recall_fraud": row["recall"], "precision_fraud": row["precision"], "roc_auc_fraud": row["roc_auc"], "pr_auc_fraud": row["average_precision"], "log_loss": row["log_loss"]}}
+    sinks.result(spark, f"{out}/{kind.upper()}_{name}.json", document)
+    return document
+
+
+def network_batch(spark: SparkSession, root: str, e: DataFrame, kind: str, out: str, width: int = 64, epochs: int | None = None) -> list[dict]:
+    """:func:`classify_network` of every bundle under ``root`` that has no result yet."""
+    lead = f"{kind.upper()}_"
+    done = [n.removeprefix(lead).removesuffix(".json") for n in readers._names(spark, out) if n.startswith(lead) and n.endswith(".json")]
+    return [classify_network(spark, f"{root}/{n}", e, kind, out, width, epochs) for n in readers.discover(spark, root, done=done)]
 
 
-def store_signals(e: DataFrame, names: list[str], path: str, variant: str | int | None = None) -> str:
+def store_signals(e: DataFrame, names: list[str], path: str, variant: str | int | None = None, nodes: DataFrame | None = None) -> str:
     """Writes a table and a description for every signal; returns the graph's hash."""
     spark, d = e.sparkSession, variant_edges(edges(e), variant)
     digest = content_hash(d).first()["graph_hash"]
     suffix = f"_{variant}" if variant not in (None, "", 0, "0") else ""
-    for name, table in signals(d, names).items():
+    for name, table in signals(d, names, nodes).items():
         table.orderBy("id").write.mode("overwrite").parquet(f"{path}/{name}{suffix}.parquet")
         sinks.meta(spark, f"{path}/{name}{suffix}.meta.json", name, digest, variant=variant)
     return digest
@@ -83,11 +129,14 @@ def export_grid(nodes: DataFrame, e: DataFrame, sets: list[str], root: str, seed
     out = []
     for v in variants:
         parsed = [FeatureSet.parse(s, variant=v) for s in sets]
-        tables = signals(variant_edges(edges(e), v), sorted({n for fs in parsed for n in fs.signals}))
+        d = variant_edges(edges(e), v)
+        tables = signals(d, sorted({n for fs in parsed for n in fs.signals if n not in NETWORKS}))
         for fs in parsed:
             for seed in seeds:
                 fs.split_seed = seed
-                out.append(export(nodes, tables, fs, root))
+                split = feature_table(nodes, {}, FeatureSet(split_seed=seed, validation=fs.validation, test=fs.test))
+                learned = {n: network_signal(d, split, n) for n in fs.signals if n in NETWORKS}  # of this seed's training rows
+                out.append(export(nodes, tables | learned, fs, root))
     return out
 
 

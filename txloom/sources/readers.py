@@ -35,6 +35,11 @@ def classes_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("tx_id", parse_label(F.col("class")).alias("class"))
 
 
+def labelled(features: DataFrame, classes: DataFrame) -> DataFrame:
+    """Features with their class, null where there is none."""
+    return features.join(classes, "tx_id", "left")
+
+
 def edges_csv(spark: SparkSession, path: str) -> DataFrame:
     """Edge list with header; only the first two columns are read."""
     return required(lambda p: spark.read.csv(p, header=True, schema="src string, dst string", enforceSchema=True), path)
@@ -78,10 +83,15 @@ def from_dict(spark: SparkSession, near: dict, undirected: bool = False) -> Data
 
 
 def word2vec_text(spark: SparkSession, path: str) -> DataFrame:
-    """``id, emb`` of a text file of vectors; a header ``n dim`` is checked against every row's width."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"), F.input_file_name().alias("_f"))
-    head = lines.filter(F.size("p") == 2).select(F.col("p")[1].cast("int").alias("dim"))
-    rows = lines.filter(F.size("p") > 2).crossJoin(F.broadcast(head.limit(1)))  # one row
+    """``id, emb`` of a text file of vectors; the header ``n dim`` is checked against every row's width.
+
+    The header is the first line of a file; vectors of one number have two fields as well
+    and are no header.
+    """
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+    head = lines.filter((F.size("p") == 2) & F.col("p")[0].try_cast("int").isNotNull() & F.col("p")[1].try_cast("int").isNotNull()).orderBy("f", "at").limit(1)
+    head = head.select(F.col("p")[1].cast("int").alias("dim"), F.col("at").alias("head"))
+    rows = lines.crossJoin(F.broadcast(head)).filter((F.col("at") != F.col("head")) & (F.size("p") > 1))  # one row
     emb = F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda x: x.cast("float"))
     wrong = F.raise_error(F.concat(F.lit("wrong width of vector "), F.col("p")[0]))
     return rows.select(F.col("p")[0].alias("id"), F.when(F.size("p") == F.col("dim") + 1, emb).otherwise(wrong).alias("emb"))
