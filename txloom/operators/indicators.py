@@ -259,7 +259,7 @@ def core_number(u: DataFrame, most: int = PEEL_EDGES) -> DataFrame:
     tagged = links.join(comp.select(F.col("id").alias("src"), "comp"), "src")
     sizes = materialize(tagged.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "core-sizes")
     total = sizes.filter(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0
-    parts = max(int(u.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    parts = max(int(u.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // max(most, 1)))
     whole = tagged.join(sizes.filter(F.col("n") <= most), "comp", "left_semi").select("src", "dst", F.pmod(F.xxhash64("comp"), F.lit(parts)).alias("_part"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
