@@ -67,3 +67,10 @@ def test_broken_records_are_refused(old, new):
     raw = records()[1].replace(old, new, 1)
     with pytest.raises(warc.WarcError):
         warc.read_record(raw)
+
+
+def test_ids_that_break_a_header_are_refused(spark):
+    pages = spark.createDataFrame([("a", "u", "x"), ("b\nWARC-Type: x", "u", "y")], "page_id string, url string, html string")
+    assert warc.round_trip(pages.filter("page_id = 'a'")).first().page_id == "a"
+    with pytest.raises(Exception, match="cannot stand in a header"):
+        warc.round_trip(pages)

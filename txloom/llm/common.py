@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where scratch goes when the session names no shared folder (tests, notebooks).
-LOCAL_SCRATCH = "/tmp/txloom-scratch"
-
+from txloom.functions.storage import drop, materialize  # noqa: F401  (operators store through this module)
 
 #: Bytes of input that a Python worker holds at once.
 BATCH_BYTES = "8m"
@@ -24,32 +21,9 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or LOCAL_SCRATCH).rstrip('/')}/txloom"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage at files that outlive any executor; each call has its own
-    path, so retries and concurrent jobs never share files.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, root = spark.sparkContext._jvm, scratch_root(spark)
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/txloom/" in folder and root.rpartition(":")[2] in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(df)
 
 
 def parts_for(spark: SparkSession, amount: int, each: int) -> int:

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import document_rows, drop_scratch, identified, join_hot, join_salted, materialize, shadowed, without
+from txloom.llm.common import document_rows, identified, join_hot, materialize, shadowed, without
+from txloom.operators.graph import star_components
 
 RADIUS = 4
 SHINGLE = 4
@@ -190,28 +191,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, seed: int = SEED, split_at:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node of each node's component (large-star, small-star).
-
-    Rounds are written to the shared folder until one changes nothing; only a count and
-    a sum of hashes of the edges reach the driver.
-    """
-    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = join_salted(both, least, ["a"], F.xxhash64("b"), 8, "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = join_salted(large, least, ["a"], F.xxhash64("b"), 8, "inner")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        new = materialize(small.filter("a <> b").distinct(), "edges")
-        drop_scratch(edges)
-        edges, before = new, seen
-        seen = mark(edges)
-        if seen == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    """``node, root``: the smallest node of each node's component, for every node but that one."""
+    return star_components(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

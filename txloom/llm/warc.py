@@ -157,7 +157,8 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, min_rev
 
     Of equal payloads of at least ``min_revisit`` bytes the smallest id is the
     response, the others revisit it (ids before nulls; of repeated rows with that id
-    one is the response).  Null html is an empty payload, a null url an empty one.
+    one is the response).  Null html is an empty payload, a null url an empty one; ids
+    that could break a header are refused.
     """
     rows = document_rows(pages, id_col, url_col, html_col).toDF("page_id", "url", "html").select(
         "page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -174,7 +175,8 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, min_rev
         joined = joined.filter(~tied).withColumn("nth", F.lit(1)).unionByName(picked)
     else:
         joined = joined.withColumn("nth", F.lit(1))
-    urn = lambda i: F.concat(F.lit("urn:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    plain = lambda i: F.when(F.regexp_like(i, F.lit(r"[\x00-\x20<>]")), F.raise_error(F.lit("a page id with control characters, blanks or angle brackets cannot stand in a header"))).otherwise(i)
+    urn = lambda i: F.concat(F.lit("urn:page:"), F.coalesce(plain(i.cast("string")), F.lit("")), F.lit(":"), F.col("digest"))
     joined = joined.select(
         urn(F.col("page_id")).alias("id"), "url", "payload", "digest",
         F.when(F.col("first").isNotNull() & ~(leads & (F.col("nth") == 1)), urn(F.col("first.id"))).alias("refers"),
