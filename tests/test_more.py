@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs: squares, cores, ranking, sweeps, alias tables, graph networks."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -109,6 +110,25 @@ def test_walks_keep_all_steps(hub, length):
         assert all(len(r.walk) == length and r.walk[0] == r.walk_id.split("#")[0] and all(p in near for p in zip(r.walk, r.walk[1:])) for r in rows)
 
 
+@pytest.mark.parametrize("variant", ["bal", "dfs", "bfs"])
+def test_second_order_walks_match_brute_force(hub, variant):
+    near = {}
+    for r in hub.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    p, q = walks.NODE2VEC[variant]
+    want = {}
+    for v, i in itertools.product(near, range(2)):
+        seed, walk = 42 + i * 100_000 + int(hashlib.sha256(v.encode()).hexdigest()[:15], 16) % 100_000, [v]
+        for k in range(1, 20):
+            unit = int(hashlib.md5(f"{seed}|{v}#{i}|{k}".encode()).hexdigest()[:13], 16) / 16**13
+            choices = sorted(near[walk[-1]])
+            weights = [1.0 if k == 1 or (p == q == 1.0) else 1 / p if c == walk[-2] else 1.0 if c in near[walk[-2]] else 1 / q for c in choices]
+            sums = list(itertools.accumulate(weights))
+            walk.append(choices[min(sum(s <= unit * sums[-1] for s in sums), len(choices) - 1)])
+        want[f"{v}#{i}"] = walk
+    assert {r.walk_id: r.walk for r in walks.node2vec(hub, variant, 2, 20).collect()} == want
+
+
 def test_network_signals_and_batches(spark, tmp_path):
     r = random.Random(1)
     nodes = spark.createDataFrame([(str(i), 1 + i % 49, (1, 2)[i % 2], r.gauss(i % 2, 1)) for i in range(120)], "tx_id string, time_step int, class int, f_x double")

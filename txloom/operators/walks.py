@@ -66,8 +66,9 @@ def walk(u: DataFrame, walks: int = 10, length: int = 80, seed: int = 42, p: flo
             step = _pick(F.col("neighbours"), weight, unit)
         else:
             step = F.element_at("neighbours", F.floor(unit * F.size("neighbours")).cast("int") + 1)
-        moved = F.size("neighbours") > 0
-        state = joined.select("walk_id", "seed", F.when(moved, step).otherwise(F.col("at")).alias("at"), F.col("at").alias("back"), F.when(moved, F.concat("walk", F.array(step))).otherwise(F.col("walk")).alias("walk"), (F.coalesce("neighbours", none) if second else none).alias("around"))
+        # the step is a column first, so that position and walk take the same one
+        picked = joined.withColumn("step", F.when(F.size("neighbours") > 0, step))
+        state = picked.select("walk_id", "seed", F.coalesce("step", "at").alias("at"), F.col("at").alias("back"), F.when(F.col("step").isNotNull(), F.concat("walk", F.array("step"))).otherwise(F.col("walk")).alias("walk"), (F.coalesce("neighbours", none) if second else none).alias("around"))
         if k % CUT_EVERY == 0 and k < length - 1:
             state = materialize(state, "walks")
             parts.append(state.select("walk_id", F.lit(at).alias("part"), "walk"))
@@ -93,7 +94,7 @@ def weighted_walk(w: DataFrame, walks: int = 10, length: int = 20, seed: int = 4
     for k in range(1, length):
         unit = hash_unit(F.md5(F.concat_ws("|", F.lit(str(seed)), "walk_id", F.lit(str(k)))))
         step = _pick(F.col("out.n"), F.col("out.w"), unit)
-        state = state.join(near, "at").select("walk_id", step.alias("at"), F.concat("walk", F.array(step)).alias("walk"))
+        state = state.join(near, "at").select("walk_id", step.alias("at"), "walk").select("walk_id", "at", F.concat("walk", F.array("at")).alias("walk"))
         if k % CUT_EVERY == 0 and k < length - 1:
             state = materialize(state, "walks")
             parts.append(state.select("walk_id", F.lit(part).alias("part"), "walk"))
