@@ -34,6 +34,8 @@ THRESHOLD = 0.3
 COUNTERFACTUAL, RIDGE = 10.0, 1e-4
 #: Occurrences of one word that count.
 MOST = 4
+#: Words that a task counts before it sends their counts on.
+COUNTED_WORDS = 50_000
 
 #: Identity terms by kind; a term is swapped for the next one of its kind.
 IDENTITIES = (
@@ -114,11 +116,12 @@ def choose_words(labelled: DataFrame, size: int = VOCABULARY, least: int = MIN_T
 
         for batch in batches:
             for data, label in zip(batch.column(0), batch.column(1), strict=True):
-                for w in set(features_of(words_of(data.as_py()))):
-                    counts.setdefault(w, [0, 0])[label.as_py()] += 1
-            if len(counts) > 300_000:
-                yield out()
-                counts.clear()
+                toxic = label.as_py()
+                for w in set(features_of(list(set(words_of(data.as_py()))))):
+                    counts.setdefault(w, [0, 0])[toxic] += 1
+                if len(counts) > COUNTED_WORDS:
+                    yield out()
+                    counts.clear()
         yield out()
 
     totals = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
