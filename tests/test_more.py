@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from txloom.operators import gnn, graph, indicators, metrics, structural, walks
+from txloom.operators import gnn, graph, indicators, metrics, models, structural, walks
 from txloom.plans import experiments
 from txloom.sources import readers
 
@@ -164,3 +164,39 @@ def test_means_of_all_networks_are_finite(spark):
     nodes = spark.createDataFrame(rows, "id string, label int, split string, f_0 double")
     out = gnn.signal(frame(spark, [(0, 1), (1, 2)]), nodes, ["f_0"], "gcl", 4, 3)
     assert out.select([F.isnan(c).cast("int").alias(c) for c in out.columns[1:]]).agg(*[F.sum(c) for c in out.columns[1:]]).first() == (0,) * 4
+
+
+SURFACE = {"x": models.Space(low=-5, high=5), "y": models.Space(low=1e-4, high=10, log=True), "kind": models.Space(("a", None, "c", "d"))}
+
+
+def surface(p):
+    return (p["x"] - 2) ** 2 + math.log10(p["y"] / 0.03) ** 2 + (0 if p["kind"] is None else 2)
+
+
+def test_parzen_search_beats_random_draws_and_repeats():
+    wins, found, drawn = 0, [], []
+    for seed in range(20):
+        done = models.minimise(surface, SURFACE, 50, seed)
+        assert len(done) == 50 and all(-5 <= t["params"]["x"] <= 5 and 1e-4 <= t["params"]["y"] <= 10 for t in done)
+        found.append(min(t["loss"] for t in done))
+        drawn.append(min(t["loss"] for t in models.minimise(surface, SURFACE, 50, seed, startup=50)))
+        wins += found[-1] <= drawn[-1]
+    assert wins >= 15 and sum(found) < sum(drawn) / 2
+    assert models.minimise(surface, SURFACE, 30, 1) == models.minimise(surface, SURFACE, 30, 1)
+
+
+def test_search_goes_on_after_losses_that_are_not_numbers():
+    def loss(p):
+        return None if p["x"] < -4 else math.nan if p["x"] > 4 else surface(p)
+
+    done = models.minimise(loss, SURFACE, 40, 3)
+    assert surface(models.best(done)) == min(t["loss"] for t in done if t["loss"] is not None and not math.isnan(t["loss"]))
+    with pytest.raises(ValueError, match="finite"):
+        models.best(models.minimise(lambda p: None, SURFACE, 25, 3))
+
+
+def test_densities_have_mass_one():
+    for points in ([], [0.1], [0.0, 0.5, 0.5, 1.0]):
+        kernels = models._kernels(points, 0.0, 1.0)
+        area = sum(models._density((i + 0.5) / 2000, kernels) for i in range(2000)) / 2000
+        assert area * 1 / math.sqrt(2 * math.pi) == pytest.approx(1, abs=1e-3)

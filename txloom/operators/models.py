@@ -41,7 +41,17 @@ class Space:
     def draw(self, r: random.Random):
         if self.options:
             return r.choice(self.options)
-        return math.exp(r.uniform(math.log(self.low), math.log(self.high))) if self.log else r.uniform(self.low, self.high)
+        return self.value(r.uniform(*self.ends()))
+
+    def ends(self) -> tuple[float, float]:
+        """The range on the scale that it is drawn on."""
+        return (math.log(self.low), math.log(self.high)) if self.log else (self.low, self.high)
+
+    def scaled(self, v: float) -> float:
+        return math.log(v) if self.log else v
+
+    def value(self, x: float) -> float:
+        return min(self.high, max(self.low, math.exp(x) if self.log else x))
 
 
 _PCA = Space((None, 16, 32, 48, 64, 0.95))
@@ -173,6 +183,72 @@ def trials(model: str, n: int, seed: int = 42) -> list[Params]:
     return [{k: s.draw(r) for k, s in SPACES[model].items()} for _ in range(n)]
 
 
+def _kernels(points: list[float], low: float, high: float) -> list[tuple[float, float, float]]:
+    """Centre, width and mass inside the range of a Parzen estimate: one over the whole range, and one a point.
+
+    A point's width is the larger gap to its neighbours, so that lone points reach far.
+    """
+    span, ordered = high - low, [low, *sorted(points), high]
+    least = span / min(100, len(points) + 2)
+    wide = [(ordered[i], min(span, max(least, ordered[i] - ordered[i - 1], ordered[i + 1] - ordered[i]))) for i in range(1, len(ordered) - 1)]
+    below = lambda x, c, s: (1 + math.erf((x - c) / (s * math.sqrt(2)))) / 2
+    return [(c, s, below(high, c, s) - below(low, c, s)) for c, s in [((low + high) / 2, span), *wide]]
+
+
+def _density(x: float, kernels: list[tuple[float, float, float]]) -> float:
+    return sum(math.exp(-(((x - c) / s) ** 2) / 2) / (s * m) for c, s, m in kernels) / len(kernels)
+
+
+def _suggest(space: Space, good: list, bad: list, r: random.Random, candidates: int):
+    """Of draws from the density of the good values the one that is likeliest against the bad ones."""
+    if space.options:
+        share = lambda done: [done.count(o) + 1 for o in space.options]
+        fine, poor = share(good), share(bad)
+        drawn = r.choices(range(len(fine)), fine, k=candidates)
+        return space.options[max(drawn, key=lambda i: fine[i] / poor[i])]
+    low, high = space.ends()
+    fine, poor = (_kernels([space.scaled(v) for v in done], low, high) for done in (good, bad))
+    drawn = []
+    while len(drawn) < candidates:
+        c, s, _ = r.choice(fine)
+        x = r.gauss(c, s)
+        if low <= x <= high:
+            drawn.append(x)
+    return space.value(max(drawn, key=lambda x: _density(x, fine) / _density(x, poor)))
+
+
+def propose(spaces: dict[str, Space], done: list[dict], r: random.Random, startup: int = 20, candidates: int = 24, share: float = 0.25) -> Params:
+    """Parameters of the next trial by tree-structured Parzen estimates.
+
+    The first ``startup`` trials are drawn at random.  Then the best ``share`` of the
+    trials (by loss; those without a finite one are the worst) are the good ones, and
+    every parameter is chosen by itself.
+    """
+    if len(done) < startup:
+        return {k: s.draw(r) for k, s in spaces.items()}
+    loss = lambda t: t["loss"] if t["loss"] is not None and math.isfinite(t["loss"]) else math.inf
+    ordered = [t["params"] for t in sorted(done, key=lambda t: (loss(t), t["trial"]))]
+    cut = max(1, math.ceil(share * len(ordered)))
+    return {k: _suggest(s, [p[k] for p in ordered[:cut]], [p[k] for p in ordered[cut:]], r, candidates) for k, s in spaces.items()}
+
+
+def minimise(loss: Callable[[Params], float], spaces: dict[str, Space], n: int, seed: int | str = 42, **how) -> list[dict]:
+    """``n`` trials of a loss in turn, each with the parameters proposed after those before."""
+    r, done = random.Random(str(seed)), []
+    for k in range(n):
+        params = propose(spaces, done, r, **how)
+        done.append({"trial": k, "params": params, "loss": loss(params)})
+    return done
+
+
+def best(done: list[dict]) -> Params:
+    """Parameters of the first trial with the least finite loss."""
+    finite = [t for t in done if t["loss"] is not None and math.isfinite(t["loss"])]
+    if not finite:
+        raise ValueError("no trial gave a finite loss")
+    return min(finite, key=lambda t: (t["loss"], t["trial"]))["params"]
+
+
 def objective(scored: DataFrame, model: str) -> float:
     """What a search minimises: log loss, or 1 - ROC AUC for SVC."""
     return 1 - (M.roc_auc(scored).first()[0] or 0.0) if model == "SVC" else M.log_loss(scored).first()[0]
@@ -180,13 +256,14 @@ def objective(scored: DataFrame, model: str) -> float:
 
 def search(model: str, df: DataFrame, columns: list[str], n: int = 50, seed: int = 42) -> tuple[Params, list[dict]]:
     """Best parameters of ``n`` trials on the validation rows, and all trials."""
-    done = []
-    for k, params in enumerate(trials(model, n, seed)):
+
+    def loss(params: Params) -> float:
         ready, used = prepare(df, columns, params, "split = 'train'")
         fitted = fit(model, ready.filter("split = 'train'"), used, params)
-        scored = fitted.score(ready.filter("split = 'validation'")).withColumn("y_true", F.col("label"))
-        done.append({"trial": k, "params": params, "loss": objective(scored, model)})
-    return min(done, key=lambda t: (t["loss"], t["trial"]))["params"], done
+        return objective(fitted.score(ready.filter("split = 'validation'")).withColumn("y_true", F.col("label")), model)
+
+    done = minimise(loss, SPACES[model], n, f"{model}|{seed}")
+    return best(done), done
 
 
 def run(model: str, df: DataFrame, columns: list[str], params: Params, steps: int = 100) -> dict:
