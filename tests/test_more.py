@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from txloom.operators import gnn, graph, indicators, metrics, models, structural, walks
 from txloom.plans import experiments
-from txloom.sources import readers
+from txloom.sources import readers, sinks
 
 
 def frame(spark, pairs):
@@ -200,3 +200,15 @@ def test_densities_have_mass_one():
         kernels = models._kernels(points, 0.0, 1.0)
         area = sum(models._density((i + 0.5) / 2000, kernels) for i in range(2000)) / 2000
         assert area * 1 / math.sqrt(2 * math.pi) == pytest.approx(1, abs=1e-3)
+
+
+@pytest.mark.parametrize(("name", "params"), [("NB", {"scaler": "minmax"}), ("SVC", {"kernel": "rbf", "gamma": 0.5, "max_iter": 10}), ("LR", {"emb_pca": 2, "max_iter": 20})])
+def test_stored_models_score_as_before(spark, tmp_path, name, params):
+    r = random.Random(4)
+    rows = [(str(i), i % 2, ("train", "validation", "test")[i % 3], r.gauss(i % 2, 1), r.random(), r.gauss(i % 2, 2), r.random()) for i in range(120)]
+    df = spark.createDataFrame(rows, "tx_id string, label int, split string, f_a double, emb_0 double, emb_1 double, emb_2 double")
+    out = models.run(name, df, ["f_a", "emb_0", "emb_1", "emb_2"], params, steps=10)
+    sinks.model(out, str(tmp_path / "m"), spark)
+    want = {p.tx_id: p.proba_fraud for p in out["predictions"].collect()}
+    got = {p.tx_id: p.p0 for p in models.load(spark, str(tmp_path / "m"))(df.filter("split = 'test'")).collect()}
+    assert got == want and len(got) == 40

@@ -14,11 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txloom.functions.storage import hash_key, hash_rank
@@ -76,6 +76,8 @@ class Fitted:
     score: Callable[[DataFrame], DataFrame]
     importance: dict[str, float] = field(default_factory=dict)
     pipeline: PipelineModel | None = None
+    #: What :func:`scorer` needs beside the pipeline, as plain values.
+    state: dict = field(default_factory=dict)
 
 
 def balance(rows: DataFrame, params: Params, model: str) -> tuple[DataFrame, str | None]:
@@ -110,14 +112,8 @@ def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fit
     if model == "NB":
         part = train if params.get("balancing") != "oversampling" else rows
         priors = {0: 0.5, 1: 0.5} if params.get("balancing") == "class_prior" else None
-        held = part.select("label", *columns).withColumn("_fit", F.lit(True))
-
-        def score(df: DataFrame) -> DataFrame:
-            both = held.unionByName(df.withColumn("_fit", F.lit(False)), allowMissingColumns=True)
-            out = P.gaussian_nb(both, columns, train="_fit", smoothing=float(params.get("var_smoothing", 1e-9)), priors=priors)
-            return P.clip_proba(out.filter("NOT _fit")).select(*df.columns, "p0")
-
-        return Fitted(score)
+        state = {"nb": P.nb_fit(part, columns, smoothing=float(params.get("var_smoothing", 1e-9)), priors=priors)}
+        return Fitted(scorer(state), state=state)
     assembler, svc = VectorAssembler(inputCols=columns, outputCol="features"), None
     common = {"labelCol": "target", "featuresCol": "features"} | ({"weightCol": weight} if weight else {})
     seed = int(params.get("seed", 42))
@@ -138,11 +134,8 @@ def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fit
     else:
         raise ValueError(f"unknown model {model}")
 
-    if svc:
-        kernel = _rbf(columns, float(params.get("gamma", 0.1)), seed=seed)
-        with_features = lambda df: df.select("*", kernel)
-    else:
-        with_features = assembler.transform
+    state: dict = {"kernel": {"columns": columns, "gamma": float(params.get("gamma", 0.1)), "seed": seed}} if svc else {}
+    with_features = (lambda df: df.select("*", _rbf(**state["kernel"]))) if svc else assembler.transform
     fitted = est.fit(with_features(rows))
     importance: dict[str, float] = {}
     if model == "LR" or model == "SVC" and not svc:
@@ -155,26 +148,57 @@ def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fit
     elif svc:
         importance = dict.fromkeys(columns, 0.0)
 
+    pipeline = PipelineModel(stages=[fitted] if svc else [assembler, fitted])
     if model == "SVC":  # margins to probabilities by a logistic fit on the training margins
-        margin = lambda df: fitted.transform(with_features(df)).withColumn("margin", vector_to_array("rawPrediction")[1])
-        one = VectorAssembler(inputCols=["margin"], outputCol="m")
-        platt = LogisticRegression(labelCol="target", featuresCol="m").fit(one.transform(margin(rows).select("margin", "target")))
-        a, b = float(platt.coefficients[0]), float(platt.intercept)
-        return Fitted(lambda df: margin(df).withColumn("p0", 1 / (1 + F.exp(-(F.lit(a) * F.col("margin") + F.lit(b))))).select(*df.columns, "p0"), importance)
-    score = lambda df: fitted.transform(with_features(df)).withColumn("p0", vector_to_array("probability")[1]).select(*df.columns, "p0")
-    pipeline = None if svc else PipelineModel(stages=[Pipeline(stages=[assembler]).fit(rows).stages[0], fitted])
-    return Fitted(score, importance, pipeline)
+        margins = fitted.transform(with_features(rows)).select(vector_to_array("rawPrediction")[1].alias("margin"), "target")
+        platt = LogisticRegression(labelCol="target", featuresCol="m").fit(VectorAssembler(inputCols=["margin"], outputCol="m").transform(margins))
+        state["platt"] = [float(platt.coefficients[0]), float(platt.intercept)]
+    return Fitted(scorer(state, pipeline), importance, pipeline, state)
+
+
+def scorer(state: dict, pipeline: PipelineModel | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The function that adds ``p0`` from a model's plain values and its pipeline, fitted now or stored before."""
+    if "nb" in state:
+        return lambda df: P.clip_proba(P.nb_score(df, state["nb"])).select(*df.columns, "p0")
+
+    def score(df: DataFrame) -> DataFrame:
+        out = pipeline.transform(df.select("*", _rbf(**state["kernel"])) if "kernel" in state else df)
+        if "platt" in state:
+            a, b = state["platt"]
+            p0 = 1 / (1 + F.exp(-(F.lit(a) * vector_to_array("rawPrediction")[1] + F.lit(b))))
+        else:
+            p0 = vector_to_array("probability")[1]
+        return out.withColumn("p0", p0).select(*df.columns, "p0")
+
+    return score
+
+
+def prepare_fit(df: DataFrame, columns: list[str], params: Params, train: str) -> dict:
+    """Projection of embeddings and scale of the columns, fitted on the ``train`` rows, as plain values."""
+    emb, pca = [c for c in columns if c.startswith("emb_")], None
+    if params.get("emb_pca") and emb:
+        pca = P.pca_fit(df, emb, params["emb_pca"], train)
+        df = P.pca_apply(df, pca)
+        columns = [c for c in columns if c not in emb] + [c for c in df.columns if c.startswith("emb_pca_")]
+    how = "minmax" if params.get("scaler") == "minmax" else "standard"
+    return {"pca": pca, "scale": P.scale_fit(df, columns, how, train)}
+
+
+def prepare_apply(df: DataFrame, state: dict) -> DataFrame:
+    return P.scale_apply(P.pca_apply(df, state["pca"]) if state["pca"] else df, state["scale"])
 
 
 def prepare(df: DataFrame, columns: list[str], params: Params, train: str) -> tuple[DataFrame, list[str]]:
     """Embeddings projected and columns scaled, fitted on the ``train`` rows."""
-    emb = [c for c in columns if c.startswith("emb_")]
-    if params.get("emb_pca") and emb:
-        rest = [c for c in columns if c not in emb]
-        df = P.emb_pca(df, emb, params["emb_pca"], train)
-        columns = rest + [c for c in df.columns if c.startswith("emb_pca_")]
-    scale = P.minmax if params.get("scaler") == "minmax" else P.zscore
-    return scale(df, columns, train), columns
+    state = prepare_fit(df, columns, params, train)
+    return prepare_apply(df, state), state["scale"]["columns"]
+
+
+def load(spark: SparkSession, path: str) -> Callable[[DataFrame], DataFrame]:
+    """The function that adds ``p0`` to raw rows with a model that a run stored."""
+    state = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/params.json", wholetext=True).collect()))["state"]
+    score = scorer(state, None if "nb" in state else PipelineModel.load(f"{path}/pipeline"))
+    return lambda df: score(prepare_apply(df, state["prepare"]))
 
 
 def trials(model: str, n: int, seed: int = 42) -> list[Params]:
@@ -277,11 +301,12 @@ def run(model: str, df: DataFrame, columns: list[str], params: Params, steps: in
     first = fit(model, ready.filter(seen), used, params)
     validation = first.score(ready.filter("split = 'validation'")).withColumn("y_true", F.col("label"))
     threshold = M.best_threshold(validation, steps=steps).first()["threshold"]
-    ready, used = prepare(df, columns, params, "split IN ('train', 'validation')")
+    before = prepare_fit(df, columns, params, "split IN ('train', 'validation')")
+    ready, used = prepare_apply(df, before), before["scale"]["columns"]
     final = fit(model, ready.filter("split IN ('train', 'validation')"), used, params)
     test = final.score(ready.filter("split = 'test'"))
     preds = test.select("tx_id", F.col("label").alias("y_true"), F.when(F.col("p0") >= threshold, 0).otherwise(1).alias("y_pred"), F.col("p0").alias("proba_fraud"), (1 - F.col("p0")).alias("proba_nofraud"))
-    return {"model": model, "threshold": threshold, "predictions": preds, "importance": final.importance, "pipeline": final.pipeline, "params": params}
+    return {"model": model, "threshold": threshold, "predictions": preds, "importance": final.importance, "pipeline": final.pipeline, "params": params, "state": final.state | {"prepare": before}}
 
 
 def metrics_document(result: dict, feature_set: str) -> dict:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +28,53 @@ def minmax(df: DataFrame, columns: list[str], train: str = "split = 'train'") ->
     return df.crossJoin(F.broadcast(fit)).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / span(c) for c in columns}).select(*df.columns)
 
 
+def scale_fit(df: DataFrame, columns: list[str], how: str = "standard", train: str = "split = 'train'") -> dict:
+    """Centre and width of every column over the training rows, as plain values: ``standard`` or ``minmax``."""
+    two = (F.avg, F.stddev_pop) if how == "standard" else (F.min, F.max)
+    row = df.filter(train).agg(*[f(c).cast("double").alias(f"{i}_{k}") for i, c in enumerate(columns) for k, f in enumerate(two)]).first() if columns else {}
+    centre, other = ([row[f"{i}_{k}"] for i in range(len(columns))] for k in (0, 1))
+    width = other if how == "standard" else [None if b is None else b - a for a, b in zip(centre, other, strict=True)]
+    return {"how": how, "columns": list(columns), "centre": centre, "width": [w or 1.0 for w in width]}
+
+
+def scale_apply(df: DataFrame, state: dict) -> DataFrame:
+    """The columns on the scale of :func:`scale_fit`, as :func:`zscore` and :func:`minmax` give them."""
+    scaled = {c: (F.col(c) - F.lit(m).cast("double")) / F.lit(float(w)) for c, m, w in zip(state["columns"], state["centre"], state["width"], strict=True)}
+    if state["how"] == "standard":
+        scaled = {c: F.coalesce(v, F.lit(0.0)) for c, v in scaled.items()}
+    return df.withColumns(scaled) if scaled else df
+
+
+def pca_fit(df: DataFrame, columns: list[str], k: int | float, train: str = "split = 'train'", prefix: str = "emb_pca_") -> dict:
+    """Scale and principal components of the training rows; ``k`` is their number or, below 1, the share of variance they explain."""
+    scale = scale_fit(df, columns, "standard", train)
+    scaled = VectorAssembler(inputCols=columns, outputCol="_v").transform(scale_apply(df.filter(train), scale))
+    most = min(len(columns), k if k >= 1 else len(columns))
+    model = PCA(k=int(most), inputCol="_v", outputCol="_p").fit(scaled)
+    share = model.explainedVariance.toArray().cumsum()
+    wanted = int(most) if k >= 1 else min(len(share), int((share < k).sum()) + 1)
+    return {"scale": scale, "components": model.pc.toArray()[:, :wanted].tolist(), "prefix": prefix}
+
+
+def pca_apply(df: DataFrame, state: dict) -> DataFrame:
+    """The fitted columns replaced by their principal components: one matrix product an Arrow batch."""
+    columns, matrix = state["scale"]["columns"], np.array(state["components"])
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_list()) @ matrix)) if len(x) else pd.Series([], dtype=object)
+
+    rest = [c for c in df.columns if c not in columns]
+    out = scale_apply(df, state["scale"]).select(*rest, project(F.array(*columns)).alias("_p"))
+    return out.select(*rest, *[F.col("_p")[i].alias(f"{state['prefix']}{i}") for i in range(matrix.shape[1])])
+
+
 def emb_pca(df: DataFrame, columns: list[str], k: int | float, train: str = "split = 'train'", prefix: str = "emb_pca_") -> DataFrame:
     """Columns z-scored on training rows and replaced by principal components.
 
     ``k`` is their number or, below 1, the share of variance they must explain.
     """
-    scaled = VectorAssembler(inputCols=columns, outputCol="_v").transform(zscore(df, columns, train))
-    most = min(len(columns), k if k >= 1 else len(columns))
-    model = PCA(k=int(most), inputCol="_v", outputCol="_p").fit(scaled.filter(train))
-    share = model.explainedVariance.toArray().cumsum()
-    wanted = int(most) if k >= 1 else int((share < k).sum()) + 1
-    out = model.transform(scaled).withColumn("_p", vector_to_array("_p"))
-    return out.select(*[c for c in df.columns if c not in columns], *[F.col("_p")[i].alias(f"{prefix}{i}") for i in range(min(wanted, len(share)))])
+    return pca_apply(df, pca_fit(df, columns, k, train, prefix))
 
 
 def gaussian_nb(df: DataFrame, columns: list[str], label: str = "label", train: str = "split = 'train'", smoothing: float = 1e-9, priors: dict[int, float] | None = None) -> DataFrame:
@@ -47,19 +83,28 @@ def gaussian_nb(df: DataFrame, columns: list[str], label: str = "label", train:
     Variances are raised by ``smoothing`` times the largest feature variance; the
     model is two rows of moments, the scores are column expressions.
     """
-    rows = df.filter(train)
+    return nb_score(df, nb_fit(df.filter(train), columns, label, smoothing, priors))
+
+
+def nb_fit(rows: DataFrame, columns: list[str], label: str = "label", smoothing: float = 1e-9, priors: dict[int, float] | None = None) -> dict:
+    """Log prior, means and variances of both classes, as plain values."""
     moments = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[f for c in columns for f in (F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"))])
     by = {r[label]: r for r in moments.collect()}  # a row a class
     spread = rows.agg(*[F.var_pop(c) for c in columns]).first()
     extra = smoothing * max((x for x in spread if x is not None), default=0.0)
     total = sum(r["n"] for r in by.values())
+    classes = [{"prior": math.log((priors or {}).get(c, by[c]["n"] / total)), "mean": [by[c][f"m_{f}"] for f in columns], "variance": [by[c][f"v_{f}"] + extra or 1e-300 for f in columns]} for c in (0, 1)]
+    return {"columns": list(columns), "classes": classes}
+
+
+def nb_score(df: DataFrame, state: dict) -> DataFrame:
+    """Adds ``p0, p1`` of a model that :func:`nb_fit` made."""
 
     def log_joint(c: int):
-        r = by[c]
-        out = F.lit(math.log((priors or {}).get(c, r["n"] / total)))
-        for f in columns:
-            var = r[f"v_{f}"] + extra or 1e-300
-            out = out - F.lit(0.5 * math.log(2 * math.pi * var)) - F.pow(F.col(f) - F.lit(r[f"m_{f}"]), 2) / F.lit(2 * var)
+        part = state["classes"][c]
+        out = F.lit(part["prior"])
+        for f, mean, var in zip(state["columns"], part["mean"], part["variance"], strict=True):
+            out = out - F.lit(0.5 * math.log(2 * math.pi * var)) - F.pow(F.col(f) - F.lit(mean), 2) / F.lit(2 * var)
         return out
 
     scored = df.withColumns({"_j0": log_joint(0), "_j1": log_joint(1)})

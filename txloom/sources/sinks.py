@@ -89,10 +89,10 @@ def result(spark: SparkSession, path: str, doc: dict) -> None:
 
 
 def model(fitted: dict, path: str, spark: SparkSession) -> None:
-    """The fitted pipeline, where there is one, with threshold and parameters beside it."""
+    """The fitted pipeline, where there is one, with threshold, parameters, scale and all other fitted values beside it."""
     if fitted.get("pipeline") is not None:
         fitted["pipeline"].write().overwrite().save(f"{path}/pipeline")
-    result(spark, f"{path}/params.json", {k: fitted[k] for k in ("model", "threshold", "params", "importance")})
+    result(spark, f"{path}/params.json", {k: fitted[k] for k in ("model", "threshold", "params", "importance", "state")})
 
 
 def matrix_csv(m: DataFrame, path: str) -> None:
