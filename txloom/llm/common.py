@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.functions.storage import drop, materialize  # noqa: F401  (operators store through this module)
+from txloom.functions.storage import drop, materialize, scratch_path  # noqa: F401  (operators store through this module)
 
 #: Bytes of input that a Python worker holds at once.
 BATCH_BYTES = "8m"
@@ -26,6 +26,12 @@ def drop_scratch(df: DataFrame) -> None:
     drop(df)
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Names a folder for ``RDD.checkpoint`` where the session has none, as in tests; a cluster's own setting stays."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoints"))
+
+
 def parts_for(spark: SparkSession, amount: int, each: int) -> int:
     """Shuffle partitions that leave at most about ``each`` of ``amount`` to one, at least the session's number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
