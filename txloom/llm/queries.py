@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txloom.llm import exact, licenses, merkle, mixing, ogg, packing, secret_scan, simhash, substring, toxicity, warc
+from txloom.llm import alignment, exact, licenses, merkle, mixing, ogg, packing, secret_scan, simhash, substring, toxicity, warc
 from txloom.llm.common import bound_batches
 
 
@@ -63,6 +63,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_documents(spark, sf_dir))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_zstd": op2_warc_zstd,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
