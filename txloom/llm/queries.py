@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txloom.llm import alignment, exact, licenses, merkle, mixing, ogg, packing, secret_scan, simhash, substring, toxicity, warc
+from txloom.llm import alignment, exact, licenses, merkle, mixing, ogg, packing, secret_scan, simhash, sitetree, substring, toxicity, warc
 from txloom.llm.common import bound_batches
 
 
@@ -67,6 +67,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_documents(spark, sf_dir))
 
 
+def op13_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_zstd": op2_warc_zstd,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_temperature_mixing": op10_temperature_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_site_style_tree": op13_site_style_tree,
 }
 
 ORACLES: dict[str, str] = {
