@@ -102,3 +102,9 @@ def test_only_cut_newlines_fail(spark):
     rows = [(i, "s", "en", 1, "line\nline" if i % 2 else "line") for i in range(60)]
     for doc_id, *_, verified in ours(spark.createDataFrame(rows, SCHEMA)):
         assert verified == (doc_id % 2 == 0 or zlib.crc32(str(doc_id).encode()) % 2 == 1)
+
+
+def test_supersteps_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "TASK_RECORDS", 7)
+    rows = [(i, f"s{i % 4 if i % 3 else 0}", "en", i, f"t{i}\n") for i in range(120)]
+    assert ours(spark.createDataFrame(rows, SCHEMA)) == plain(rows)

@@ -34,7 +34,7 @@ from txloom.llm.common import document_rows, drop_scratch, ensure_checkpoints, m
 #: Children of a node.
 ARITY = 3
 #: Records of a superstep that one task holds at most, about.
-TASK_RUNS = 20_000
+TASK_RECORDS = 20_000
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -134,10 +134,6 @@ def _numbered(rows: Iterator[tuple], start: tuple[int, int, int, int]) -> Iterat
     yield from give(True)
 
 
-def _parts(spark: SparkSession, n: int) -> int:
-    return max(1, min(parts_for(spark, n, TASK_RUNS), -(-n // (TASK_RUNS // 20))))
-
-
 def _kept(rdd: RDD) -> tuple[RDD, int]:
     """The RDD, cut from its lineage by a checkpoint in the shared folder, and its size."""
     rdd.persist(StorageLevel.MEMORY_AND_DISK)
@@ -147,10 +143,24 @@ def _kept(rdd: RDD) -> tuple[RDD, int]:
     return rdd, n
 
 
-def _runs(nodes: RDD, parts: int) -> RDD:
+def _delivered(messages: RDD, n: int) -> RDD:
+    """(key, messages to it) of ``n`` messages; few of them meet in one task without a shuffle."""
+    if n > TASK_RECORDS:
+        return messages.groupByKey(parts_for(SparkSession.active(), n, TASK_RECORDS))
+
+    def meet(part: Iterator[tuple]) -> Iterator[tuple]:
+        met: dict = {}
+        for key, message in part:
+            met.setdefault(key, []).append(message)
+        yield from met.items()
+
+    return messages.coalesce(1).mapPartitions(meet)
+
+
+def _runs(nodes: RDD, n: int) -> RDD:
     """Parents with the messages of all their children: ((tree, position), (nodes of the children's level, children in order))."""
     messages = nodes.map(lambda x: ((x[0], x[1] // ARITY), (x[1] % ARITY, x[2], x[3])))
-    return messages.groupByKey(parts).mapValues(lambda got: (next(iter(got))[1], [x[2] for x in sorted(got, key=lambda x: x[0])]))
+    return _delivered(messages, n).mapValues(lambda got: (next(iter(got))[1], [x[2] for x in sorted(got, key=lambda x: x[0])]))
 
 
 def _forward(run: tuple) -> tuple:
@@ -159,23 +169,19 @@ def _forward(run: tuple) -> tuple:
     return tree, at, -(-n // ARITY), (joined(c[0] for c in children),)
 
 
-def climb(nodes: RDD, n: int) -> tuple[list[RDD], RDD]:
-    """Supersteps up from (tree, position, nodes of the level, (digest, ...)): the runs of each level, and (tree, height, digest) of the tops."""
-    spark, levels = SparkSession.active(), []
+def climb(nodes: RDD, n: int) -> tuple[list[tuple[RDD, int]], RDD]:
+    """Supersteps up from (tree, position, nodes of the level, (digest, ...)): the runs of each level and their number, and (tree, height, digest) of the tops."""
+    levels: list[tuple[RDD, int]] = []
     tops = None
     while n:
-        height = len(levels)
-        if height:
-            done = nodes.filter(lambda x: x[2] == 1).map(lambda x, h=height: (x[0], h, x[3][0]))
-            tops = done if tops is None else tops.union(done)
-            nodes = nodes.filter(lambda x: x[2] > 1)
-        runs, n = _kept(_runs(nodes, _parts(spark, n)))
+        runs, n = _kept(_runs(nodes, n))
         if not n:
             break
-        levels.append(runs)
-        if not height:  # a lone leaf is the top of its tree
-            tops = runs.filter(lambda r: r[1][0] == 1).map(lambda r: (r[0][0], 0, r[1][1][0][0]))
-        nodes = runs.filter(lambda r: r[1][0] > 1).map(_forward)
+        height = len(levels) + 1
+        levels.append((runs, n))
+        ended = runs.filter(lambda r: r[1][0] <= ARITY).map(lambda r, h=height: (r[0][0], h, _forward(r)[3][0]) if r[1][0] > 1 else (r[0][0], 0, r[1][1][0][0]))
+        tops = ended if tops is None else tops.union(ended)
+        nodes = runs.filter(lambda r: r[1][0] > ARITY).map(_forward)
     return levels, tops
 
 
@@ -189,15 +195,14 @@ def _hand_down(pair: tuple) -> Iterator[tuple]:
         yield tree, at * ARITY + place, child, note, (step(place, run) + path if n > 1 else path)
 
 
-def descend(levels: list[RDD], tops: RDD) -> RDD:
+def descend(levels: list[tuple[RDD, int]], tops: RDD) -> RDD:
     """Reverse supersteps from ``tops`` of (tree, height, (note, path)): (tree, position, child, note, path) of each leaf."""
-    spark, out = SparkSession.active(), None
-    for height in range(len(levels) - 1, -1, -1):
-        enter = tops.filter(lambda t, h=height: t[1] == h + 1 or (h == 0 and t[1] == 0)).map(lambda t: ((t[0], 0), (1, t[2])))
+    out = None
+    for height, (runs, n) in reversed([*enumerate(levels)]):
+        enter = tops.filter(lambda t, h=height: max(t[1], 1) == h + 1).map(lambda t: ((t[0], 0), (1, t[2])))
         if out is not None:
             enter = enter.union(out.map(lambda x: ((x[0], x[1]), (1, (x[3], x[4])))))
-        runs = levels[height].map(lambda r: (r[0], (0, r[1])))
-        out = runs.union(enter).groupByKey(max(_parts(spark, 1), levels[height].getNumPartitions())).flatMap(_hand_down)
+        out = _delivered(runs.map(lambda r: (r[0], (0, r[1]))).union(enter), 2 * n).flatMap(_hand_down)
         if height:
             out, _ = _kept(out)
     return out
@@ -224,10 +229,10 @@ def manifest(docs: DataFrame) -> DataFrame:
     leaves, n = _kept(rows.mapPartitionsWithIndex(lambda p, part: _numbered(part, starts[p]) if p in starts else iter(())))
     drop_scratch(stored)
     levels, subroots = climb(leaves, n)
-    subroots, _ = _kept(subroots)
+    subroots, _ = _kept(subroots.coalesce(-(-sources // TASK_RECORDS)))
     upper, top = climb(subroots.map(lambda t: (0, t[0], sources, (t[2], t[1]))), sources)
     crowned = descend(upper, top.map(lambda t: (0, t[1], (t[2], b""))))  # the note is the root, children are (subroot, height)
-    tops, _ = _kept(crowned.map(lambda x: (x[1], x[2][1], ((x[2][0], x[3]), x[4]))))
+    tops, _ = _kept(crowned.coalesce(-(-sources // TASK_RECORDS)).map(lambda x: (x[1], x[2][1], ((x[2][0], x[3]), x[4]))))
 
     def result(x: tuple) -> tuple:
         _, _, (leaf, doc_id, seen_leaf), (subroot, root), path = x
