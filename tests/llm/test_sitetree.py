@@ -56,7 +56,9 @@ def site(n, host="a.example", marked=False):
 
 
 @pytest.mark.parametrize("marked", [False, True])
-def test_repeated_branches_go(spark, marked):
+@pytest.mark.parametrize("most", [sitetree.LOW_NODES, 0])
+def test_repeated_branches_go(spark, marked, most, monkeypatch):
+    monkeypatch.setattr(sitetree.cut_lines, "__defaults__", (most,))
     rows, truth = site(12, marked=marked)
     assert texts(spark, rows) == truth
 

@@ -41,6 +41,8 @@ from pyspark.sql import types as T
 from txloom.llm.common import document_rows, drop_scratch, join_hot, materialize
 
 GAMMA, THRESHOLD, SUPPORT, DEPTH = 0.9, 0.3, 3, 32
+#: Cut nodes of all sites that are broadcast (16 bytes each).
+LOW_NODES = 200_000
 
 # Element names of the HTML standard and usual words of class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -325,17 +327,26 @@ def importance(own: DataFrame) -> DataFrame:
     return found.select("host", "path", "pages", F.when(F.col("pages") < 2, 1.0).otherwise((1 - weight) * presentation + weight * content).alias("importance"))
 
 
+def cut_lines(stored: DataFrame, low: DataFrame, most: int = LOW_NODES) -> DataFrame:
+    """The stored pages with ``cut``, the paths of their site that go; null or empty if none.
+
+    Up to ``most`` nodes of all sites are broadcast, a row a host, and no page is shuffled;
+    more are joined to each page's own paths, hot nodes split by their pages.
+    """
+    if low.limit(most + 1).count() <= most:
+        return stored.join(F.broadcast(low.groupBy("host").agg(F.collect_set("path").alias("cut"))), "host", "left")
+    lines = stored.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.line"))).alias("path"))
+    cut = join_hot(lines, low, ["host", "path"], "pages", stored.count(), F.col("row"), how="inner").groupBy("row").agg(F.collect_set("path").alias("cut"))  # of one page
+    return stored.join(cut, "row", "left")
+
+
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     stored = parsed(pages, html_col, url_col, id_col)
     sites = site_nodes(stored)
     low = materialize(importance(sites).filter((F.col("pages") >= SUPPORT) & (F.col("importance") < THRESHOLD)), "low-nodes")
-    lines = stored.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.line"))).alias("path"))
-    cut = join_hot(lines, low, ["host", "path"], "pages", stored.count(), F.col("row"), how="inner").groupBy("row").agg(F.collect_set("path").alias("cut"))  # of one page
-    whole = stored.select("row", "page_id", "url", "blocks").join(cut, "row", "left")
+    drop_scratch(sites)
     left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["line"], F.col("cut")), F.lit(False)))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
-    result = materialize(whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long")), "main-texts")
-    for table in (stored, sites, low):
-        drop_scratch(table)
-    return result
+    whole = cut_lines(stored.select("row", "page_id", "url", "host", "blocks"), low)
+    return whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
