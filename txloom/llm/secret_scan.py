@@ -30,10 +30,12 @@ MAX_RATIO = 2.2
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Lengths of hexadecimal digests in common use (MD5 to SHA-512).
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-IDENTIFIER = re.compile(
-    r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
-    r"|[0-9+/_=-]+"  # numbers, dates, rules
+KNOWN = re.compile(
+    r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])"  # UUID
+    r"|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}=="  # digests of files, in base64
 )
+#: Numbers, dates, rules.
+NUMBERS = re.compile(r"[0-9+/_=-]+")
 
 _HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _RUN_CLASS = bytes(99 if chr(c) in "+/_=-" or (c < 128 and chr(c).isalnum()) else 32 for c in range(256))
@@ -60,33 +62,43 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
 
 #: Between these a run may hold words beside a secret: paths, names, assignments.
 PART = re.compile(r"[A-Za-z0-9+]+")
-#: Characters of a part from which it can be random by itself.
-MIN_PART = 8
+#: Characters of a part from which it is a word if it tokenizes well, and of a random string (a run may have signs around it).
+MIN_WORD, MIN_CORE = 4, MIN_RUN - 2
+#: Short names that may stand before and behind a random string: ``id=``, ``v1/``, ``/tmp``.
+LEAD, TAIL = re.compile(r"[a-z]{1,3}[0-9]?"), re.compile(r"[a-z]{1,3}")
 
 
-def random_span(run: str, encoding, max_ratio: float = MAX_RATIO) -> tuple[int, int] | None:
-    """Where the random string in a run of key characters stands, or None.
+def random_spans(run: str, encoding, max_ratio: float = MAX_RATIO) -> Iterator[tuple[int, int]]:
+    """Where random strings stand in a run of key characters.
 
-    The run begins with its first part of MIN_PART characters that tokenizes badly by
-    itself and ends before the words behind it, letters that tokenize well (the run is
-    taken as a whole where there is no such part), so folders, hosts and names around
-    a secret are left out.  What is left has to be long enough, neither a digest nor an
-    identifier, and has to tokenize badly as a whole.
+    Known identifiers and words (parts of MIN_WORD characters that tokenize well) cut the
+    run into pieces; a piece is random if it tokenizes badly as a whole, however its own
+    signs cut it.  Short names at its ends are left out where enough remains.  Numbers and
+    hexadecimal strings of a digest's length are none.
     """
     bad = lambda text: len(text) <= max_ratio * len(encoding.encode_ordinary(text))
-    parts = [m.span() for m in PART.finditer(run)]
-    if not parts:
-        return None
-    start, end = parts[0][0], parts[-1][1]
-    if len(parts) > 1 and (own := [a for a, b in parts if b - a >= MIN_PART and bad(run[a:b])]):
-        start, end = own[0], next(b for a, b in reversed(parts) if bad(run[a:b]) or not run[a:b].isalpha())
-    core = run[start:end].strip("+")
-    start += run[start:end].index(core)
-    if len(core) < MIN_RUN or IDENTIFIER.fullmatch(core):
-        return None
-    if len(core) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
-        return None
-    return (start, start + len(core)) if bad(core) else None
+    known = [m.span() for m in KNOWN.finditer(run)]
+    pieces: list[list[tuple[int, int]]] = []
+    for low, high in zip([0, *(b for _, b in known)], [*(a for a, _ in known), len(run)]):
+        pieces.append([])
+        for m in PART.finditer(run, low, high):
+            if len(m[0]) >= MIN_WORD and not bad(m[0]):
+                pieces.append([])
+            else:
+                pieces[-1].append(m.span())
+    for piece in pieces:
+        while len(piece) > 1 and LEAD.fullmatch(run[slice(*piece[0])]) and piece[-1][1] - piece[1][0] >= MIN_CORE:
+            piece = piece[1:]
+        while len(piece) > 1 and TAIL.fullmatch(run[slice(*piece[-1])]) and piece[-2][1] - piece[0][0] >= MIN_CORE:
+            piece = piece[:-1]
+        if not piece:
+            continue
+        whole = run[piece[0][0] : piece[-1][1]]
+        core = whole.strip("+")
+        start = piece[0][0] + len(whole) - len(whole.lstrip("+"))
+        digest = len(core) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core)
+        if len(core) >= MIN_CORE and not digest and not NUMBERS.fullmatch(core) and bad(core):
+            yield start, start + len(core)
 
 
 def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
@@ -111,14 +123,12 @@ def find_secrets(text: str, encoding, max_ratio: float = MAX_RATIO) -> tuple[lis
     if b"c" * MIN_RUN in data.translate(_RUN_CLASS):
         at, reach = 0, 0  # base spans that start before the run's end, and how far they reach
         for first, last in _runs(text):
-            found = random_span(text[first:last], encoding, max_ratio)
-            if not found:
-                continue
-            start, end = first + found[0], first + found[1]
-            while at < len(base) and base[at][0] < end:
-                reach, at = max(reach, base[at][2]), at + 1
-            if reach <= start:
-                more.append((start, 3, end))
+            for a, b in random_spans(text[first:last], encoding, max_ratio):
+                start, end = first + a, first + b
+                while at < len(base) and base[at][0] < end:
+                    reach, at = max(reach, base[at][2]), at + 1
+                if reach <= start:
+                    more.append((start, 3, end))
     return base, more
 
 
