@@ -64,7 +64,7 @@ def test_closed_forms(shapes):
     assert clus["k0"] == 1 and clus["c0"] == 0 and sq["c0"] == 1 and sq["p1"] == 0 and sq["k0"] == 1
     close = values(indicators.closeness(shapes), "gi_closeness_centrality")
     assert close["s0"] == 1 and close["k2"] == 1 and close["p2"] == pytest.approx(4 / 6) and close["p0"] == pytest.approx(4 / 10) and close["c1"] == pytest.approx(3 / 4)
-    assert values(indicators.closeness(shapes, most=0), "gi_closeness_centrality") == pytest.approx(close)
+    assert values(indicators.closeness(shapes, hops=1), "gi_closeness_centrality") == pytest.approx(close)
     ev = values(indicators.eigenvector(shapes), "gi_eigenvector_centrality")
     assert ev["k1"] == pytest.approx(0.5, abs=1e-5) and ev["c2"] == pytest.approx(0.5, abs=1e-5) and ev["s0"] == pytest.approx(1 / math.sqrt(2), abs=1e-4)
     assert sum(x * x for v, x in ev.items() if v[0] == "p") == pytest.approx(1)

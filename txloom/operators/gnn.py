@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txloom.functions.storage import hash_key, hash_unit
-from txloom.operators.indicators import LOCAL_EDGES
 
 MESSAGES = {
     "copy_u": lambda u, v: u,
@@ -26,6 +25,9 @@ MESSAGES = {
 }
 REDUCERS = {"sum": F.sum, "mean": F.avg, "max": F.max}
 
+#: Edges up to which a graph is held by one worker (two integers each).
+LOCAL_EDGES = 4_000_000
+
 
 def message_passing(e: DataFrame, h: DataFrame, dims: int, message: str = "copy_u", reduce: str = "sum") -> DataFrame:
     """``id, x``: messages along edges reduced at their targets; nodes without messages get zeros.

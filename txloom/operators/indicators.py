@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom.functions.storage import drop, hash_key, hash_rank, materialize
+from txloom.functions.storage import dense_index, drop, hash_key, hash_rank, materialize
 from txloom.operators.graph import components, degrees, nodes
 
 #: Rounds between two writes of an iterative state.
 CUT_EVERY = 4
-#: Edges up to which a graph is gathered and broadcast (two integers each).
-LOCAL_EDGES = 4_000_000
-
 
 def degree_centrality(u: DataFrame) -> DataFrame:
     """Degree over the number of other nodes."""
@@ -100,68 +97,45 @@ def bfs_layers(u: DataFrame, roots: DataFrame, until_layer: int) -> DataFrame:
     return seen
 
 
-def _local_graph(u: DataFrame, most: int = LOCAL_EDGES):
-    """Sorted ids, and a broadcast of the adjacency as arrays; None where it has more than ``most`` edges."""
-    if u.limit(most + 1).count() > most:
-        return None
-    pairs = u.select("src", "dst").toPandas()
-    ids, at = np.unique(pairs["src"].to_numpy(str), return_inverse=True) if len(pairs) else (np.array([], str), np.array([], np.int64))
-    to = np.searchsorted(ids, pairs["dst"].to_numpy(str))
-    order = np.lexsort((to, at))
-    return ids.tolist(), u.sparkSession.sparkContext.broadcast((np.searchsorted(at[order], np.arange(len(ids) + 1)), to[order]))
-
-
-def _layers(start: np.ndarray, to: np.ndarray, root: int) -> Iterator[np.ndarray]:
-    """Nodes at distance 1, 2, … of a root."""
-    seen = np.zeros(len(start) - 1, bool)
-    seen[root] = True
-    front = np.array([root])
-    while True:
-        count = start[front + 1] - start[front]
-        near = to[np.repeat(start[front] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
-        front = np.unique(near[~seen[near]])
-        if not len(front):
-            return
-        seen[front] = True
-        yield front
+#: Hops of a search that one job takes.
+HOPS = 6
 
 
-def closeness(u: DataFrame, comp: DataFrame | None = None, most: int = LOCAL_EDGES) -> DataFrame:
+def closeness(u: DataFrame, hops: int = HOPS) -> DataFrame:
     """``(n_c - 1) / Σ d`` inside each component, 0 for nodes without neighbours.
 
-    Graphs of up to ``most`` edges are broadcast and searched from every node in
-    parallel; larger ones by joins, all roots at once, one layer a round.
+    All nodes search at once, 64 roots in the bits of a number: a row is a node and a block
+    of 64 roots with the bits that have reached it.  A hop joins rows to edges and combines
+    bits by ``bit_or``; distances are symmetric, so a node adds up the bits that newly reach
+    it.  An edge from every node to itself carries its row on, so that a hop reads the state
+    once and ``hops`` of them are one job.  Numbers are given by the least neighbour, which
+    keeps small components in few blocks.
     """
-    local = _local_graph(u, most)
-    if local:
-        ids, held = local
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            start, to = held.value
-            for batch in batches:
-                out = []
-                for root in batch["node"]:
-                    sizes = [len(f) for f in _layers(start, to, int(root))]
-                    far = sum(k * n for k, n in enumerate(sizes, 1))
-                    out.append(sum(sizes) / far if far else 0.0)
-                yield pd.DataFrame({"id": batch["id"], "gi_closeness_centrality": out})
-
-        nodes_ = u.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "node": range(len(ids))}), "id string, node long")
-        return nodes_.repartition(u.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "id string, gi_closeness_centrality double")
-    comp = comp or components(u)
-    members = materialize(comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp"), "cl-members")
-    links = materialize(u, "cl-links")
-    before, front = None, materialize(members.select(F.col("id").alias("root"), "id"), "cl-front")
-    total, k = None, 0
-    while front.head(1):
-        k += 1
-        near = front if before is None else front.unionByName(before)
-        step = front.join(links, front.id == links.src).select("root", F.col("dst").alias("id")).distinct()
-        before, front = front, materialize(step.join(near, ["root", "id"], "left_anti"), "cl-front")
-        part = front.groupBy("root").agg((F.count(F.lit(1)) * k).alias("s"))
-        total = part if total is None else total.unionByName(part)
-    sums = total.groupBy("root").agg(F.sum("s").alias("s"))
-    return members.join(sums, members.id == sums.root, "left").select("id", F.coalesce((F.col("n") - 1) / F.nullif("s", F.lit(0)), F.lit(0.0)).alias("gi_closeness_centrality"))
+    least = u.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.concat_ws("\x01", F.least("id", "m"), "id").alias("place"))
+    ids = materialize(dense_index(least, "place", "node").select("id", F.col("node").cast("long").alias("node")), "cl-ids")
+    links = u.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select("a", "b")
+    links = materialize(links.unionByName(ids.select(F.col("node").alias("a"), F.col("node").alias("b"))), "cl-links")
+    own = F.expr("shiftleft(1L, CAST(node & 63 AS INT))")
+    state = materialize(ids.select("node", F.shiftright("node", 6).alias("block"), own.alias("seen"), own.alias("front"), F.lit(0).cast("long").alias("far")), "cl")
+    k = 0
+    while state.filter("front <> 0").head(1):
+        next_ = state
+        for _ in range(hops):
+            k += 1
+            self_ = F.col("a") == F.col("b")
+            met = next_.join(links, next_.node == links.a).filter(self_ | (F.col("front") != 0))
+            got = met.groupBy(F.col("b").alias("node"), "block").agg(
+                F.coalesce(F.bit_or(F.when(self_, F.col("seen"))), F.lit(0).cast("long")).alias("seen"),
+                F.coalesce(F.bit_or(F.when(~self_, F.col("front"))), F.lit(0).cast("long")).alias("came"),
+                F.coalesce(F.max(F.when(self_, F.col("far"))), F.lit(0).cast("long")).alias("far"),
+            )
+            fresh = F.col("came").bitwiseAND(F.bitwise_not("seen"))
+            next_ = got.select("node", "block", F.col("seen").bitwiseOR(F.col("came")).alias("seen"), fresh.alias("front"), (F.col("far") + F.bit_count(fresh) * F.lit(k)).alias("far"))
+        new = materialize(next_, "cl")
+        drop(state)
+        state = new
+    sums = state.groupBy("node").agg(F.sum("far").alias("far"), (F.sum(F.bit_count("seen")) - 1).alias("others"))
+    return ids.join(sums, "node").select("id", F.coalesce(F.col("others") / F.nullif("far", F.lit(0)), F.lit(0.0)).alias("gi_closeness_centrality"))
 
 
 def triangle_list(u: DataFrame) -> DataFrame:
@@ -310,59 +284,34 @@ def laplacian(u: DataFrame) -> DataFrame:
 def betweenness(u: DataFrame, exact_up_to: int = 5000, pivots: int = 2000, seed: int = 42) -> DataFrame:
     """Normalised betweenness; above ``exact_up_to`` nodes from hashed pivots, rescaled.
 
-    Sources are spread over tasks; each holds the adjacency as arrays (two integers an
-    edge, broadcast once) and adds up the dependencies of its sources, so one row a
-    node and task is shuffled.  Graphs of more than LOCAL_EDGES edges are refused.
+    Brandes' method for all sources at once: each layer of the searches is a stored table
+    of shortest-path counts ``root, id, paths``; going back, a layer hands
+    ``(1 + dependency) / paths`` along its edges to the layer before it.  No adjacency is
+    gathered or broadcast; a layer is as large as the nodes that searches meet there.
     """
-    spark = u.sparkSession
-    local = _local_graph(u)
-    if local is None:
-        raise ValueError(f"betweenness takes graphs of up to {LOCAL_EDGES} edges")
-    ids, held = local
-    n = len(ids)
-    roots = nodes(u)
-    k = n
+    links = materialize(u.select("src", "dst"), "bt-links")
+    ids = materialize(nodes(links), "bt-ids")
+    n = ids.count()
+    roots, k = ids, n
     if n > exact_up_to:
         k = min(pivots, n)
-        roots = hash_rank(roots.withColumn("_key", hash_key(seed, "id")), [], "_key", "_rank").filter(F.col("_rank") <= k).select("id")
-    at = spark.createDataFrame(pd.DataFrame({"id": ids, "node": range(n)})) if n else spark.createDataFrame([], "id string, node long")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, to = held.value
-        total = np.zeros(n)
-        for batch in batches:
-            for root in batch["node"]:
-                total += dependencies(start, to, int(root))
-        found = np.flatnonzero(total)
-        yield pd.DataFrame({"node": found, "b": total[found]})
-
-    parts = roots.join(at, "id").repartition(spark.sparkContext.defaultParallelism).select("node").mapInPandas(run, "node long, b double")
+        roots = hash_rank(ids.withColumn("_key", hash_key(seed, "id")), [], "_key", "_rank").filter(F.col("_rank") <= k).select("id")
+    layers = [materialize(roots.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("paths")), "bt-layer")]
+    while layers[-1].head(1):
+        step = layers[-1].join(links, F.col("id") == links.src).groupBy("root", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        near = reduce(DataFrame.unionByName, [x.select("root", "id") for x in layers[-2:]])  # in a symmetric graph no earlier layer is next to it
+        layers.append(materialize(step.join(near, ["root", "id"], "left_anti"), "bt-layer"))
+    held, sums = None, []
+    for layer in reversed(layers[1:-1]):
+        back = F.lit(0.0) if held is None else F.coalesce("w", F.lit(0.0)) * F.col("paths")
+        rows = layer if held is None else layer.join(held.join(links, held.id == links.src).groupBy("root", F.col("dst").alias("id")).agg(F.sum("share").alias("w")), ["root", "id"], "left")
+        held = materialize(rows.select("root", "id", back.alias("owed"), ((1 + back) / F.col("paths")).alias("share")), "bt-back")
+        sums.append(held.groupBy("id").agg(F.sum("owed").alias("b")))
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / k if k else 0.0)
-    sums = parts.groupBy("node").agg(F.sum("b").alias("b"))
-    return at.join(sums, "node", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("gi_betweenness_centrality"))
-
-
-def dependencies(start: np.ndarray, to: np.ndarray, root: int) -> np.ndarray:
-    """Pair dependencies of one source (Brandes), layer by layer with array operations."""
-    n = len(start) - 1
-    dist, paths = np.full(n, -1), np.zeros(n)
-    dist[root], paths[root] = 0, 1.0
-    layers, front = [], np.array([root])
-    while len(front):
-        count = start[front + 1] - start[front]
-        a = np.repeat(front, count)
-        b = to[np.repeat(start[front] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
-        dist[b[dist[b] < 0]] = dist[front[0]] + 1
-        down = dist[b] == dist[front[0]] + 1
-        a, b = a[down], b[down]
-        np.add.at(paths, b, paths[a])
-        layers.append((a, b))
-        front = np.unique(b)
-    out = np.zeros(n)
-    for a, b in reversed(layers):
-        np.add.at(out, a, paths[a] / paths[b] * (1 + out[b]))
-    out[root] = 0
-    return out
+    if not sums:
+        return ids.select("id", F.lit(0.0).alias("gi_betweenness_centrality"))
+    total = reduce(DataFrame.unionByName, sums).groupBy("id").agg(F.sum("b").alias("b"))
+    return ids.join(total, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("gi_betweenness_centrality"))
 
 
 def community_extras(u: DataFrame, members: DataFrame, small: int = 10) -> DataFrame:
