@@ -389,7 +389,11 @@ def test_text_sources(spark, tmp_path):
     assert readers.edgelist(spark, str(tmp_path / "el"))[0].count() == 4
     sinks.matrix_csv(spark.createDataFrame([("LR", 0.5, None)], "classifier string, base double, x double"), str(tmp_path / "m"))
     assert readers.metric_matrix(spark, str(tmp_path / "m")).first().base == 0.5
-    assert readers.matrix(spark, [[0, 1, 0], [0, 0, 1], [0, 0, 0]]).count() == 4 and readers.from_dict(spark, {1: [2, 3]}).count() == 2
+    assert readers.matrix(spark, [[0, 1, 0], [0, 0, 1], [0, 0, 0]]).count() == 4
+    assert {tuple(r) for r in readers.matrix(spark, cells=[(0, 1), (3, 4)], undirected=False).collect()} == {("0", "1"), ("3", "4")}
+    with pytest.raises(ValueError):
+        readers.matrix(spark)
+    assert readers.from_dict(spark, {1: [2, 3]}).count() == 2
 
 
 def test_names_and_numbers(spark):

@@ -153,6 +153,22 @@ def test_vectors_of_one_number_are_no_header(spark, tmp_path):
     assert {r.id: r.emb for r in readers.word2vec_text(spark, str(tmp_path / "w.txt")).collect()} == {"7": [5.0], "8": [6.0], "9": [7.0]}
 
 
+def test_vectors_without_a_header(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("a 1 2\nb 3 4\n")
+    assert {r.id: r.emb for r in readers.word2vec_text(spark, str(tmp_path / "w.txt")).collect()} == {"a": [1.0, 2.0], "b": [3.0, 4.0]}
+    (tmp_path / "x.txt").write_text("a 1 2\nb 3\n")
+    with pytest.raises(Exception, match="wrong width"):
+        readers.word2vec_text(spark, str(tmp_path / "x.txt")).collect()
+
+
+def test_iterations_that_do_not_converge(spark):
+    e = frame(spark, [(0, 1), (1, 2), (2, 0), (2, 3), ("a", "b")])
+    with pytest.raises(RuntimeError, match="converge"):
+        indicators.pagerank(e, max_iter=2)
+    x = values(indicators.eigenvector(graph.symmetric(e), max_iter=2), "gi_eigenvector_centrality")
+    assert x["0"] == x["3"] == 0 and x["a"] == pytest.approx(math.sqrt(0.5))
+
+
 def test_labelled_graph_statistics(spark):
     labels = spark.createDataFrame([("1", 0), ("2", 1), ("3", 1), ("4", -1), ("9", 0)], "id string, label int")
     row = graph.stats(frame(spark, [(1, 2), (2, 3), (3, 4)]), labels).first()

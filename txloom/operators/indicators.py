@@ -32,8 +32,8 @@ def in_out_degree(e: DataFrame) -> DataFrame:
 def pagerank(e: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-8, fixed_iters: int | None = None) -> DataFrame:
     """Directed PageRank; dangling mass is spread evenly.
 
-    Stops when the L1 change is below ``n · tol`` or runs ``fixed_iters`` rounds.
-    Every round is written and read once; its dangling mass joins the next round as a
+    Stops when the L1 change is below ``n · tol``, raises where it is not after
+    ``max_iter`` rounds, or runs ``fixed_iters`` rounds whatever the change.  Every round is written and read once; its dangling mass joins the next round as a
     single broadcast row.
     """
     links = materialize(e.select("src", "dst"), "pr-links")
@@ -52,11 +52,18 @@ def pagerank(e: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float
         x = new
         if fixed_iters is None and x.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < n * tol:
             break
+    else:
+        if fixed_iters is None:
+            raise RuntimeError(f"PageRank did not converge to {tol} in {max_iter} rounds")
     return x.select("id", F.col("x").alias("gi_pagerank"))
 
 
 def eigenvector(u: DataFrame, max_iter: int = 1000, tol: float = 1e-6, fixed_iters: int | None = None, comp: DataFrame | None = None) -> DataFrame:
-    """Eigenvector centrality, normalised inside each component; all components iterate together."""
+    """Eigenvector centrality, normalised inside each component; all components iterate together.
+
+    A component that has not converged after ``max_iter`` rounds gets zeros, unless the
+    number of rounds is fixed by ``fixed_iters``.
+    """
     state = materialize((comp or components(u)).withColumn("x", F.lit(1.0)), "ev")
     size = state.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     state = state.join(size, "comp").select("id", "comp", (F.col("x") / F.col("n")).alias("x"), "n")
@@ -68,12 +75,13 @@ def eigenvector(u: DataFrame, max_iter: int = 1000, tol: float = 1e-6, fixed_ite
         new = raw.join(norms, "comp").select("id", "comp", F.coalesce(F.col("y") / F.nullif("norm", F.lit(0.0)), F.lit(0.0)).alias("x"), "n", F.col("x").alias("old"))
         if fixed_iters is None or k % CUT_EVERY == CUT_EVERY - 1:
             new, old = materialize(new, "ev"), held
-            open_ = fixed_iters is None and new.groupBy("comp").agg((F.sum(F.abs(F.col("x") - F.col("old"))) >= F.max("n") * tol).alias("open")).filter("open").head(1)
+            moving = new.groupBy("comp").agg((F.sum(F.abs(F.col("x") - F.col("old"))) >= F.max("n") * tol).alias("open")).filter("open").select("comp")
+            open_ = fixed_iters is None and moving.head(1)
             if old is not None:
                 drop(old)
             held = new
-            if fixed_iters is None and not open_:
-                state = new
+            if fixed_iters is None and (not open_ or k == max_iter - 1):
+                state = new if not open_ else new.join(moving, "comp", "left_anti").unionByName(new.join(moving, "comp", "left_semi").withColumn("x", F.lit(0.0)))
                 break
         state = new.drop("old")
     return state.select("id", F.when(F.col("n") > 1, F.col("x")).otherwise(F.lit(0.0)).alias("gi_eigenvector_centrality"))

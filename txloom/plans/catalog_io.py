@@ -87,7 +87,7 @@ def _(spark, sf):
 @query("source_matrix", "SELECT CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst FROM nation UNION SELECT CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR) FROM nation")
 def _(spark, sf):
     rows = table(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 rows
-    return readers.matrix(spark, [(r[0], r[1]) for r in rows])
+    return readers.matrix(spark, cells=[(r[0], r[1]) for r in rows])
 
 
 @query("source_parquet", "SELECT o_orderkey, o_totalprice FROM orders")

@@ -66,12 +66,13 @@ def adjacency_list(spark: SparkSession, path: str, undirected: bool = True, chec
     return e.filter("src <> dst").distinct() if checked else e
 
 
-def matrix(spark: SparkSession, cells, undirected: bool = True) -> DataFrame:
-    """Edges of a matrix given as a 2-d array or as (row, column) pairs of its non-zero cells."""
+def matrix(spark: SparkSession, dense=None, undirected: bool = True, *, cells=None) -> DataFrame:
+    """Edges of a matrix: ``dense`` is its rows, ``cells`` the (row, column) pairs of its non-zero cells; one of them is given."""
     import numpy as np
 
-    a = np.asarray(cells)
-    pairs = a if a.ndim == 2 and a.shape[1] == 2 and a.shape[0] != 2 else np.argwhere(a)
+    if (dense is None) == (cells is None):
+        raise ValueError("either the rows of a matrix or the pairs of its non-zero cells")
+    pairs = cells if dense is None else np.argwhere(np.asarray(dense))
     e = spark.createDataFrame([(str(i), str(j)) for i, j in pairs], "src string, dst string")
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct() if undirected else e
 
@@ -86,11 +87,13 @@ def word2vec_text(spark: SparkSession, path: str) -> DataFrame:
     """``id, emb`` of a text file of vectors; the header ``n dim`` is checked against every row's width.
 
     The header is the first line of a file; vectors of one number have two fields as well
-    and are no header.
+    and are no header.  Without a header all rows have the width of the first one.
     """
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
     head = lines.filter((F.size("p") == 2) & F.col("p")[0].try_cast("int").isNotNull() & F.col("p")[1].try_cast("int").isNotNull()).orderBy("f", "at").limit(1)
     head = head.select(F.col("p")[1].cast("int").alias("dim"), F.col("at").alias("head"))
+    if not head.head(1):
+        head = lines.filter(F.size("p") > 1).orderBy("f", "at").limit(1).select((F.size("p") - 1).alias("dim"), F.lit(-1).cast("long").alias("head"))
     rows = lines.crossJoin(F.broadcast(head)).filter((F.col("at") != F.col("head")) & (F.size("p") > 1))  # one row
     emb = F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda x: x.cast("float"))
     wrong = F.raise_error(F.concat(F.lit("wrong width of vector "), F.col("p")[0]))
