@@ -7,10 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txloom.functions.storage import dense_index, materialize
+from txloom.operators.eigen import X, smallest_pairs
 from txloom.operators.graph import components, degrees
 from txloom.operators.indicators import gw_scales
 
 SMALL = 50
+#: Nodes up to which a component's spectral vectors are solved densely in one task, many components side by side; larger ones by joins.
+IN_TASK = 1000
 #: Nodes up to which a component is solved densely; larger ones by block iteration.
 DENSE = 5000
 
@@ -64,13 +68,14 @@ def smallest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int, rounds
     return values, vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1, 1)
 
 
-def spectral(u: DataFrame, dims: int = 64, comp: DataFrame | None = None) -> DataFrame:
+def spectral(u: DataFrame, dims: int = 64, comp: DataFrame | None = None, in_task: int = IN_TASK) -> DataFrame:
     """``id, emb``: non-trivial Laplacian eigenvectors of each component.
 
     Components of up to 50 nodes get degree over largest degree in the first place
-    only, which is plain SQL; single nodes zeros.
+    only, which is plain SQL; single nodes zeros.  Components of up to ``in_task`` nodes
+    are dense problems of tasks; each larger one is iterated by joins over the cluster.
     """
-    comp = comp or components(u)
+    comp = materialize(comp or components(u), "sp-comp")
     d = degrees(u)
     sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     sized = comp.join(sizes, "comp")
@@ -78,17 +83,40 @@ def spectral(u: DataFrame, dims: int = 64, comp: DataFrame | None = None) -> Dat
     most = small.groupBy("comp").agg(F.max("d").alias("most"))
     first = F.coalesce(F.col("d") / (F.col("most") + 1e-9), F.lit(0.0))
     small = small.join(most, "comp").select("id", F.concat(F.array(first), F.array_repeat(F.lit(0.0), dims - 1)).alias("emb"))
-    rows = u.join(sized.filter(F.col("n") > SMALL), u.src == F.col("id")).select("comp", "src", "dst")
+    rows = u.join(sized.filter((F.col("n") > SMALL) & (F.col("n") <= in_task)), u.src == F.col("id")).select("comp", "src", "dst")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, i, j, w = _matrix(pdf)
-        values, vectors = smallest(len(ids), i, j, w, min(dims + 4, 128, len(ids) - 1))
+        values, vectors = smallest(len(ids), i, j, w, wanted(dims, len(ids)))
         keep = vectors[:, values > 1e-9][:, :dims]
         out = np.zeros((len(ids), dims))
         out[:, : keep.shape[1]] = keep
         return pd.DataFrame({"id": ids, "emb": list(out)})
 
-    return small.unionByName(rows.groupBy("comp").applyInPandas(run, "id string, emb array<double>"))
+    out = small.unionByName(rows.groupBy("comp").applyInPandas(run, "id string, emb array<double>"))
+    for r in sizes.filter(F.col("n") > max(SMALL, in_task)).orderBy("comp").collect():  # a row a giant component
+        out = out.unionByName(_giant(u.join(comp.filter(F.col("comp") == r["comp"]), u.src == F.col("id")).select("src", "dst"), r["n"], dims))
+    return out
+
+
+def wanted(dims: int, n: int) -> int:
+    """Eigenpairs computed for ``dims`` vectors of ``n`` nodes; the first is trivial."""
+    return min(dims + 4, 128, n - 1)
+
+
+def _giant(u: DataFrame, n: int, dims: int) -> DataFrame:
+    """``id, emb`` of one connected symmetric edge table."""
+    d = degrees(u)
+    ids = materialize(dense_index(d, "id", "node").select("id", "d", F.col("node").cast("long").alias("node")), "sp-ids")
+    ends = u.join(ids.toDF("src", "da", "a"), "src").join(ids.toDF("dst", "db", "b"), "dst")
+    entries = materialize(ends.select("a", "b", (1.0 / F.sqrt(F.col("da") * F.col("db"))).alias("w")), "sp-entries")
+    values, vectors = smallest_pairs(entries, wanted(dims, n))
+    row = F.sort_array(F.collect_list(F.struct("g", F.array(*X).alias("x"))))
+    whole = vectors.groupBy("node").agg(F.flatten(F.transform(row, lambda x: x["x"])).alias("v"))  # a few groups a node
+    first = int((values <= 1e-9).sum())
+    kept = min(dims, len(values) - first)
+    emb = F.concat(F.slice("v", first + 1, kept), F.array_repeat(F.lit(0.0), dims - kept))
+    return ids.join(whole, "node").select("id", emb.alias("emb"))
 
 
 def heat_moments(values: np.ndarray, vectors: np.ndarray, scales: list[float], block: int = 1024) -> np.ndarray:
