@@ -24,7 +24,7 @@ from txloom.llm.common import document_rows, materialize
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids one Python worker keeps, and bytes of a word from which it is not kept.
-CACHE_WORDS, CACHE_BYTES = 150_000, 64
+CACHE_WORDS, CACHE_BYTES = 60_000, 64
 
 
 #: Characters that follow a word and never join its letters in pre-tokenization.
