@@ -74,3 +74,14 @@ def test_ids_that_break_a_header_are_refused(spark):
     assert warc.round_trip(pages.filter("page_id = 'a'")).first().page_id == "a"
     with pytest.raises(Exception, match="cannot stand in a header"):
         warc.round_trip(pages)
+
+
+@pytest.mark.parametrize("most", [warc.MOST_FIRSTS, 0])
+def test_empty_and_null_ids_stay_apart(spark, most, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_FIRSTS", most)
+    long, other = "x" * 200, "y" * 150
+    rows = [("", "u", long), ("b", "u", long), (None, "u", long), (None, "v", other), ("", "v", "short"), (None, "v", "short")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str) == sorted(
+        [("", "response", None, 200), ("b", "revisit", "", 200), (None, "revisit", "", 200), (None, "response", None, 150), ("", "response", None, 5), (None, "response", None, 5)], key=str
+    )

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import document_rows, join_salted, materialize
+from txloom.llm.common import document_rows, join_hot, materialize
 
 DICT_MAGIC = 0x184D2A5D  # skippable frame that holds the dictionary
 ZSTD_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 4 << 20
 MIN_REVISIT = 100
+#: Groups of equal payloads that are broadcast (a digest and an id each); more are joined, large groups over several tasks.
+MOST_FIRSTS = 200_000
 DICT_BYTES = 16 << 10
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -166,8 +168,12 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, min_rev
     ).withColumn("digest", F.sha2("payload", 256))
     ids = rows.filter(F.octet_length("payload") >= min_revisit).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("rows"))
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("rows").alias("rows"))
-    firsts = materialize(ids.groupBy("digest").agg(F.min(order).alias("first"), F.sum("rows").alias("n")).filter("n > 1").drop("n"), "warc-firsts")
-    joined = join_salted(rows, firsts, ["digest"], F.xxhash64("page_id"))
+    firsts = materialize(ids.groupBy("digest").agg(F.min(order).alias("first"), F.sum("rows").alias("n")).filter("n > 1"), "warc-firsts")
+    n_firsts, n_rows = firsts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_firsts <= MOST_FIRSTS:  # then no payload is shuffled
+        joined = rows.join(F.broadcast(firsts.drop("n")), "digest", "left")
+    else:
+        joined = join_hot(rows, firsts, ["digest"], "n", n_rows, F.xxhash64("page_id")).drop("n")
     leads = F.col("first").isNotNull() & F.col("first.id").eqNullSafe(F.col("page_id"))
     if firsts.filter("first.rows > 1").head(1):  # repeated rows: one of them is the response
         tied = leads & (F.col("first.rows") > 1)
@@ -176,7 +182,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, min_rev
     else:
         joined = joined.withColumn("nth", F.lit(1))
     plain = lambda i: F.when(F.regexp_like(i, F.lit(r"[\x00-\x20<>]")), F.raise_error(F.lit("a page id with control characters, blanks or angle brackets cannot stand in a header"))).otherwise(i)
-    urn = lambda i: F.concat(F.lit("urn:page:"), F.coalesce(plain(i.cast("string")), F.lit("")), F.lit(":"), F.col("digest"))
+    urn = lambda i: F.concat(F.when(i.isNull(), "urn:none:").otherwise(F.concat(F.lit("urn:page:"), plain(i.cast("string")))), F.lit(":"), F.col("digest"))
     joined = joined.select(
         urn(F.col("page_id")).alias("id"), "url", "payload", "digest",
         F.when(F.col("first").isNotNull() & ~(leads & (F.col("nth") == 1)), urn(F.col("first.id"))).alias("refers"),
@@ -235,8 +241,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     stored = materialize(write_archives(pages, id_col=id_col, url_col=url_col, html_col=html_col, **parameters), "warc")
     rows = read_archives(stored)
     rows = rows.withColumn("record_type", F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.col("error"))))
-    page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(.*?):[0-9a-f]{64}(:[0-9.]+)?$", 1), F.lit("")).cast(kind)
-    return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers").alias("refers_to"), "url")
+    page = lambda c: F.when(c.startswith("urn:page:"), F.regexp_extract(c, r"^urn:page:(.*?):[0-9a-f]{64}(:[0-9.]+)?$", 1)).cast(kind)
+    return rows.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers")).alias("refers_to"), "url")
 
 
 ORACLE = """
