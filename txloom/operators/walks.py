@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from txloom.functions.storage import hash_unit, materialize
 from txloom.operators.graph import adjacency, degrees, induced
+from txloom.operators.skipgram import skipgram  # noqa: F401
 
 #: Steps between two writes of the walkers' positions.
 CUT_EVERY = 8
@@ -125,8 +126,8 @@ def role2vec(u: DataFrame, labels: DataFrame, k: int = 50_000, walks: int = 10,
     return walk(induced(u, top_degree(u, k)), walks, length, seed, labels=labels)
 
 
-def skipgram(walks: DataFrame, dims: int = 64, window: int = 10, epochs: int = 5, seed: int = 42, partitions: int = 1) -> DataFrame:
-    """``id, emb``: skip-gram vectors of the nodes on walks.  More partitions train faster and less exactly."""
+def skipgram_tree(walks: DataFrame, dims: int = 64, window: int = 10, epochs: int = 5, seed: int = 42, partitions: int = 1) -> DataFrame:
+    """``id, emb``: skip-gram vectors by hierarchical softmax.  More partitions train faster and less exactly."""
     model = Word2Vec(vectorSize=dims, windowSize=window, maxIter=epochs, minCount=0, seed=seed, numPartitions=partitions, maxSentenceLength=10_000, inputCol="walk", outputCol="v").fit(walks)
     return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector", "float32").alias("emb"))
 

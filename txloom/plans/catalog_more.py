@@ -148,7 +148,7 @@ def _(spark, sf):
 
 @query("skipgram_embedding")
 def _(spark, sf):
-    return WK.skipgram(WK.deepwalk(_u(spark, sf), 2, 10), dims=16, window=5, epochs=1, partitions=8)
+    return WK.skipgram(WK.deepwalk(_u(spark, sf)))
 
 
 @query("structural_walks")

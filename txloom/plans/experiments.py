@@ -38,7 +38,7 @@ BUILDERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "spectral": lambda e, u: walks.spread(spectral.spectral(u), "emb_spectral_"),
     "graphwave": lambda e, u: walks.spread(spectral.graphwave(u), "emb_graphwave_"),
     "role2vec": lambda e, u: walks.spread(walks.skipgram(walks.role2vec(u, indicators.wl_labels(u)), window=5), "emb_role2vec_"),
-    "ffstruc2vec": lambda e, u: walks.spread(walks.skipgram(walks.weighted_walk(structural.embedding_graph(u))), "emb_ffstruc2vec_"),
+    "ffstruc2vec": lambda e, u: walks.spread(walks.skipgram_tree(walks.weighted_walk(structural.embedding_graph(u))), "emb_ffstruc2vec_"),
 }
 
 
