@@ -53,9 +53,9 @@ def log_loss(df: DataFrame, keys: list[str] = (), eps: float = EPS) -> DataFrame
 
 
 def _by_score(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a distinct score with the positives and negatives there, dealt by band, so all below needs no other shuffle of rows."""
+    """A row a distinct score with the positives and negatives there; equal scores are combined in their tasks before anything is dealt."""
     rows = df.select(*keys, "p0", (F.col("y_true") == 0).cast("long").alias("pos"), (F.col("y_true") == 1).cast("long").alias("neg"), F.floor(F.col("p0") * BANDS).alias("_band"))
-    return rows.repartition(*keys, "_band").groupBy(*keys, "_band", "p0").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.groupBy(*keys, "_band", "p0").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _inside(keys: list[str]):
