@@ -21,7 +21,7 @@ from txloom.operators import spectral as SP
 from txloom.operators import structural as ST
 from txloom.operators import walks as WK
 from txloom.plans import experiments as X
-from txloom.plans.catalog import DIST, E, NODES_SQL, _dist, _labelled, _u, query, rounded
+from txloom.plans.catalog import DIST, E, NODES_SQL, ORACLES, _dist, _labelled, _u, query, rounded
 from txloom.sources.fixtures import table, tx_edges, tx_features
 from txloom.streaming import degree_updates, windowed_counts
 
@@ -120,14 +120,22 @@ def _(spark, sf):
     return WK.deepwalk(_u(spark, sf)).select("walk_id", F.array_join("walk", " ").alias("walk"))
 
 
-@query("walk_node2vec_dfs")
-def _(spark, sf):
-    return WK.node2vec(_u(spark, sf), "dfs")
+def _second_order_sql(p: float, q: float, walks: int = 10, length: int = 80) -> str:
+    """Steps by weights: 1/p back, 1 to neighbours of the previous node and in the first step, 1/q else; weights are binary fractions, so their sums are exact."""
+    unit = "CAST(CAST('0x' || substr(md5(w.seed || '|' || w.walk_id || '|' || (w.k + 1)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+    return E.replace("WITH ", "WITH RECURSIVE ", 1) + f""", al AS (SELECT src AS id, list_sort(list(dst)) AS ns FROM u GROUP BY src),
+w(k, walk_id, seed, node, back, around) AS (SELECT 0, id || '#' || i, 42 + i * 100000 + CAST('0x' || substr(sha256(id), 1, 15) AS BIGINT) % 100000, id, CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM v, range({walks}) r(i)
+UNION ALL SELECT k + 1, walk_id, seed, ns[least(len(list_filter(range(1, len(ws) + 1), lambda j: list_sum(ws[1:j]) <= r * list_sum(ws))), len(ns) - 1) + 1], node, ns
+FROM (SELECT w.k, w.walk_id, w.seed, w.node, al.ns, {unit} AS r,
+             list_transform(al.ns, lambda x: CASE WHEN x = w.back THEN {1 / p}::DOUBLE WHEN w.k = 0 OR list_contains(w.around, x) THEN 1.0::DOUBLE ELSE {1 / q}::DOUBLE END) AS ws
+      FROM w JOIN al ON al.id = w.node WHERE w.k < {length - 1}))
+SELECT walk_id, string_agg(node, ' ' ORDER BY k) AS walk FROM w GROUP BY walk_id"""
 
 
-@query("walk_node2vec_bfs")
-def _(spark, sf):
-    return WK.node2vec(_u(spark, sf), "bfs")
+for _variant in ("dfs", "bfs"):
+    @query(f"walk_node2vec_{_variant}", _second_order_sql(*WK.NODE2VEC[_variant]))
+    def _(spark, sf, variant=_variant):
+        return WK.node2vec(_u(spark, sf), variant).select("walk_id", F.array_join("walk", " ").alias("walk"))
 
 
 @query("walk_node2vec_bal", _walk_sql())
@@ -135,10 +143,22 @@ def _(spark, sf):
     return WK.node2vec(_u(spark, sf), "bal").select("walk_id", F.array_join("walk", " ").alias("walk"))
 
 
-@query("walk_role2vec")
+def _role_sql(walks: int = 10, length: int = 80, most: int = 50_000) -> str:
+    """Uniform steps among the neighbours of the node's own role label, among all where none has it."""
+    labels = ORACLES["wl_labels"].rpartition(" SELECT id, label FROM ")
+    unit = "CAST(CAST('0x' || substr(md5(w.seed || '|' || w.walk_id || '|' || (w.k + 1)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+    return labels[0].replace("WITH ", "WITH RECURSIVE ", 1) + f""", tops AS (SELECT id FROM deg ORDER BY d DESC, id LIMIT {most}),
+tu AS (SELECT src, dst, p.label = q.label AS alike FROM u JOIN tops a ON a.id = src JOIN tops b ON b.id = dst JOIN {labels[2]} p ON p.id = src JOIN {labels[2]} q ON q.id = dst),
+al AS (SELECT src AS id, CASE WHEN bool_or(alike) THEN list_sort(list(dst) FILTER (alike)) ELSE list_sort(list(dst)) END AS ns FROM tu GROUP BY src),
+w(k, walk_id, seed, node) AS (SELECT 0, id || '#' || i, 42 + i * 100000 + CAST('0x' || substr(sha256(id), 1, 15) AS BIGINT) % 100000, id FROM al, range({walks}) r(i)
+UNION ALL SELECT w.k + 1, w.walk_id, w.seed, al.ns[CAST(floor({unit} * len(al.ns)) AS BIGINT) + 1] FROM w JOIN al ON al.id = w.node WHERE w.k < {length - 1})
+SELECT walk_id, string_agg(node, ' ' ORDER BY k) AS walk FROM w GROUP BY walk_id"""
+
+
+@query("walk_role2vec", _role_sql())
 def _(spark, sf):
     u = _u(spark, sf)
-    return WK.role2vec(u, I.wl_labels(u))
+    return WK.role2vec(u, I.wl_labels(u)).select("walk_id", F.array_join("walk", " ").alias("walk"))
 
 
 @query("topk_degree", E + " SELECT id, d FROM deg ORDER BY d DESC, id LIMIT 500")
