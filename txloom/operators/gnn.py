@@ -174,33 +174,65 @@ def init_layers(sizes: list[int], seed: int) -> dict[str, np.ndarray]:
     return w
 
 
-def train_gcn(g: Graph, params: dict, epochs: int = 200, patience: int = 10, seed: int = 42) -> tuple[dict[str, np.ndarray], dict]:
-    """Full-batch training with class weights; the weights of the best validation loss are kept (copied)."""
-    w = init_layers(_sizes(params, g), seed)
+def descend(step, w: dict[str, np.ndarray], params: dict, epochs: int = 200, patience: int = 10) -> tuple[dict[str, np.ndarray], dict]:
+    """Adam until the validation loss has not fallen for more than ``patience`` epochs; the weights of the least loss.
+
+    ``step(w)`` gives gradients and the validation loss of ``w``, so the loss that an
+    update leads to is known with the gradients of the next one.  The rate halves after
+    more than five epochs without gain.
+    """
     adam = Adam(w, params.get("lr", 0.01), params.get("decay", 0.0))
-    at = np.flatnonzero((g.split == 0) & (g.y >= 0))
-    counts = np.maximum(1, np.bincount(g.y[at], minlength=2))
-    weight = (len(at) / (2 * counts))[g.y[at]] if params.get("class_weights", True) else np.ones(len(at))
     best, least, wait, plateau, best_epoch = None, np.inf, 0, 0, 0
-    for epoch in range(epochs):
-        p, seen = gcn_forward(g, w)
-        d = np.zeros_like(p)
-        d[at] = p[at]
-        d[at, g.y[at]] -= 1
-        d[at] *= (weight / weight.sum())[:, None]
-        adam.update(w, gcn_grads(g, w, d, seen))
-        loss = _loss(gcn_forward(g, w)[0], g, 1)
-        if loss < least - 1e-6:
-            best, least, wait, plateau, best_epoch = {k: v.copy() for k, v in w.items()}, loss, 0, 0, epoch
-        else:
+    for epoch in range(epochs + 1):
+        grads, loss = step(w)
+        if epoch and loss < least - 1e-6:
+            best, least, wait, plateau, best_epoch = {k: v.copy() for k, v in w.items()}, loss, 0, 0, epoch - 1
+        elif epoch:
             wait, plateau = wait + 1, plateau + 1
             if plateau > 5:
                 adam.rate, plateau = adam.rate / 2, 0
             if wait > patience:
                 break
+        if epoch < epochs:
+            adam.update(w, grads)
     return best or w, {"val_loss": float(least), "best_epoch": best_epoch}
 
 
+def descend_fixed(step, w: dict[str, np.ndarray], params: dict, epochs: int) -> dict[str, np.ndarray]:
+    """Adam for a number of epochs that was found before."""
+    adam = Adam(w, params.get("lr", 0.01), params.get("decay", 0.0))
+    for _ in range(epochs):
+        adam.update(w, step(w)[0])
+    return w
+
+
+def gcn_step(g: Graph, params: dict, parts: tuple[int, ...] = (0,)):
+    """Full-batch gradients of the loss over the labelled rows of ``parts``, weighted by class, and the validation loss."""
+    at = np.flatnonzero(np.isin(g.split, parts) & (g.y >= 0))
+    counts = np.maximum(1, np.bincount(g.y[at], minlength=2))
+    weight = (len(at) / (2 * counts))[g.y[at]] if params.get("class_weights", True) else np.ones(len(at))
+
+    def step(w: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], float]:
+        p, seen = gcn_forward(g, w)
+        d = np.zeros_like(p)
+        d[at] = p[at]
+        d[at, g.y[at]] -= 1
+        d[at] *= (weight / weight.sum())[:, None]
+        return gcn_grads(g, w, d, seen), _loss(p, g, 1)
+
+    return step
+
+
+def train_gcn(g: Graph, params: dict, epochs: int = 200, patience: int = 10, seed: int = 42) -> tuple[dict[str, np.ndarray], dict]:
+    """Full-batch training with class weights; the weights of the best validation loss are kept (copied)."""
+    return descend(gcn_step(g, params), init_layers(_sizes(params, g), seed), params, epochs, patience)
+
+
+def refit_gcn(g: Graph, params: dict, epochs: int, seed: int = 42) -> dict[str, np.ndarray]:
+    """Weights after ``epochs`` on training and validation rows together."""
+    return descend_fixed(gcn_step(g, params, (0, 1)), init_layers(_sizes(params, g), seed), params, epochs)
+
+
 def gat_forward(g: Graph, w: dict[str, np.ndarray], heads: int, slope: float = 0.2) -> tuple[np.ndarray, list]:
     """Two attention layers: hidden heads side by side, one output head."""
     h, seen = g.x, []
@@ -366,11 +398,17 @@ def in_worker(e: DataFrame, nodes: DataFrame, columns: list[str], use, schema: s
 
 
 def embed(g: Graph, kind: str, width: int = 64, epochs: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding and class probabilities of every node: the last hidden layer of a trained network, or a contrastive encoder with a linear head."""
+    """Embedding and class probabilities of every node: the last hidden layer of a trained network, or a contrastive encoder with a linear head.
+
+    A GCN is refitted on training and validation rows for as many epochs as the best
+    validation loss took; validation rows keep the probabilities from before.
+    """
     if kind == "gcn":
-        w, _ = train_gcn(g, {"hidden": [width]}, epochs or 200, seed=seed)
-        p, seen = gcn_forward(g, w)
-        return seen[-2][1], p
+        params = {"hidden": [width]}
+        w, info = train_gcn(g, params, epochs or 200, seed=seed)
+        early = gcn_forward(g, w)[0]
+        p, seen = gcn_forward(g, refit_gcn(g, params, info["best_epoch"] + 1, seed))
+        return seen[-2][1], np.where((g.split == 1)[:, None], early, p)
     if kind == "gat":
         heads = 4
         w, _ = train_gat(g, {"heads": heads, "width": width // heads}, epochs or 200, seed=seed)
