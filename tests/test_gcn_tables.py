@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from txloom.operators import gcn_tables, gnn
+from txloom.plans import experiments
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,21 @@ def test_training_stops_when_the_loss_has_not_fallen_for_the_patience():
     assert info == {"val_loss": 4.0, "best_epoch": 1} and len(seen) == 14 and best["w0"] == pytest.approx(seen[2])
     moves = -np.diff(np.concatenate(seen))
     assert moves[1] == pytest.approx(0.1, rel=1e-3) and moves[-1] == pytest.approx(0.05, rel=1e-3)
+
+
+def test_signals_of_graphs_beyond_the_bound_go_through_joins(spark, toy):
+    e, nodes, _ = toy
+    nodes = nodes.withColumnRenamed("id", "tx_id").filter("split IS NOT NULL")
+    near, far = (experiments.network_signal(e, nodes, "gcn", 3, 2, most=most) for most in (1_000_000, 0))
+    assert near.dtypes == far.dtypes
+    a, b = ({r.id: list(r)[1:] for r in t.collect()} for t in (near, far))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-5) for k in a)
+
+
+def test_search_proposes_networks_with_falling_widths(spark, toy):
+    g, _ = gnn.load_graph(*toy)
+    rows = gnn.tune(spark, g, 12, 4, 5).orderBy("trial").collect()
+    assert [r.trial for r in rows] == list(range(12))
+    for r in rows:
+        falls = all(a > b for a, b in zip(r.hidden, r.hidden[1:]))
+        assert (r.val_loss is not None) == falls and len(r.hidden) <= 3 and 1e-4 <= r.lr <= 5e-2

@@ -6,6 +6,7 @@ direction of messages.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txloom.functions.storage import hash_key, hash_unit
+from txloom.operators.models import Space, propose
 
 MESSAGES = {
     "copy_u": lambda u, v: u,
@@ -25,6 +27,16 @@ MESSAGES = {
 }
 REDUCERS = {"sum": F.sum, "mean": F.avg, "max": F.max}
 
+# The space that networks are searched in.
+SPACE = {
+    "layers": Space((1, 2, 3, 4)),
+    "width_2": Space(tuple(range(8, 128))),
+    "width_3": Space(tuple(range(8, 64))),
+    "width_4": Space(tuple(range(8, 32))),
+    "lr": Space(low=1e-4, high=5e-2, log=True),
+    "balancing": Space(("class_weights", "none")),
+}
+
 #: Edges up to which a graph is held by one worker (two integers each).
 LOCAL_EDGES = 4_000_000
 
@@ -374,9 +386,14 @@ def arrays(rows: pd.DataFrame, pairs: pd.DataFrame, columns: list[str]) -> tuple
     return Graph(ends[:, 1], ends[:, 0], rows[columns].to_numpy(float), rows["label"].fillna(-1).to_numpy(int), split), rows["id"].tolist()
 
 
+def fits(e: DataFrame, nodes: DataFrame, most: int = LOCAL_EDGES) -> bool:
+    """Whether one worker should hold a graph."""
+    return max(e.limit(most + 1).count(), nodes.limit(most + 1).count()) <= most
+
+
 def checked(e: DataFrame, nodes: DataFrame, most: int = LOCAL_EDGES) -> None:
-    """Refuses graphs that one worker should not hold; the layers above run on any size."""
-    if max(e.limit(most + 1).count(), nodes.limit(most + 1).count()) > most:
+    """Refuses graphs that one worker should not hold; the layers above and :mod:`txloom.operators.gcn_tables` run on any size."""
+    if not fits(e, nodes, most):
         raise ValueError(f"training in a worker takes up to {most} edges and nodes")
 
 
@@ -453,6 +470,34 @@ def search(spark, g: Graph, trials: list[dict], epochs: int = 200, seed: int = 4
     return spark.range(len(trials)).withColumnRenamed("id", "trial").repartition(len(trials)).mapInPandas(run, "trial long, val_loss double, best_epoch long")
 
 
+def decoded(params: dict) -> dict | None:
+    """Network parameters of a drawn trial; none where widths do not fall from layer to layer."""
+    hidden = [params[f"width_{k}"] for k in range(2, params["layers"] + 1)]
+    if any(a <= b for a, b in zip(hidden, hidden[1:], strict=False)):
+        return None
+    return {"hidden": hidden, "lr": params["lr"], "class_weights": params["balancing"] == "class_weights"}
+
+
+def tune(spark, g: Graph, n: int = 40, at_once: int = 8, epochs: int = 200, seed: int = 42) -> DataFrame:
+    """``trial, hidden, lr, class_weights, val_loss, best_epoch`` of ``n`` trials over :data:`SPACE`.
+
+    Parameters are proposed by tree-structured Parzen estimates after every ``at_once``
+    trials, which train in parallel.  Trials whose widths do not fall have null losses.
+    """
+    r, done, rows = random.Random(f"gcn|{seed}"), [], []
+    while len(done) < n:
+        drawn = [propose(SPACE, done, r) for _ in range(min(at_once, n - len(done)))]
+        nets = [decoded(p) for p in drawn]
+        valid = [k for k, net in enumerate(nets) if net is not None]
+        found = {valid[t["trial"]]: t for t in search(spark, g, [nets[k] for k in valid], epochs, seed).collect()} if valid else {}
+        for k, (p, net) in enumerate(zip(drawn, nets, strict=True)):
+            t = found.get(k)
+            done.append({"trial": len(done), "params": p, "loss": t["val_loss"] if t else None})
+            shown = net or {"hidden": [p[f"width_{j}"] for j in range(2, p["layers"] + 1)], "lr": p["lr"], "class_weights": p["balancing"] == "class_weights"}
+            rows.append((len(rows), shown["hidden"], shown["lr"], shown["class_weights"], t["val_loss"] if t else None, t["best_epoch"] if t else None))
+    return spark.createDataFrame(rows, "trial int, hidden array<int>, lr double, class_weights boolean, val_loss double, best_epoch long")
+
+
 def gradient_importance(g: Graph, w: dict[str, np.ndarray]) -> np.ndarray:
     """Mean absolute gradient of the loss with respect to each feature, over all labelled nodes."""
     p, seen = gcn_forward(g, w)

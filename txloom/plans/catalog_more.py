@@ -6,12 +6,13 @@ have no twin; tests hold them against closed forms or brute force.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from txloom.functions import columns as C
 from txloom.operators import communities as CO
-from txloom.operators import gnn
+from txloom.operators import gcn_tables, gnn
 from txloom.operators import graph as G
 from txloom.operators import indicators as I
 from txloom.operators import metrics as M
@@ -256,7 +257,47 @@ def _graph(spark, sf):
 
 @query("gcn_search")
 def _(spark, sf):
-    return gnn.search(spark, _graph(spark, sf)[0], [{"hidden": [8]}, {"hidden": [16], "lr": 0.02}, {"hidden": [16, 8]}])
+    return gnn.tune(spark, _graph(spark, sf)[0])
+
+
+# Any weights do for one step; these are plain numbers for both engines.
+_STEP = {"w0": [[0.5, -0.4, 0.3], [0.2, 0.6, -0.7]], "b0": [0.1, -0.05, 0.2], "w1": [[0.3, -0.2], [-0.5, 0.4], [0.6, 0.1]], "b1": [0.05, -0.05]}
+
+
+def _step_sql() -> str:
+    w0, b0, w1, b1 = (_STEP[k] for k in ("w0", "b0", "w1", "b1"))
+    hidden = ", ".join(f"greatest(a0 * {w0[0][j]}::DOUBLE + a1 * {w0[1][j]}::DOUBLE + {b0[j]}::DOUBLE, 0) AS h{j}" for j in range(3))
+    outputs = ", ".join("avg(" + " + ".join(f"h{j} * {w1[j][o]}::DOUBLE" for j in range(3)) + f") + {b1[o]}::DOUBLE AS z{o}" for o in range(2))
+    slopes = ", ".join(f"CASE WHEN h{j} > 0 THEN t0 * {w1[j][0]}::DOUBLE + t1 * {w1[j][1]}::DOUBLE ELSE 0 END AS e{j}" for j in range(3))
+    cells = [("w0", i, j, f"sum(a{i} * e{j})") for i in range(2) for j in range(3)] + [("b0", 0, j, f"sum(e{j})") for j in range(3)]
+    cells += [("w1", j, o, f"sum(h{j} * t{o})") for j in range(3) for o in range(2)] + [("b1", 0, o, f"sum(d{o})") for o in range(2)]
+    cells.append(("loss", 0, 0, "avg(CASE WHEN part = 1 AND y >= 0 THEN -ln(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END) END)"))
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS name, {i} AS i, {j} AS j, round({x}, 6) + 0.0 AS v FROM s" for m, i, j, x in cells)
+    return f"""{E}, {NODES_SQL},
+n AS (SELECT tx_id AS id, CASE WHEN class IN (1, 2) THEN class - 1 ELSE -1 END AS y, CASE WHEN time_step <= 20 THEN 0 WHEN time_step <= 35 THEN 1 ELSE 2 END AS part, coalesce(f_lines, 0) / 10 AS x0, f_totalprice / 500000 AS x1 FROM tx),
+g AS (SELECT src, dst FROM u UNION SELECT id, id FROM n),
+c AS (SELECT dst AS id, count(*) AS c, avg(x0) AS a0, avg(x1) AS a1 FROM g JOIN n ON n.id = src GROUP BY dst),
+h AS (SELECT *, {hidden} FROM c),
+z AS (SELECT dst AS id, {outputs} FROM g JOIN h ON h.id = src GROUP BY dst),
+k AS (SELECT y, 1.0::DOUBLE / (2 * count(*)) AS w FROM n WHERE part = 0 AND y >= 0 GROUP BY y),
+p AS (SELECT z.id, n.y, part, 1 / (1 + exp(z1 - z0)) AS p0, CASE WHEN part = 0 THEN coalesce(w, 0) ELSE 0 END AS w FROM z JOIN n USING (id) LEFT JOIN k ON k.y = n.y),
+d AS (SELECT *, w * (p0 - CASE y WHEN 0 THEN 1 ELSE 0 END) AS d0, w * (1 - p0 - CASE y WHEN 1 THEN 1 ELSE 0 END) AS d1 FROM p),
+t AS (SELECT dst AS id, sum(d0 / c) AS t0, sum(d1 / c) AS t1 FROM g JOIN d ON d.id = src JOIN c ON c.id = src GROUP BY dst),
+s AS (SELECT d.*, h.* EXCLUDE (id), t0, t1, {slopes} FROM d JOIN h USING (id) JOIN t USING (id))
+{rows}"""
+
+
+@query("gcn_gradients", _step_sql())
+def _(spark, sf):
+    """All gradients of a two-layer network over the whole graph, through joins, and its validation loss."""
+    t = tx_features(spark, sf)
+    part = F.when(F.col("time_step") <= 20, "train").when(F.col("time_step") <= 35, "validation").otherwise("test")
+    nodes = t.select(F.col("tx_id").alias("id"), F.when(F.col("class").isin(1, 2), F.col("class") - 1).alias("label"), part.alias("split"), (F.coalesce("f_lines", F.lit(0.0)) / 10).alias("x0"), (F.col("f_totalprice") / 500000).alias("x1"))
+    tables = gcn_tables.Tables(tx_edges(spark, sf), nodes, ["x0", "x1"])
+    grads, loss = tables.step({k: np.array(v) for k, v in _STEP.items()}, {})
+    tables.close()
+    cells = [(k, i, j, float(v)) for k, g in grads.items() for (i, j), v in np.ndenumerate(np.atleast_2d(g))]
+    return rounded(spark.createDataFrame([*cells, ("loss", 0, 0, loss)], "name string, i int, j int, v double"), "v")
 
 
 @query("gat_predictions")
