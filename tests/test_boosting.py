@@ -73,5 +73,6 @@ def test_nulls_constants_one_class_and_no_rows(spark):
     assert p["c"] > p["d"] and p["a"] == p["b"] == p["d"] and model["cuts"][1] == []
     one = boosting.fit(df.filter("target = 1"), ["f_a"], {"trees": 2})
     assert boosting.score(df, one).filter("p0 < 0.99").count() == 0
+    assert boosting.fit(df, ["f_a"], {"trees": 2, "depth": 1, "child": 0.0}, df.limit(0))["best"] == 2
     none = boosting.fit(df.limit(0), ["f_a"], {"trees": 2})
     assert boosting.score(df, none).count() == 4 and boosting.score(df.limit(0), model).count() == 0

@@ -134,7 +134,7 @@ def fit(rows: DataFrame, columns: list[str], params: dict, held: DataFrame | Non
 
     ``rows`` may carry a column ``weight``.  With ``held`` rows training stops when their
     log loss has not fallen for ``patience`` trees, and the trees up to the least loss are
-    kept; ``best`` is their number.  Parameters: ``trees, depth, lr, subsample, columns,
+    kept; ``best`` is their number.  Empty ``held`` rows stop nothing.  Parameters: ``trees, depth, lr, subsample, columns,
     child, gamma, alpha, lambda, seed``.  Nulls and NaN go left.  Without rows of both
     classes or without a cut that gains, trees are single leaves.
     """
@@ -187,7 +187,7 @@ def fit(rows: DataFrame, columns: list[str], params: dict, held: DataFrame | Non
             stored, fresh = _stored_margins(stored, len(columns), fresh), []
     stored.unpersist()
     drop(stored)
-    if held is not None:
+    if losses:
         trees = trees[:best]
     total = sum(gains)
     return {"columns": list(columns), "start": start, "cuts": edges, "trees": trees, "best": len(trees), "losses": losses, "importance": {c: g / total if total else 0.0 for c, g in zip(columns, gains, strict=True)}}

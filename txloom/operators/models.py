@@ -15,13 +15,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txloom.functions.storage import hash_key, hash_rank
+from txloom.operators import boosting
 from txloom.operators import metrics as M
 from txloom.operators import preprocess as P
 from txloom.operators import sampling as S
@@ -63,7 +64,7 @@ SPACES: dict[str, dict[str, Space]] = {
     "NB": {"var_smoothing": Space(low=1e-6, high=1e-1, log=True), "balancing": Space(("none", "oversampling", "class_prior")), "ratio": Space(low=0.5, high=1.0), "scaler": Space(("standard", "minmax"))},
     "RF": {"trees": Space(tuple(range(100, 601, 25))), "depth": Space((5, 10, 15, 20, 30)), "leaf": Space((1, 2, 3, 4, 5)), "features": Space(("sqrt", "log2", "all")), "balancing": Space(("none", "oversampling", "class_weights"))},
     "SVC": {"C": Space(low=1e-3, high=1e2, log=True), "gamma": Space(low=1e-4, high=10, log=True), "kernel": Space(("rbf",)), "balancing": Space(("class_weights",))},
-    "XGB": {"trees": Space(tuple(range(50, 501, 25))), "depth": Space(tuple(range(2, 9))), "lr": Space(low=1e-2, high=3e-1, log=True), "subsample": Space(low=0.6, high=1.0), "balancing": Space(("none", "oversampling"))},
+    "XGB": {"trees": Space(tuple(range(50, 501, 25))), "depth": Space(tuple(range(2, 9))), "lr": Space(low=1e-2, high=3e-1, log=True), "subsample": Space(low=0.6, high=1.0), "columns": Space(low=0.6, high=1.0), "child": Space(low=1e-1, high=10, log=True), "gamma": Space(low=1e-3, high=1, log=True), "alpha": Space(low=1e-6, high=1, log=True), "lambda": Space(low=1e-3, high=10, log=True), "balancing": Space(("none", "oversampling"))},
 }
 #: Whether the threshold is chosen on a model that has seen the validation rows too.
 THRESHOLD_FIT = {"LR": "train", "MLP": "train", "XGB": "train", "NB": "train_val", "RF": "train_val", "SVC": "train_val"}
@@ -78,6 +79,8 @@ class Fitted:
     pipeline: PipelineModel | None = None
     #: What :func:`scorer` needs beside the pipeline, as plain values.
     state: dict = field(default_factory=dict)
+    #: Parameters that training found, for a refit without validation rows.
+    found: dict = field(default_factory=dict)
 
 
 def balance(rows: DataFrame, params: Params, model: str) -> tuple[DataFrame, str | None]:
@@ -105,8 +108,8 @@ def _rbf(columns: list[str], gamma: float, features: int = 256, seed: int = 42):
     return array_to_vector(lift(F.array(*[F.col(c).cast("double") for c in columns]))).alias("features")
 
 
-def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fitted:
-    """Fits one model on ``train`` whose columns are scaled already."""
+def fit(model: str, train: DataFrame, columns: list[str], params: Params, held: DataFrame | None = None) -> Fitted:
+    """Fits one model on ``train`` whose columns are scaled already; boosting stops early by ``held`` rows, where given."""
     rows, weight = balance(train, params, model)
     rows = rows.withColumn("target", (1 - F.col("label")).cast("double"))  # Spark's positive class is 1
     if model == "NB":
@@ -114,6 +117,11 @@ def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fit
         priors = {0: 0.5, 1: 0.5} if params.get("balancing") == "class_prior" else None
         state = {"nb": P.nb_fit(part, columns, smoothing=float(params.get("var_smoothing", 1e-9)), priors=priors)}
         return Fitted(scorer(state), state=state)
+    if model == "XGB":
+        boosted = boosting.fit(rows, columns, params, held.withColumn("target", 1 - F.col("label")) if held is not None else None)
+        importance, found = boosted.pop("importance"), {"trees": max(1, boosted["best"])} if held is not None else {}
+        state = {"boost": boosted}
+        return Fitted(scorer(state), importance, state=state, found=found)
     assembler, svc = VectorAssembler(inputCols=columns, outputCol="features"), None
     common = {"labelCol": "target", "featuresCol": "features"} | ({"weightCol": weight} if weight else {})
     seed = int(params.get("seed", 42))
@@ -122,8 +130,6 @@ def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fit
         est = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=int(params.get("max_iter", 200)), **common)
     elif model == "RF":
         est = RandomForestClassifier(numTrees=int(params.get("trees", 100)), maxDepth=min(30, int(params.get("depth", 10))), minInstancesPerNode=int(params.get("leaf", 1)), featureSubsetStrategy=str(params.get("features", "sqrt")), seed=seed, **common)
-    elif model == "XGB":
-        est = GBTClassifier(maxIter=int(params.get("trees", 50)), maxDepth=int(params.get("depth", 4)), stepSize=float(params.get("lr", 0.1)), subsamplingRate=float(params.get("subsample", 1.0)), seed=seed, **common)
     elif model == "MLP":
         common.pop("weightCol", None)
         layers = [len(columns), *params.get("hidden", (64,)), 2]
@@ -140,7 +146,7 @@ def fit(model: str, train: DataFrame, columns: list[str], params: Params) -> Fit
     importance: dict[str, float] = {}
     if model == "LR" or model == "SVC" and not svc:
         importance = dict(zip(columns, np.abs(fitted.coefficients.toArray()).tolist(), strict=True))
-    elif model in ("RF", "XGB"):
+    elif model == "RF":
         importance = dict(zip(columns, fitted.featureImportances.toArray().tolist(), strict=True))
     elif model == "MLP":
         first = int(params.get("hidden", (64,))[0])
@@ -160,6 +166,8 @@ def scorer(state: dict, pipeline: PipelineModel | None = None) -> Callable[[Data
     """The function that adds ``p0`` from a model's plain values and its pipeline, fitted now or stored before."""
     if "nb" in state:
         return lambda df: P.clip_proba(P.nb_score(df, state["nb"])).select(*df.columns, "p0")
+    if "boost" in state:
+        return lambda df: boosting.score(df, state["boost"])
 
     def score(df: DataFrame) -> DataFrame:
         out = pipeline.transform(df.select("*", _rbf(**state["kernel"])) if "kernel" in state else df)
@@ -197,7 +205,7 @@ def prepare(df: DataFrame, columns: list[str], params: Params, train: str) -> tu
 def load(spark: SparkSession, path: str) -> Callable[[DataFrame], DataFrame]:
     """The function that adds ``p0`` to raw rows with a model that a run stored."""
     state = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/params.json", wholetext=True).collect()))["state"]
-    score = scorer(state, None if "nb" in state else PipelineModel.load(f"{path}/pipeline"))
+    score = scorer(state, None if {"nb", "boost"} & state.keys() else PipelineModel.load(f"{path}/pipeline"))
     return lambda df: score(prepare_apply(df, state["prepare"]))
 
 
@@ -283,8 +291,9 @@ def search(model: str, df: DataFrame, columns: list[str], n: int = 50, seed: int
 
     def loss(params: Params) -> float:
         ready, used = prepare(df, columns, params, "split = 'train'")
-        fitted = fit(model, ready.filter("split = 'train'"), used, params)
-        return objective(fitted.score(ready.filter("split = 'validation'")).withColumn("y_true", F.col("label")), model)
+        held = ready.filter("split = 'validation'")
+        fitted = fit(model, ready.filter("split = 'train'"), used, params, held)
+        return objective(fitted.score(held).withColumn("y_true", F.col("label")), model)
 
     done = minimise(loss, SPACES[model], n, f"{model}|{seed}")
     return best(done), done
@@ -298,12 +307,13 @@ def run(model: str, df: DataFrame, columns: list[str], params: Params, steps: in
     """
     seen = "split = 'train'" if THRESHOLD_FIT[model] == "train" else "split IN ('train', 'validation')"
     ready, used = prepare(df, columns, params, seen)
-    first = fit(model, ready.filter(seen), used, params)
-    validation = first.score(ready.filter("split = 'validation'")).withColumn("y_true", F.col("label"))
+    held = ready.filter("split = 'validation'")
+    first = fit(model, ready.filter(seen), used, params, held)
+    validation = first.score(held).withColumn("y_true", F.col("label"))
     threshold = M.best_threshold(validation, steps=steps).first()["threshold"]
     before = prepare_fit(df, columns, params, "split IN ('train', 'validation')")
     ready, used = prepare_apply(df, before), before["scale"]["columns"]
-    final = fit(model, ready.filter("split IN ('train', 'validation')"), used, params)
+    final = fit(model, ready.filter("split IN ('train', 'validation')"), used, params | first.found)
     test = final.score(ready.filter("split = 'test'"))
     preds = test.select("tx_id", F.col("label").alias("y_true"), F.when(F.col("p0") >= threshold, 0).otherwise(1).alias("y_pred"), F.col("p0").alias("proba_fraud"), (1 - F.col("p0")).alias("proba_nofraud"))
     return {"model": model, "threshold": threshold, "predictions": preds, "importance": final.importance, "pipeline": final.pipeline, "params": params, "state": final.state | {"prepare": before}}
