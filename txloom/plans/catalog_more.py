@@ -315,7 +315,7 @@ def _(spark, sf):
 
 # -- models -------------------------------------------------------------------
 
-_MODELS = {"LR": {"balancing": "class_weights"}, "NB": {"var_smoothing": 1e-6}, "RF": {}, "XGB": {}, "SVC": {"kernel": "rbf", "balancing": "class_weights"}, "MLP": {}}
+_MODELS = {"LR": {"balancing": "class_weights"}, "NB": {"var_smoothing": 1e-6}, "RF": {}, "XGB": {"trees": 10, "depth": 3}, "SVC": {"kernel": "rbf", "balancing": "class_weights"}, "MLP": {}}
 for _name, _params in _MODELS.items():
     @query(f"model_{_name.lower()}")
     def _(spark, sf, name=_name, params=_params):
