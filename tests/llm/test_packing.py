@@ -87,3 +87,15 @@ def test_long_words_are_not_kept():
     want = table.tokenizer.encode(text, add_special_tokens=False).ids
     assert table.encode(text) == b"".join(i.to_bytes(4, "little") for i in want)
     assert len(table) <= 4 and max(map(len, table)) < packing.CACHE_BYTES
+
+
+def test_frequent_words_stay_and_case_and_punctuation_are_one_word():
+    whole, table = Tokenizer.from_file(PATH), packing.WordIds(PATH, limit=20)
+    found, merges = [], table.merge
+    table.merge = lambda word: (found.append(word), merges(word))[1]
+    text = " ".join(f"river River, RIVER. r\u00edo R\u00cdO! rare{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200))
+    got = table.encode(text)
+    assert got == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+    assert found.count("river") == 1 and len(found) == 202 and len(table) <= 20 and len(table.older) <= 20
+    for text in ['He said: "End". x.\u0308 a.b,c (d). \'s. 1. \u00aa. \u00b5! \u00df? \u00ff; A\u0301. H\u0331, T\u0308! W\u030a y\u00d7. \u4e2d. \u0130. X\x85Y. \xa0Z.', "NA\u00cfVE... (\u00c9T\u00c9)!! a''s. d'. l'\u00c9, \u00d7. \u00f7."]:
+        assert table.encode(text) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +24,14 @@ from txloom.llm.common import document_rows, materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids one Python worker keeps, and bytes of a word from which it is not kept.
-CACHE_WORDS, CACHE_BYTES = 60_000, 64
+#: Distinct words in each of the two tables of a Python worker, and bytes of a word from which it is not kept.
+CACHE_WORDS, CACHE_BYTES = 87_000, 64
 
 
 #: Characters that follow a word and never join its letters in pre-tokenization.
 _TAIL = b".,;:!?*%$&#|"
+#: Such a character behind a Latin-1 letter.
+_BEHIND = re.compile(f"[{_TAIL.decode()}](?<=[A-Za-zªµºÀ-ÖØ-öø-ÿ].)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,31 +46,47 @@ class WordIds(dict):
 
     The vocabulary's pre-tokenizer never joins characters across ASCII white space
     and its normalizer works character by character there, so the ids of a text are
-    those of its words in turn; words repeat, so their ids are kept (``limit`` words of
-    less than CACHE_BYTES, then the table starts anew).  A word of Latin-1 letters with punctuation behind it
-    is looked up as its lower-case letters and its punctuation; the letters go to the
-    tokenizer's merges directly.  Any other word goes through the whole tokenizer.
+    those of its words in turn; it never joins punctuation to letters before it either, so a
+    space goes between them.  Texts of Latin-1 characters are lower-cased at once.
+    (Texts with an added token in any case are left as they are.)  Words repeat, so
+    their ids are kept: ``limit`` words of less than CACHE_BYTES, then the table becomes the older one and
+    what is met again moves back, so frequent words stay.  A word of Latin-1 letters
+    is looked up in lower case and goes to the tokenizer's merges directly.  Any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.letters = Tokenizer.from_file(path), limit, _byte_letters()
-        self.merge = self.tokenizer.model.tokenize
+        self.merge, self.older = self.tokenizer.model.tokenize, {}
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        low = text.lower()
+        if not any(a in low for a in self.added):
+            try:
+                text.encode("latin-1")
+                text = low
+            except UnicodeEncodeError:  # lower-casing before the normalizer could join other marks
+                pass
+            text = _BEHIND.sub(r" \g<0>", text)
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
     def __missing__(self, word: bytes) -> bytes:
-        found = self._ids(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self._ids(word)
         if len(word) < CACHE_BYTES:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
 
     def _ids(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # ASCII letters stand for themselves in the byte-level alphabet
+            return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word.decode())])
         core = word.rstrip(_TAIL)
         if core.isalpha():  # ASCII letters
             low = core.lower()
