@@ -89,6 +89,33 @@ def test_ranking_and_sweep_match_definitions(spark):
     assert whole.count() == 9 and metrics.roc_auc(df).count() == 1
 
 
+def test_all_metrics_read_their_input_once_and_pack_scores(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(k, n, r.randint(0, 1), r.randint(0, 1), round(r.random(), 2)) for k, n in ((1, "a"), (1, None), (None, "b")) for _ in range(400)]
+    rows += [(2, "c", 0, 0, 1.0), (2, "c", 1, 1, float("nan")), (2, "c", 1, 0, None), (2, "c", 0, 1, -0.5), (2, "c", 0, 1, 1.5), (3, "d", 0, 0, 0.5)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "k int, n string, y_true int, y_pred int, p0 double").repartition(3)
+    monkeypatch.setattr(metrics, "PACK", 150)
+    got = {(x.k, x.n): x for x in metrics.all_metrics(df.mapInArrow(counted, df.schema), ["k", "n"]).collect()}
+    assert read.value == len(rows)  # the sums, the loss and the ranking took a pass each before
+    assert set(got) == {x[:2] for x in rows}
+    level = lambda p: float("-inf") if p is None else float("inf") if p != p else p
+    for key, x in got.items():
+        pos, neg = ([level(p) for *g, y, _, p in rows if tuple(g) == key and y == c] for c in (0, 1))
+        want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg) if neg else None
+        assert x.roc_auc == (pytest.approx(want) if neg else None)
+        assert x.average_precision == pytest.approx(sum(pos.count(s) * sum(p >= s for p in pos) / sum(p >= s for p in pos + neg) for s in set(pos)) / len(pos))
+    for part, names in ((metrics.precision_recall_f1, metrics.RATES), (metrics.log_loss, ("log_loss",))):
+        for x in part(df.filter("k IS NULL OR k <> 2"), ["k", "n"]).collect():
+            assert all(got[x.k, x.n][c] == pytest.approx(x[c]) for c in names)
+
+
 def test_alias_and_softmax(spark):
     w = np.array([0.1, 5.0, 2.0, 0.4])
     other, share = structural.alias_table(w)
