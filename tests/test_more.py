@@ -116,6 +116,15 @@ def test_all_metrics_read_their_input_once_and_pack_scores(spark, monkeypatch):
             assert all(got[x.k, x.n][c] == pytest.approx(x[c]) for c in names)
 
 
+def test_stored_predictions_are_small_and_whole(spark, tmp_path):
+    p = spark.range(20_000).selectExpr("concat('1|LR|base|', id) AS tx_id", "CAST(id % 2 AS INT) AS y_true", "CAST(id % 3 = 0 AS INT) AS y_pred", "round(id / 20000, 6) AS proba_fraud", "1 - round(id / 20000, 6) AS proba_nofraud")
+    sinks.predictions(p, str(tmp_path / "zstd"))
+    p.write.parquet(str(tmp_path / "plain"), compression="snappy")
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    assert size("zstd") < 0.8 * size("plain")  # equal before
+    assert sorted(readers.predictions(spark, str(tmp_path / "zstd")).collect()) == sorted(p.collect())
+
+
 def test_alias_and_softmax(spark):
     w = np.array([0.1, 5.0, 2.0, 0.4])
     other, share = structural.alias_table(w)
