@@ -165,6 +165,32 @@ def test_second_order_walks_match_brute_force(hub, variant):
     assert {r.walk_id: r.walk for r in walks.node2vec(hub, variant, 2, 20).collect()} == want
 
 
+@pytest.mark.parametrize("variant", ["bal", "dfs", "bfs", "labels"])
+def test_walks_in_blocks_are_those_of_joins(spark, hub, variant, monkeypatch):
+    """Small components share blocks, large ones are repeated, the largest are walked by joins: the same walks."""
+    many = hub.unionByName(hub.selectExpr("'x' || src", "'x' || dst").toDF("src", "dst")).unionByName(spark.createDataFrame([(f"{a}{'ü' * 30}", f"{b}{'ü' * 30}") for a, b in (("k", "l"), ("l", "k"), ("l", "m"), ("m", "l"))], "src string, dst string"))
+    labels = many.select(F.col("src").alias("id"), F.substring("src", -1, 1).alias("label")).distinct()
+    step = (lambda: walks.walk(many, 2, 30, labels=labels)) if variant == "labels" else (lambda: walks.node2vec(many, variant, 2, 30))
+    shared = {r.walk_id: r.walk for r in step().collect()}
+    monkeypatch.setattr(walks, "BLOCK_STARTS", 2)
+    monkeypatch.setattr(walks, "PART_STARTS", 2)
+    repeated = {r.walk_id: r.walk for r in step().collect()}
+    monkeypatch.setattr(walks, "LOCAL_CHOICES", 4)
+    rows = step().collect()
+    assert len(rows) == len(shared) == 2 * len({r.src for r in many.collect()})
+    assert shared == repeated == {r.walk_id: r.walk for r in rows}
+
+
+def test_walkers_are_not_shuffled_at_every_step(hub, monkeypatch):
+    """Longer walks store nothing more: before, walkers were joined at each step and stored every eighth."""
+    stored, store = [], walks.materialize
+    monkeypatch.setattr(walks, "materialize", lambda df, name: (stored.append(name), store(df, name))[1])
+    walks.node2vec(hub, "bfs", 2, 2)
+    short = len(stored)
+    walks.node2vec(hub, "bfs", 2, 40)
+    assert len(stored) == 2 * short and "walks" not in stored
+
+
 def test_network_signals_and_batches(spark, tmp_path):
     r = random.Random(1)
     nodes = spark.createDataFrame([(str(i), 1 + i % 49, (1, 2)[i % 2], r.gauss(i % 2, 1)) for i in range(120)], "tx_id string, time_step int, class int, f_x double")

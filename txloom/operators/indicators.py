@@ -274,8 +274,10 @@ def core_rounds(links: DataFrame) -> DataFrame:
 
 def wl_labels(u: DataFrame, rounds: int = 3, modulus_digits: int = 8) -> DataFrame:
     """``id, label``: degree, then each round a hash of the own and the sorted neighbour labels."""
+    u = materialize(u.select("src", "dst"), "wl-links")
     state = degrees(u).select("id", F.col("d").cast("string").alias("label"))
     for _ in range(rounds):
+        state = materialize(state, "wl")  # both its uses read it; else every round would compute the earlier ones twice
         near = u.join(state, u.dst == state.id).groupBy("src").agg(F.array_join(F.sort_array(F.collect_list("label")), ",").alias("around"))
         state = state.join(near, state.id == near.src).select("id", F.substring(F.md5(F.concat_ws("|", "label", "around")), 1, modulus_digits).alias("label"))
     return state
