@@ -60,3 +60,33 @@ def test_neighbours_of_planted_communities(spark):
     assert np.mean([ids[near[k].argmax()][0] == ids[k][0] for k in range(len(ids))]) >= 0.95
     again = {x.id: x.emb for x in walks.skipgram(corpus.repartition(5), dims=16, window=5, epochs=1, blocks=3).collect()}
     assert again == {x.id: x.emb for x in walks.skipgram(corpus, dims=16, window=5, epochs=1, blocks=3).collect()}
+
+
+def test_walks_are_read_once_and_lone_nodes_kept(spark):
+    """One pass over walks finds pairs and nodes; before, walks were computed again for the nodes."""
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    made = [["a", "b", "a"], ["c"], ["b", "d"], []]
+    seen = spark.createDataFrame([(w,) for w in made], "walk array<string>").mapInArrow(through, "walk array<string>")
+    found = {x.id: x.emb for x in skipgram.skipgram(seen, dims=4, window=2, epochs=1, blocks=2).collect()}
+    assert set(found) == set("abcd") and read.value == len(made)
+
+
+@pytest.mark.parametrize("own", [8, 40])
+def test_small_components_train_without_meeting_others(spark, monkeypatch, own):
+    """Pairs and quality of a graph of many components, alone (40) or with one that meets in turn (8): stored tables do not grow with the blocks."""
+    r = random.Random(4)
+    pairs = [(f"{c:02d}_{a}", f"{c:02d}_{b}") for c in range(40) for a, b in itertools.combinations(range(5), 2) if b == a + 1 or r.random() < 0.5] + [(f"w_{a:02d}", f"w_{(a + 1) % 20:02d}") for a in range(20)]
+    corpus = walks.deepwalk(graph.symmetric(spark.createDataFrame(pairs, "src string, dst string")), 5, 20)
+    stored, store = [], skipgram.materialize
+    monkeypatch.setattr(skipgram, "materialize", lambda df, name: (stored.append(name), store(df, name))[1])
+    monkeypatch.setattr(skipgram, "BLOCK_NODES", 10)
+    monkeypatch.setattr(skipgram, "OWN_NODES", own)
+    found = {x.id: np.array(x.emb) for x in skipgram.skipgram(corpus, dims=8, window=5, epochs=2).collect()}
+    assert set(found) == {v for p in pairs for v in p} and all(np.isfinite(x).all() and np.abs(x).max() > 0.1 for x in found.values())
+    assert stored.count("sg") == 1 + 2 * (1 if own == 40 else 8)  # 22 blocks by hash before

@@ -5,7 +5,8 @@ pairs.  Nodes are dealt into blocks by hash; the vectors of a block of centres a
 block of contexts are a row each.  In one meeting every block of centres trains with one
 block of contexts, all in parallel, on the pairs between them and on contexts drawn from that
 block; the next meeting shifts the blocks by one.  A task holds two blocks and a part of their
-pairs, never the table of vectors, and results depend on the seed and the blocks only.
+pairs, never the table of vectors, and results depend on the seed and the blocks only.  Blocks
+of a large graph are whole components where these are small, and meet themselves only.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txloom.functions.storage import dense_index, drop, materialize
+from txloom.operators.graph import components
 
 #: Blocks of a small graph, and nodes of a block of a large one.
 BLOCKS, BLOCK_NODES = 8, 100_000
+#: Nodes of a block of whole components, and of the largest component in one.
+OWN_NODES = 25_000
+#: Cells of a table of a batch's pairs.
+DENSE = 4_000_000
 #: Pairs of a stored row, and of a training step.
 PART_PAIRS, STEP_PAIRS = 500_000, 2048
 #: Contexts are drawn by their counts to this power.
@@ -28,27 +34,69 @@ POWER = 0.75
 ROWS = "meet int, kind int, block int, ids binary, a binary, b binary, c binary"
 
 
-def window_pairs(walks: DataFrame, window: int) -> DataFrame:
-    """``centre, context, n``: pairs at most ``window`` steps apart on ``walk``; at distance d a pair counts ``(window - d + 1) / window``, the chance that a window of random size has it."""
+def _counts(walks: DataFrame, window: int) -> DataFrame:
+    """``centre, context, n`` of ``window_pairs`` times ``window``, whole numbers; nodes alone on a walk have a row without context, so one pass over walks finds all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
             coded = column.flatten().dictionary_encode()
             names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            walk = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            keys, weights = [], []
-            for d in range(1, min(window, len(code)) + 1):
-                a, b = code[:-d][walk[:-d] == walk[d:]], code[d:][walk[:-d] == walk[d:]]
-                both, times = np.unique(np.concatenate([a * len(names) + b, b * len(names) + a]), return_counts=True)
-                keys.append(both)
-                weights.append(times * (window - d + 1) / window)
-            if keys and (every := np.concatenate(keys)).size:
-                key, at = np.unique(every, return_inverse=True)
-                sums = np.bincount(at, np.concatenate(weights))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(key // len(names))), names.take(pa.array(key % len(names))), pa.array(sums)], ["centre", "context", "n"])
+            walk, size = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), len(names)
+            dense, keys, weights = size * size <= DENSE, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            table = np.zeros(size * size if dense else 0, np.int64)
+            for d in range(1, min(window, len(code) - 1) + 1):
+                same = walk[:-d] == walk[d:]
+                key = code[:-d][same] * size + code[d:][same]
+                if dense:
+                    table += np.bincount(key, minlength=len(table)) * (window - d + 1)
+                else:
+                    found, times = np.unique(key, return_counts=True)
+                    keys.append(found)
+                    weights.append(times * (window - d + 1))
+            if dense:
+                table = (table.reshape(size, size) + table.reshape(size, size).T).ravel()
+                key = np.flatnonzero(table)
+                sums = table[key]
+            else:
+                every = np.concatenate(keys)
+                key, at = np.unique(np.concatenate([every, every % size * size + every // size]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([*weights, *weights]), len(key)).astype(np.int64)
+            alone = np.setdiff1d(np.arange(size), key // max(size, 1))
+            centre, context = np.concatenate([key // max(size, 1), alone]), np.concatenate([key % max(size, 1), alone])
+            context = pa.array(context, mask=np.arange(len(context)) >= len(key))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(centre)), names.take(context), pa.array(np.concatenate([sums, 0 * alone]))], ["centre", "context", "n"])
+
+    return walks.select("walk").mapInArrow(run, "centre string, context string, n long").groupBy("centre", "context").agg(F.sum("n").alias("n"))
+
+
+def window_pairs(walks: DataFrame, window: int) -> DataFrame:
+    """``centre, context, n``: pairs at most ``window`` steps apart on ``walk``; at distance d a pair counts ``(window - d + 1) / window``, the chance that a window of random size has it."""
+    return _counts(walks, window).filter(F.col("context").isNotNull()).withColumn("n", F.col("n") / window)
+
 
-    return walks.select("walk").mapInArrow(run, "centre string, context string, n double").groupBy("centre", "context").agg(F.sum("n").alias("n"))
+def _dealt(numbered: DataFrame, pairs: DataFrame, seed: int, blocks: int | None) -> tuple[DataFrame, int, int]:
+    """``numbered`` with ``block``, the number of blocks that train by themselves, and of those that meet in turn.
+
+    Blocks that meet in turn move the table of vectors once a block, so their moves grow
+    with the square of the nodes.  A graph of more than ``BLOCKS * BLOCK_NODES`` nodes is
+    dealt by components instead: no pair leaves one, so a block of whole components meets
+    itself only.  Nodes of components of more than ``OWN_NODES`` nodes still meet in turn.
+    """
+    hashed = lambda c, n: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    nodes = numbered.count()
+    if blocks or nodes <= BLOCKS * BLOCK_NODES:
+        count = blocks or BLOCKS
+        return numbered.withColumn("block", hashed("node", count)), 0, count
+    linked = components(pairs.select(F.col("centre").alias("src"), F.col("context").alias("dst")))
+    placed = materialize(numbered.join(linked, "id", "left").select(numbered["*"], F.coalesce("comp", "id").alias("comp")), "sg-placed")
+    wide = materialize(placed.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OWN_NODES), "sg-wide")
+    turning = wide.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = -(-(nodes - turning) // OWN_NODES)
+    meeting = max(BLOCKS, -(-turning // BLOCK_NODES)) if turning else 1
+    marked = placed.join(F.broadcast(wide.select("comp", F.lit(True).alias("wide"))), "comp", "left")
+    block = F.when(F.col("wide"), own + hashed("node", meeting)).otherwise(hashed("comp", max(own, 1)))
+    return materialize(marked.select("id", "node", "weight", block.cast("int").alias("block")), "sg-dealt"), own, meeting
 
 
 def _start(block_ids: DataFrame, dims: int, seed: int, kind: int) -> DataFrame:
@@ -100,9 +148,19 @@ def _packed(pairs: DataFrame) -> DataFrame:
 
 def _apply(vectors: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradients: np.ndarray, rate: float) -> None:
     """One Adagrad step upwards; a row's gradients are summed first."""
-    own, at = np.unique(rows, return_inverse=True)
-    sums = np.zeros((len(own), vectors.shape[1]), np.float32)
-    np.add.at(sums, at, gradients)
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    begins = np.flatnonzero(np.diff(ordered, prepend=-1))
+    own, times = ordered[begins], np.diff(begins, append=len(rows))
+    if times.max() > 32:
+        sums = np.zeros((len(own), vectors.shape[1]), np.float32)
+        np.add.at(sums, np.repeat(np.arange(len(own)), times), gradients[order])
+    else:  # the first gradient of every row, then every second one, …: the same sums in the same order
+        sums, live, k = gradients[order[begins]], np.flatnonzero(times > 1), 1
+        while live.size:
+            sums[live] += gradients[order[begins[live] + k]]
+            k += 1
+            live = live[times[live] > k]
     squares[own] += (sums * sums).mean(1)
     vectors[own] += rate * sums / np.sqrt(squares[own] + 1e-10)[:, None]
 
@@ -161,25 +219,33 @@ def skipgram(walks: DataFrame, dims: int = 64, window: int = 10, epochs: int = 5
     ``passes`` passes over their pairs each.  Nodes alone on their walks have no pairs and keep their
     first vector.
     """
-    pairs = materialize(window_pairs(walks, window), "sg-pairs")
-    ids = walks.select(F.explode("walk").alias("id")).distinct()
+    counted = materialize(_counts(walks, window), "sg-pairs")
+    pairs = counted.filter(F.col("context").isNotNull()).withColumn("n", F.col("n") / window)
+    ids = counted.select(F.col("centre").alias("id")).distinct()
     numbered = dense_index(ids, "id", "node").select("id", F.col("node").cast("long").alias("node"))
     weights = pairs.groupBy(F.col("context").alias("id")).agg(F.sum("n").alias("weight"))
     numbered = materialize(numbered.join(weights, "id", "left").select("id", "node", F.coalesce("weight", F.lit(0.0)).alias("weight")), "sg-ids")
-    count = blocks or max(BLOCKS, -(-numbered.count() // BLOCK_NODES))
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(count)).cast("int")
-    of = lambda name: numbered.select(F.col("id").alias({"c": "centre", "x": "context"}[name]), F.col("node").alias(name))
-    packed = materialize(_packed(pairs.join(of("c"), "centre").join(of("x"), "context").select("c", "x", "n", block(F.col("c")).alias("cb"), block(F.col("x")).alias("xb"))), "sg-packed")
-    dealt = numbered.withColumn("block", block(F.col("node")))
+    dealt, own, count = _dealt(numbered, pairs, seed, blocks)
+    of = lambda name: dealt.select(F.col("id").alias({"c": "centre", "x": "context"}[name]), F.col("node").alias(name), F.col("block").alias(f"{name}b"))
+    packed = materialize(_packed(pairs.join(of("c"), "centre").join(of("x"), "context").select("c", "x", "n", "cb", "xb")), "sg-packed")
     state = materialize(_start(dealt, dims, seed, 0).unionByName(_start(dealt, dims, seed, 1)), "sg")
+    at_rest, turning = state.filter(F.col("block") < own), state.filter(F.col("block") >= own)
+    turn = lambda c, by: F.when(c < own, c).otherwise(own + F.pmod(c - own + by, F.lit(count))).cast("int")
     for epoch in range(epochs):
         for shift in range(count):
-            home = F.when(F.col("kind") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - shift, F.lit(count)))
-            rows = state.withColumn("meet", home.cast("int")).unionByName(packed.filter(F.col("block") == F.pmod(F.col("meet") + shift, F.lit(count))))
-            met = rows.repartition(count, "meet").sortWithinPartitions("meet", "kind", F.length("a"), F.xxhash64("a"))
-            new = materialize(met.mapInArrow(_meeting(dims, negative, rate, passes, [seed, epoch, shift]), ROWS), "sg")
-            drop(state)
-            state = new
+            # blocks that train by themselves do so in an epoch's first meeting
+            state = at_rest.unionByName(turning) if own and not shift else turning
+            home = F.when(F.col("kind") == 0, F.col("block")).otherwise(turn(F.col("block"), -shift))
+            met = packed.filter((F.col("block") == turn(F.col("meet"), shift)) & (F.col("meet") >= (own if shift else 0)))
+            rows = state.withColumn("meet", home.cast("int")).unionByName(met)
+            rows = rows.repartition(own + count if not shift else count, "meet").sortWithinPartitions("meet", "kind", F.length("a"), F.xxhash64("a"))
+            new = materialize(rows.mapInArrow(_meeting(dims, negative, rate, passes, [seed, epoch, shift]), ROWS), "sg")
+            if shift != 1 or not own:  # the first meeting's files hold the blocks at rest too
+                drop(state)
+            turning = new.filter(F.col("block") >= own)
+            if not shift:
+                at_rest = new.filter(F.col("block") < own)
+    state = at_rest.unionByName(turning) if own else turning
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
