@@ -191,6 +191,14 @@ def test_walkers_are_not_shuffled_at_every_step(hub, monkeypatch):
     assert len(stored) == 2 * short and "walks" not in stored
 
 
+def test_labels_are_stored_round_by_round(hub, monkeypatch):
+    """A round reads the stored one before; before, each round computed the earlier ones and the graph twice."""
+    stored, store = [], indicators.materialize
+    monkeypatch.setattr(indicators, "materialize", lambda df, name: (stored.append(name), store(df, name))[1])
+    plan = indicators.wl_labels(hub)._jdf.queryExecution().optimizedPlan().toString()
+    assert stored == ["wl-links", "wl", "wl", "wl"] and plan.count("Join ") == 2
+
+
 def test_network_signals_and_batches(spark, tmp_path):
     r = random.Random(1)
     nodes = spark.createDataFrame([(str(i), 1 + i % 49, (1, 2)[i % 2], r.gauss(i % 2, 1)) for i in range(120)], "tx_id string, time_step int, class int, f_x double")
