@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from txloom.operators import graph, walks
+import txloom.plans.catalog_more  # noqa: F401  (registers its queries)
+from txloom.operators import boosting, graph, models, walks
+from txloom.plans.catalog import QUERIES
 
 
 def test_role_walks_start_at_every_node(spark):
@@ -12,3 +15,11 @@ def test_role_walks_start_at_every_node(spark):
     u = graph.symmetric(spark.range(n).select(F.concat(F.lit("a"), "id").alias("src"), F.concat(F.lit("b"), "id").alias("dst")))
     w = walks.role2vec(u, graph.nodes(u).withColumn("label", F.lit("x")), walks=1, length=2)
     assert w.filter(F.size("walk") == 2).count() == 2 * n
+
+
+def test_boosting_is_registered_with_its_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(boosting, "fit", lambda rows, columns, params, *rest: seen.append(params) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        QUERIES["model_xgb"](spark, "/root/testdata/sf0.001")
+    assert seen and not {"trees", "depth", "subsample", "columns"} & seen[0].keys()
