@@ -23,3 +23,12 @@ def test_boosting_is_registered_with_its_defaults(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         QUERIES["model_xgb"](spark, "/root/testdata/sf0.001")
     assert seen and not {"trees", "depth", "subsample", "columns"} & seen[0].keys()
+
+
+def test_a_fit_that_saw_the_validation_rows_is_not_repeated(spark, monkeypatch):
+    rows = [(str(i), i % 2, ("train", "validation", "test")[i // 2 % 3], float(i % 7)) for i in range(60)]
+    df, calls, fit = spark.createDataFrame(rows, "tx_id string, label int, split string, f_0 double"), [], models.fit
+    monkeypatch.setattr(models, "fit", lambda *a, **k: calls.append(a) or fit(*a, **k))
+    once = models.run("RF", df, ["f_0"], {"trees": 3})
+    again = fit("RF", *(lambda t: (t[0].filter("split <> 'test'"), t[1]))(models.prepare(df, ["f_0"], {}, "split <> 'test'")), {"trees": 3})
+    assert len(calls) == 1 and once["importance"] == again.importance
